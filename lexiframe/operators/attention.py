@@ -173,15 +173,22 @@ def rollout_words(scores: DataFrame, tokens: DataFrame) -> DataFrame:
             .select("sample_id", "word_id", "word", "score"))
 
 
-def highlight_html(words: DataFrame) -> DataFrame:
-    """One ``<p>`` per sample; each word a span whose blue channel is
-    ``int(255 * (1 - (s - min) / (max - min + 1e-9)))``.  Output: sample_id, html."""
+def colour_values(words: DataFrame, score_digits: int | None = None) -> DataFrame:
+    """Blue channel per word: ``int(255 * (1 - (s - min) / (max - min + 1e-9)))`` inside
+    its sample (truncation).  ``score_digits`` rounds scores first so that words
+    whose scores tie exactly in real arithmetic stay tied under float noise."""
+    s = F.col("score") if score_digits is None else F.round("score", score_digits)
     w = Window.partitionBy("sample_id")
-    lo, hi = F.min("score").over(w), F.max("score").over(w)
-    norm = (F.col("score") - lo) / (hi - lo + F.lit(1e-9))
-    blue = (F.lit(255.0) * (F.lit(1.0) - norm)).cast("int")
-    spans = words.select("sample_id", "word_id", F.format_string(
-        '<span style="background:rgb(0,0,%d);color:white"> %s </span>', blue, html_escape("word")).alias("span"))
+    lo, hi = F.min(s).over(w), F.max(s).over(w)
+    norm = (s - lo) / (hi - lo + F.lit(1e-9))
+    return words.withColumn("blue", (F.lit(255.0) * (F.lit(1.0) - norm)).cast("int"))
+
+
+def highlight_html(words: DataFrame, score_digits: int | None = None) -> DataFrame:
+    """One ``<p>`` per sample; each word a span coloured by :func:`colour_values`,
+    joined in word order.  Output: sample_id, html."""
+    spans = colour_values(words, score_digits).select("sample_id", "word_id", F.format_string(
+        '<span style="background:rgb(0,0,%d);color:white"> %s </span>', F.col("blue"), html_escape("word")).alias("span"))
     g = spans.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "span"))).alias("__s"))
     return g.select("sample_id", F.concat(F.lit("<p>"), F.array_join(F.transform("__s", lambda x: x["span"]), ""),
                                           F.lit("</p>")).alias("html"))

@@ -330,3 +330,451 @@ def stopword_filter(spark, sf):
     w = att_ops.merge_subwords(tokens(spark, sf).withColumn("score", F.lit(1.0)))
     return w.where(~F.lower("word").isin(list(ENGLISH_STOP_WORDS)) & ~F.col("word").isin(list(SPECIAL_TOKENS))) \
         .select("sample_id", "word_id", "word")
+
+
+# ============================================================================ aggregations
+@query("o_a1_label_counts", f"""
+WITH {S.SENTENCES}, {S.EXPLODED},
+g AS (SELECT label_item AS label, count(*) AS n, min(row_id * 1000000 + label_pos) AS f FROM ex GROUP BY label_item)
+SELECT label, n, row_number() OVER (ORDER BY f) AS seen_order FROM g
+""")
+def label_counts(spark, sf):
+    return profile.label_counts(sentences(spark, sf), "label", "row_id")
+
+
+def _trimmed_union(spark, sf) -> DataFrame:
+    """Literal union: labels de, en, es trimmed inside their label, fr kept whole,
+    every other label (the sources) lost."""
+    e = exploded(spark, sf)
+    return outliers.trim_by_label(e, "label_item", "n_words", trim=("de", "en", "es"), keep=("fr",))
+
+
+TRIMMED_SQL = f"""{S.SENTENCES}, {S.EXPLODED},
+st AS (SELECT label_item, avg(n_words) AS m, stddev_pop(n_words) AS sd FROM ex
+       WHERE label_item IN ('de', 'en', 'es') GROUP BY label_item),
+kept AS (SELECT ex.* FROM ex LEFT JOIN st USING (label_item)
+         WHERE label_item = 'fr' OR (label_item IN ('de', 'en', 'es') AND abs((n_words - m) / nullif(sd, 0)) <= 3))"""
+
+
+@query("o_u1_trimmed_union", f"WITH {TRIMMED_SQL} SELECT row_id, label_item, n_words FROM kept")
+def trimmed_union(spark, sf):
+    return _trimmed_union(spark, sf).select("row_id", "label_item", "n_words")
+
+
+@query("o_c5_export_columns", f"WITH {TRIMMED_SQL} SELECT sentence, label FROM kept")
+def export_columns(spark, sf):
+    return _trimmed_union(spark, sf).select("sentence", "label")
+
+
+@query("o_a2_value_counts", f"""
+WITH {TRIMMED_SQL} SELECT label_item, count(*) AS n FROM kept GROUP BY label_item
+""")
+def value_counts(spark, sf):
+    return profile.value_counts(_trimmed_union(spark, sf), "label_item")
+
+
+@query("o_u2_mixed_union", f"""
+WITH {S.SENTENCES}, z AS (SELECT *, (n_words - avg(n_words) OVER ()) / nullif(stddev_pop(n_words) OVER (), 0) AS z FROM sent)
+SELECT row_id, label, n_words FROM z WHERE NOT contains(label, 'src1')
+UNION ALL SELECT row_id, label, n_words FROM z WHERE abs(z) <= 3
+""")
+def mixed_union(spark, sf):
+    return outliers.union_mixed(sentences(spark, sf).select("row_id", "label", "n_words"), "label", "n_words",
+                                needle="src1")
+
+
+@query("o_a3_cooccurrence", f"""
+WITH {S.ROLES},
+e AS (SELECT row_id, unnest(string_split(label, ',')) AS l FROM roles),
+m AS (SELECT row_id, l, count(*) AS c FROM e GROUP BY row_id, l)
+SELECT a.l AS label_a, b.l AS label_b, CAST(sum(a.c * b.c) AS BIGINT) AS n
+FROM m a JOIN m b ON a.row_id = b.row_id GROUP BY a.l, b.l
+""")
+def cooccurrence(spark, sf):
+    roles = tables.conversation_roles(_t(spark, sf, "conversations"))
+    return profile.cooccurrence(roles, "label")
+
+
+@query("o_a4_mean_length", f"""
+WITH {TRIMMED_SQL}
+SELECT round((SELECT avg(n_words) FROM sent), 6) AS mean_before, round((SELECT avg(n_words) FROM kept), 6) AS mean_after
+""")
+def mean_length(spark, sf):
+    before = sentences(spark, sf).agg(F.avg("n_words").alias("mean_before"))
+    after = _trimmed_union(spark, sf).agg(F.avg("n_words").alias("mean_after"))
+    return rnd(before.select("mean_before", after.select("mean_after").scalar().alias("mean_after")))
+
+
+@query("o_a5_length_moments", f"""
+WITH {S.SENTENCES}, {S.EXPLODED}
+SELECT label_item, count(*) AS n, round(avg(n_words), 6) AS mean, round(stddev_pop(n_words), 6) AS std_pop,
+       round(stddev_samp(n_words), 6) AS std_samp FROM ex GROUP BY label_item
+""")
+def length_moments(spark, sf):
+    m = stats.group_moments(exploded(spark, sf), "n_words", ["label_item"])
+    return rnd(m.select("label_item", F.col("n").cast("long"), "mean", "std_pop", "std_samp"))
+
+
+@query("o_a6_length_histogram", f"WITH {S.SENTENCES}, {_hist_sql('sent', 'n_words', 20)}")
+def length_histogram(spark, sf):
+    return rnd(stats.histogram(sentences(spark, sf), "n_words", 20))
+
+
+KDE_SQL = f"""
+WITH d AS (SELECT lang AS label, CAST({S.word_count('text')} AS DOUBLE) AS x FROM documents),
+st AS (SELECT label, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS bw, min(x) AS a, max(x) AS b
+       FROM d GROUP BY label HAVING count(*) >= 2 AND stddev_samp(x) > 0),
+g AS (SELECT label, n, bw, a - 3 * bw AS g0, b + 3 * bw AS g1, unnest(generate_series(0, 199)) AS grid_idx FROM st),
+gx AS (SELECT label, n, bw, grid_idx, CASE WHEN grid_idx = 199 THEN g1 ELSE grid_idx * ((g1 - g0) / 199.0) + g0 END AS gxv FROM g),
+w AS (SELECT label, x, count(*) AS c FROM d GROUP BY label, x)
+SELECT gx.label, CAST(gx.grid_idx AS INTEGER) AS grid_idx, round(gx.gxv, 6) AS x,
+       round(sum(w.c * exp(-0.5 * ((gx.gxv - w.x) / gx.bw) * ((gx.gxv - w.x) / gx.bw))) / (gx.n * gx.bw * sqrt(2 * pi())), 10)
+       AS density
+FROM gx JOIN w ON gx.label = w.label GROUP BY gx.label, gx.grid_idx, gx.gxv, gx.n, gx.bw
+"""
+
+
+@query("o_a7_length_kde", KDE_SQL)
+def length_kde(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("lang").alias("label"), word_count("text").alias("x"))
+    k = stats.kde(d, "x", ["label"])
+    return k.select("label", "grid_idx", F.round("x", 6).alias("x"), F.round("density", 10).alias("density"))
+
+
+@query("o_a8_box_stats", f"""
+WITH {S.SENTENCES}, {S.EXPLODED},
+q AS (SELECT label_item, quantile_cont(n_words, 0.25) AS q1, quantile_cont(n_words, 0.5) AS med,
+             quantile_cont(n_words, 0.75) AS q3 FROM ex GROUP BY label_item),
+j AS (SELECT ex.label_item, n_words, q1, med, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lov, q3 + 1.5 * (q3 - q1) AS hiv
+      FROM ex JOIN q USING (label_item)),
+a AS (SELECT label_item, count(*) AS n, avg(n_words) AS mean, any_value(q1) AS q1, any_value(med) AS med,
+             any_value(q3) AS q3, any_value(iqr) AS iqr,
+             max(CASE WHEN n_words <= hiv THEN n_words END) AS hi, min(CASE WHEN n_words >= lov THEN n_words END) AS lo,
+             count_if(n_words < lov OR n_words > hiv) AS n_fliers FROM j GROUP BY label_item)
+SELECT label_item, n, round(mean, 6) AS mean, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q3,
+       round(iqr, 6) AS iqr,
+       round(CASE WHEN lo IS NULL OR lo > q1 THEN q1 ELSE lo END, 6) AS whislo,
+       round(CASE WHEN hi IS NULL OR hi < q3 THEN q3 ELSE hi END, 6) AS whishi, n_fliers FROM a
+""")
+def box_stats(spark, sf):
+    b = stats.box_stats(exploded(spark, sf), "n_words", ["label_item"])
+    return rnd(b.select("label_item", F.col("n").cast("long"), "mean", "q1", "med", "q3", "iqr", "whislo", "whishi",
+                        F.col("n_fliers").cast("long")))
+
+
+# ============================================================================ metrics
+def predictions(spark, sf, bias_en: int = 0) -> DataFrame:
+    return tables.letter_predictions(_t(spark, sf, "documents"), bias_en)
+
+
+@query("o_c13_argmax_predictions", f"WITH {S.letter_scores()}, {S.PRED} SELECT row_id, y_true, y_pred FROM pred")
+def argmax_predictions(spark, sf):
+    return predictions(spark, sf)
+
+
+@query("o_a9_confusion_matrix", f"""
+WITH {S.letter_scores()}, {S.PRED},
+l AS (SELECT y_true AS l FROM pred UNION SELECT y_pred FROM pred),
+c AS (SELECT y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL)
+SELECT a.l AS y_true, b.l AS y_pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM l a CROSS JOIN l b LEFT JOIN c ON c.y_true = a.l AND c.y_pred = b.l
+""")
+def confusion_matrix(spark, sf):
+    return metrics.confusion_matrix(predictions(spark, sf))
+
+
+def _class_sql(src: str, sfx: str = "") -> str:
+    return f"""
+l{sfx} AS (SELECT y_true AS label FROM {src} UNION SELECT y_pred FROM {src}),
+ct{sfx} AS (SELECT l{sfx}.label,
+         (SELECT count(*) FROM {src} WHERE y_true = l{sfx}.label AND y_pred = l{sfx}.label) AS tp,
+         (SELECT count(*) FROM {src} WHERE y_true = l{sfx}.label) AS support,
+         (SELECT count(*) FROM {src} WHERE y_pred = l{sfx}.label) AS predicted FROM l{sfx}),
+pr{sfx} AS (SELECT label, support, predicted, tp, coalesce(tp / nullif(predicted, 0), 0) AS precision,
+              coalesce(tp / nullif(support, 0), 0) AS recall FROM ct{sfx}),
+rep{sfx} AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM pr{sfx})"""
+
+
+@query("o_u3_report_with_overall", f"""
+WITH {S.letter_scores()}, {S.PRED}, {_class_sql('pred')}
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM rep
+UNION ALL
+SELECT 'Overall', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM rep
+""")
+def report_with_overall(spark, sf):
+    return rnd(metrics.report_with_overall(predictions(spark, sf)))
+
+
+EVAL_SELECT = """
+SELECT round(sum(tp) / sum(support), 6) AS accuracy,
+       round(sum(precision * support) / sum(support), 6) AS precision,
+       round(sum(recall * support) / sum(support), 6) AS recall,
+       round(sum(f1 * support) / sum(support), 6) AS f1,
+       round(CASE WHEN sqrt((sum(support) ^ 2 - sum(predicted * predicted)) * (sum(support) ^ 2 - sum(support * support))) = 0
+             THEN 0 ELSE (sum(tp) * sum(support) - sum(support * predicted)) /
+             sqrt((sum(support) ^ 2 - sum(predicted * predicted)) * (sum(support) ^ 2 - sum(support * support))) END, 6) AS mcc,
+       round((sum(tp) * sum(support) - sum(support * predicted)) /
+             nullif(sum(support) ^ 2 - sum(support * predicted), 0), 6) AS kappa
+FROM rep"""
+
+
+@query("o_a10_metrics", f"WITH {S.letter_scores()}, {S.PRED}, {_class_sql('pred')} {EVAL_SELECT}")
+def eval_metrics(spark, sf):
+    return rnd(metrics.evaluate(predictions(spark, sf)))
+
+
+def _epoch_predictions(spark, sf) -> DataFrame:
+    """Three candidates (epochs): English score biased by 2, 1, 0."""
+    out = None
+    for epoch in (1, 2, 3):
+        p = predictions(spark, sf, bias_en=3 - epoch).select(F.lit(epoch).alias("epoch"), "y_true", "y_pred")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _epoch_sql(final: str) -> str:
+    parts = []
+    for e in (1, 2, 3):
+        parts.append(f"{S.letter_scores(3 - e, f'lg{e}')}, "
+                     f"p{e} AS (SELECT row_id, y_true, {S.ARGMAX} AS y_pred FROM lg{e}), {_class_sql(f'p{e}', str(e))}")
+    union = " UNION ALL ".join(f"SELECT {e} AS epoch, * FROM rep{e}" for e in (1, 2, 3))
+    grouped = EVAL_SELECT.replace("SELECT round", "SELECT epoch, round", 1) + " GROUP BY epoch"
+    return "WITH " + ", ".join(parts) + f", rep AS ({union}), m AS ({grouped}) {final}"
+
+
+@query("o_m5_epoch_metrics", _epoch_sql("SELECT * FROM m"))
+def epoch_metrics(spark, sf):
+    return rnd(metrics.evaluate(_epoch_predictions(spark, sf), group=["epoch"]))
+
+
+@query("o_m6_best_epoch", _epoch_sql("SELECT epoch, f1 FROM m ORDER BY f1 DESC, epoch LIMIT 1"))
+def best_epoch(spark, sf):
+    m = metrics.evaluate(_epoch_predictions(spark, sf), group=["epoch"])
+    best = m.agg(F.max_by(F.struct("epoch", "f1"), F.struct(F.round("f1", 12), -F.col("epoch"))).alias("b"))
+    return rnd(best.select(F.col("b.epoch").alias("epoch"), F.col("b.f1").alias("f1")))
+
+
+# ============================================================================ attention
+ATT = f"{S.TOKENS}, {S.attention('att')}"
+
+
+@query("o_w4_word_ids", f"""
+WITH {S.TOKENS}
+SELECT sample_id, pos, token, CAST(sum(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END)
+       OVER (PARTITION BY sample_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS word_id
+FROM tokens
+""")
+def word_ids(spark, sf):
+    return att_ops.word_ids(tokens(spark, sf))
+
+
+@query("o_a15_attention_map", f"""
+WITH {ATT} SELECT sample_id, q, k, round(avg(weight), 6) AS weight FROM att GROUP BY sample_id, q, k
+""")
+def attention_map(spark, sf):
+    return rnd(att_ops.aggregate_attention(attention(spark, sf)))
+
+
+@query("o_t1_attention_layer_head", f"""
+WITH {ATT} SELECT sample_id, q, k, round(weight, 6) AS weight FROM att WHERE layer = 1 AND head = 0
+""")
+def attention_layer_head(spark, sf):
+    return rnd(att_ops.aggregate_attention(attention(spark, sf), layer=1, head=0))
+
+
+@query("o_a15_attention_heads", f"""
+WITH {ATT} SELECT sample_id, head, q, k, round(avg(weight), 6) AS weight FROM att GROUP BY sample_id, head, q, k
+""")
+def attention_heads(spark, sf):
+    return rnd(att_ops.aggregate_attention(attention(spark, sf), average=False))
+
+
+@query("o_j5_side_by_side", f"""
+WITH {ATT}, {S.attention('drop', 'dropout')},
+a AS (SELECT sample_id, q, k, avg(weight) AS wa FROM att GROUP BY ALL),
+b AS (SELECT sample_id, q, k, avg(weight) AS wb FROM drop GROUP BY ALL)
+SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.q, b.q) AS q, coalesce(a.k, b.k) AS k,
+       round(wa, 6) AS weight_eval, round(wb, 6) AS weight_dropout, round(wb - wa, 6) AS diff
+FROM a FULL OUTER JOIN b ON a.sample_id = b.sample_id AND a.q = b.q AND a.k = b.k
+""")
+def side_by_side(spark, sf):
+    a = att_ops.aggregate_attention(attention(spark, sf, "eval"))
+    b = att_ops.aggregate_attention(attention(spark, sf, "dropout"))
+    return rnd(att_ops.compare_runs(a, b, ("weight_eval", "weight_dropout")))
+
+
+ROW0_SQL = "row0 AS (SELECT sample_id, k AS pos, avg(weight) AS score FROM att WHERE q = 0 GROUP BY sample_id, k)"
+
+
+@query("o_a16_merge_subwords", f"""
+WITH {ATT}, {ROW0_SQL}, st AS (SELECT t.sample_id, t.pos, t.token, r.score FROM tokens t JOIN row0 r USING (sample_id, pos)),
+{S.merge_words('st', 'mw')}
+SELECT sample_id, word_id, word, round(score, 6) AS score, first_pos FROM mw
+""")
+def merge_subwords(spark, sf):
+    row0 = att_ops.aggregate_attention(attention(spark, sf).where(F.col("q") == 0))
+    scored = tokens(spark, sf).join(row0.select("sample_id", F.col("k").alias("pos"), F.col("weight").alias("score")),
+                                    ["sample_id", "pos"])
+    return rnd(att_ops.merge_subwords(scored))
+
+
+@query("o_w6_top_attended", f"""
+WITH {ATT}, {ROW0_SQL},
+st AS (SELECT t.sample_id, t.pos, t.token, r.score FROM tokens t JOIN row0 r USING (sample_id, pos) WHERE t.pos >= 1),
+{S.merge_words('st', 'mw')},
+f AS (SELECT * FROM mw WHERE lower(word) NOT IN ({S.STOP_WORDS}) AND word NOT IN ('[CLS]', '[SEP]', '[PAD]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, word_id) AS rank FROM f)
+SELECT sample_id, CAST(rank AS INTEGER) AS rank, word, round(score, 6) AS score FROM r WHERE rank <= 10
+""")
+def top_attended(spark, sf):
+    return rnd(att_ops.top_attended_words(attention(spark, sf), tokens(spark, sf), k=10, tie_digits=9))
+
+
+RESID_SQL = """
+rn AS (SELECT sample_id, layer, head, q, k, weight + CASE WHEN q = k THEN 1.0 ELSE 0.0 END AS w FROM att),
+rn2 AS (SELECT *, w / sum(w) OVER (PARTITION BY sample_id, layer, head, q) AS wn FROM rn),
+j AS (SELECT sample_id, layer, q, k, avg(wn) AS w FROM rn2 GROUP BY sample_id, layer, q, k)"""
+
+
+@query("o_t3_residual_normalize", f"""
+WITH {ATT}, {RESID_SQL} SELECT sample_id, layer, q, k, round(w, 6) AS weight FROM j
+""")
+def residual_normalize(spark, sf):
+    return rnd(att_ops.joint_attention(attention(spark, sf)).select("sample_id", "layer", "q", "k", "weight"))
+
+
+ROLLOUT_SQL = f"""{ATT}, {RESID_SQL},
+v2 AS (SELECT sample_id, k, w AS v FROM j WHERE layer = 2 AND q = 0),
+v1 AS (SELECT j.sample_id, j.k, sum(v2.v * j.w) AS v FROM v2 JOIN j ON j.sample_id = v2.sample_id AND j.layer = 1
+       AND j.q = v2.k GROUP BY j.sample_id, j.k),
+v0 AS (SELECT j.sample_id, j.k, sum(v1.v * j.w) AS v FROM v1 JOIN j ON j.sample_id = v1.sample_id AND j.layer = 0
+       AND j.q = v1.k GROUP BY j.sample_id, j.k)"""
+
+
+@query("o_t4_rollout", f"WITH {ROLLOUT_SQL} SELECT sample_id, k, round(v, 6) AS score FROM v0")
+def rollout_all(spark, sf):
+    return rnd(att_ops.rollout(attention(spark, sf), layers="all"))
+
+
+@query("o_t4_rollout_first_layer", f"""
+WITH {ATT}, {RESID_SQL} SELECT sample_id, k, round(w, 6) AS score FROM j WHERE layer = 0 AND q = 0
+""")
+def rollout_first_layer(spark, sf):
+    return rnd(att_ops.rollout(attention(spark, sf), layers=1))
+
+
+@query("o_j4_rollout_join", f"WITH {ROLLOUT_SQL} SELECT sample_id, k, round(v, 6) AS score FROM v0")
+def rollout_join(spark, sf):
+    return rnd(att_ops.rollout(attention(spark, sf), layers="all", method="join"))
+
+
+@query("o_j2_positional_zip", f"""
+WITH {ROLLOUT_SQL} SELECT t.sample_id, t.pos, t.token, round(v0.v, 6) AS score
+FROM tokens t JOIN v0 ON v0.sample_id = t.sample_id AND v0.k = t.pos
+""")
+def positional_zip(spark, sf):
+    r = att_ops.rollout(attention(spark, sf))
+    return rnd(tokens(spark, sf).join(r.select("sample_id", F.col("k").alias("pos"), "score"), ["sample_id", "pos"]))
+
+
+RWORDS_SQL = f"""{ROLLOUT_SQL},
+st AS (SELECT t.sample_id, t.pos, t.token, v0.v AS score FROM tokens t JOIN v0 ON v0.sample_id = t.sample_id AND v0.k = t.pos),
+{S.merge_words('st', 'mw')},
+rw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY word_id) AS r FROM mw) WHERE r > 1)"""
+
+
+def _rollout_words(spark, sf):
+    return att_ops.rollout_words(att_ops.rollout(attention(spark, sf)), tokens(spark, sf))
+
+
+@query("o_t5_rollout_words", f"WITH {RWORDS_SQL} SELECT sample_id, word_id, word, round(score, 6) AS score FROM rw")
+def rollout_words(spark, sf):
+    return rnd(_rollout_words(spark, sf))
+
+
+COLOR_SQL = f"""{RWORDS_SQL},
+rq AS (SELECT sample_id, word_id, word, round(score, 12) AS s FROM rw),
+cw AS (SELECT sample_id, word_id, word, CAST(trunc(255.0 * (1.0 - (s - min(s) OVER (PARTITION BY sample_id))
+         / (max(s) OVER (PARTITION BY sample_id) - min(s) OVER (PARTITION BY sample_id) + 1e-9))) AS INTEGER) AS blue
+       FROM rq)"""
+
+
+@query("o_c10_colour_scale", f"WITH {COLOR_SQL} SELECT sample_id, word_id, word, blue FROM cw")
+def colour_scale(spark, sf):
+    return att_ops.colour_values(_rollout_words(spark, sf), score_digits=12).select("sample_id", "word_id", "word", "blue")
+
+
+@query("o_t6_highlight", f"""
+WITH {COLOR_SQL}
+SELECT sample_id, '<p>' || string_agg('<span style="background:rgb(0,0,' || blue || ');color:white"> ' ||
+       replace(replace(replace(replace(replace(word, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')
+       || ' </span>', '' ORDER BY word_id) || '</p>' AS html
+FROM cw GROUP BY sample_id
+""")
+def highlight(spark, sf):
+    return att_ops.highlight_html(_rollout_words(spark, sf), score_digits=12)
+
+
+# ============================================================================ training log
+@query("o_w5_log_ordinals", f"WITH {S.LOG} SELECT run, log_pos, step FROM log")
+def log_ordinals(spark, sf):
+    return trainer_log(spark, sf).select("run", "log_pos", "step")
+
+
+@query("o_l1_flatten_log", f"""
+WITH {S.LOG} SELECT run, log_pos, step, round(eval_accuracy, 6) AS eval_accuracy, round(eval_f1, 6) AS eval_f1,
+       round(eval_loss, 6) AS eval_loss, round(loss, 6) AS loss FROM log WHERE step IS NOT NULL
+""")
+def flatten_log(spark, sf):
+    return rnd(trainlog.flatten_log(trainer_log(spark, sf), id_cols=["run", "log_pos"]))
+
+
+@query("o_f6_log_filters", f"""
+WITH {S.LOG} SELECT run, count_if(loss IS NOT NULL AND eval_loss IS NULL) AS n_train,
+       count_if(eval_loss IS NOT NULL) AS n_eval FROM log GROUP BY run
+""")
+def log_filters(spark, sf):
+    lg = trainer_log(spark, sf)
+    return lg.groupBy("run").agg(
+        F.count_if(F.col("loss").isNotNull() & F.col("eval_loss").isNull()).cast("long").alias("n_train"),
+        F.count_if(F.col("eval_loss").isNotNull()).cast("long").alias("n_eval"))
+
+
+@query("o_a17_export_row_count", f"WITH {S.LOG} SELECT count(*) AS n_rows FROM log WHERE step IS NOT NULL")
+def export_row_count(spark, sf):
+    return trainlog.export_row_count(trainlog.flatten_log(trainer_log(spark, sf), id_cols=["run", "log_pos"]))
+
+
+@query("o_l3_history_bridge", f"""
+WITH {S.LOG} SELECT run, step, round(max(eval_accuracy), 6) AS eval_accuracy, round(max(eval_loss), 6) AS eval_loss,
+       round(max(loss), 6) AS train_loss, round(max(eval_f1), 6) AS val_f1 FROM log GROUP BY run, step
+""")
+def history_bridge(spark, sf):
+    flat = trainlog.flatten_log(trainer_log(spark, sf), id_cols=["run"])
+    return rnd(trainlog.history_bridge(flat, keys=("run", "step")))
+
+
+@query("o_j3_curve_alignment", f"""
+WITH {S.LOG},
+tr AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY step, log_pos) AS epoch, loss FROM log
+       WHERE loss IS NOT NULL AND eval_loss IS NULL),
+evl AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY step, log_pos) AS epoch, eval_loss, eval_accuracy
+        FROM log WHERE eval_loss IS NOT NULL)
+SELECT coalesce(tr.run, evl.run) AS run, CAST(coalesce(tr.epoch, evl.epoch) AS BIGINT) AS epoch,
+       round(tr.loss, 6) AS train_loss, round(evl.eval_loss, 6) AS eval_loss, round(evl.eval_accuracy, 6) AS eval_accuracy
+FROM tr FULL OUTER JOIN evl ON tr.run = evl.run AND tr.epoch = evl.epoch
+""")
+def curve_alignment(spark, sf):
+    return rnd(trainlog.training_curves(trainer_log(spark, sf)))
+
+
+@query("o_w7_best_checkpoint", f"""
+WITH {S.LOG}, r AS (SELECT run, step, eval_f1, row_number() OVER (PARTITION BY run ORDER BY eval_f1 DESC, step) AS rk
+                    FROM log WHERE eval_f1 IS NOT NULL)
+SELECT run, step, round(eval_f1, 6) AS eval_f1 FROM r WHERE rk = 1
+""")
+def best_checkpoint(spark, sf):
+    ev = trainer_log(spark, sf).where(F.col("eval_loss").isNotNull()).select("run", "step", "eval_f1")
+    return rnd(trainlog.best_checkpoint(ev, "eval_f1", ["run"], "step"))
