@@ -25,7 +25,6 @@ from ..functions.vectors import argmax, decode_label, softmax, vector_columns
 from .metrics import evaluate
 
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 100, 101, 102
-VOCAB_MAP_LIMIT = 2_000_000
 
 
 # ----------------------------------------------------------------------------- labels
@@ -56,39 +55,35 @@ def vocab_from_texts(texts: DataFrame, text: str = "text", first_id: int = 1000)
 def encode_texts(df: DataFrame, text: str, vocab: DataFrame, max_length: int = DEFAULT_MAX_LENGTH,
                  padding: str = "max_length", lowercase: bool = True, id_col: str = "row_id") -> DataFrame:
     """``input_ids`` / ``attention_mask`` of fixed length: ``[CLS]`` + word ids +
-    ``[SEP]``, truncated so the specials fit inside ``max_length``, padded with 0
-    to ``max_length`` (or to the longest row when ``padding='longest'``).
-    ``n_tokens`` is the untruncated word count.  The whole text is mapped.
-
-    The vocabulary is looked up through a map shipped with the tasks when its
-    size is at most ``VOCAB_MAP_LIMIT`` entries (checked); a larger one is
-    joined.
+    ``[SEP]``, truncated so the specials fit inside ``max_length`` (the
+    tokenizer's truncation), padded with 0 to ``max_length`` (or to the longest
+    row when ``padding='longest'``).  The whole text is tokenized; ``n_tokens``
+    counts all of its words.
+
+    Plan: posexplode words -> equi-join with the vocabulary on the token (AQE
+    makes it a broadcast hash join when the vocabulary is measured small, a
+    skew-split sort-merge join otherwise) -> regroup per text (a group is one
+    text's kept tokens, at most ``max_length``).
     """
     t = F.lower(F.col(text)) if lowercase else F.col(text)
     base = df.select(id_col, words(t).alias("__w"))
-    n_vocab = vocab.count()
-    if n_vocab <= VOCAB_MAP_LIMIT:
-        vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("m")).select("m").scalar()
-        ids = F.transform("__w", lambda w: F.coalesce(F.try_element_at(vmap, w), F.lit(UNK_ID)))
-        enc = base.select(id_col, ids.alias("__ids"))
-    else:
-        ex = base.select(id_col, F.posexplode("__w").alias("__pos", "token"))
-        ex = ex.join(vocab, "token", "left")
-        enc = ex.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__pos", F.coalesce("id", F.lit(UNK_ID))
-                                                                          .alias("id")))).alias("__s"))
-        enc = enc.select(id_col, F.transform("__s", lambda x: x["id"]).alias("__ids"))
-        enc = df.select(id_col).join(enc, id_col, "left").select(
-            id_col, F.coalesce("__ids", F.array().cast("array<int>")).alias("__ids"))
-    body = F.slice("__ids", 1, max_length - 2) if max_length > 2 else F.array().cast("array<int>")
-    ids = F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))
-    enc = enc.select(id_col, F.size("__ids").cast("long").alias("n_tokens"), ids.alias("__core"))
+    ex = base.select(id_col, F.size("__w").cast("long").alias("n_tokens"),
+                     F.posexplode_outer("__w").alias("__pos", "token"))
+    ex = ex.where(F.col("__pos").isNull() | (F.col("__pos") < max(max_length - 2, 0)))
+    mapped = ex.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token", "left")
+    piece = F.when(F.col("__pos").isNotNull(), F.struct("__pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    enc = mapped.groupBy(id_col).agg(F.first("n_tokens").alias("n_tokens"),
+                                     F.array_sort(F.collect_list(piece)).alias("__s"))
+    body = F.transform("__s", lambda x: x["id"])
+    core = F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))
+    enc = enc.select(id_col, "n_tokens", core.alias("__core"))
     if padding == "max_length":
         width = F.lit(max_length)
     elif padding == "longest":
         width = enc.agg(F.max(F.size("__core"))).scalar()
     else:
         raise ValueError("padding must be 'max_length' or 'longest'")
-    pad = width - F.size("__core")
+    pad = F.greatest(width - F.size("__core"), F.lit(0))
     return enc.select(id_col, "n_tokens",
                       F.concat("__core", F.array_repeat(F.lit(PAD_ID), pad)).alias("input_ids"),
                       F.concat(F.array_repeat(F.lit(1), F.size("__core")), F.array_repeat(F.lit(0), pad))
@@ -143,10 +138,11 @@ def evaluate_candidates(train: DataFrame, val: DataFrame, iters: Sequence[int] =
     """Fit one model per candidate (iteration budget = epoch) and evaluate each on
     the validation part: epoch, max_iter, accuracy, precision, recall, f1, mcc, kappa."""
     out = None
+    held = val.withColumnRenamed(label, "__y_true")
     for epoch, it in enumerate(iters, start=1):
         m = fit_classifier(train, text=text, label=label, max_iter=it, **kw)
-        p = predict(m, val, id_col, text, keep=[label]).select(
-            F.lit(epoch).alias("epoch"), F.lit(it).alias("max_iter"), F.col(label).alias("y_true"),
+        p = predict(m, held, id_col, text, keep=["__y_true"]).select(
+            F.lit(epoch).alias("epoch"), F.lit(it).alias("max_iter"), F.col("__y_true").alias("y_true"),
             F.col("label").alias("y_pred"))
         out = p if out is None else out.unionByName(p)
     return evaluate(out, group=["epoch", "max_iter"])

@@ -80,7 +80,7 @@ def _numeric_view(f: T.StructField) -> Column | None:
     return None
 
 
-def summary(df: DataFrame, exact_distinct_limit: int = 100_000, digits: int = 6) -> DataFrame:
+def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int = 6) -> DataFrame:
     """``describe(include='all')`` as one row per column.
 
     Categorical columns (strings, booleans): n, n_unique, top, freq (ties: smallest

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +80,28 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets:
     """
     v = F.col(value).cast("double")
     vc = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    # the value-count table is read by three small jobs below; keep it instead of
+    # re-aggregating the source each time (memory and disk; recomputed if lost)
+    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_from_counts(vc, probs, buckets)
+    finally:
+        vc.unpersist()
+
+
+def _exact_from_counts(vc: DataFrame, probs: Sequence[float], buckets: int) -> dict:
     cuts_row = vc.agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets)
                       .alias("cuts"), F.sum("__c").alias("n")).first()
     n = cuts_row["n"] or 0
     if n == 0:
         return {p: None for p in probs}
     cuts = sorted(set(x for x in (cuts_row["cuts"] or []) if x is not None))
-    cut_arr = F.array(*[F.lit(float(x)) for x in cuts]) if cuts else F.array().cast("array<double>")
-    # bucket b holds cuts[b-1] < v <= cuts[b]; found by a built-in binary search on the sorted array
-    bucketed = vc.withColumn("__b", _bucket_of(F.col("__v"), cut_arr, len(cuts)))
+    # bucket b holds splits[b] <= v < splits[b+1]; Bucketizer binary-searches the
+    # bounded split list inside the JVM
+    from pyspark.ml.feature import Bucketizer
+    splits = [-float("inf")] + cuts + [float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol="__v", outputCol="__bd").transform(vc) \
+        .withColumn("__b", F.col("__bd").cast("int")).drop("__bd")
     per_bucket = {r["__b"]: r["__n"] for r in bucketed.groupBy("__b").agg(F.sum("__c").alias("__n")).collect()}
     starts, acc = {}, 0
     for b in sorted(per_bucket):
@@ -132,22 +146,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets:
     return out
 
 
-def _bucket_of(v: Column, cuts: Column, n_cuts: int) -> Column:
-    """Number of cut points strictly below ``v`` (0..n_cuts), by binary search."""
-    if n_cuts == 0:
-        return F.lit(0)
-    # array_position over a sorted array is linear; a bounded binary search in
-    # expressions keeps it O(log n) per distinct value.
-    lo, hi = F.lit(0), F.lit(n_cuts)
-    steps = max(1, math.ceil(math.log2(n_cuts + 1)) + 1)
-    for _ in range(steps):
-        mid = F.floor((lo + hi) / 2).cast("int")
-        below = F.when(mid < n_cuts, F.element_at(cuts, mid + 1) < v).otherwise(F.lit(False))
-        lo, hi = F.when(lo < hi, F.when(below, mid + 1).otherwise(lo)).otherwise(lo), \
-            F.when(lo < hi, F.when(below, hi).otherwise(mid)).otherwise(hi)
-    return lo
-
-
 # ----------------------------------------------------------------------------- histogram
 
 def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.text import contains_text, strip_subword_prefix, strip_ws, word_count, html_escape
 from ..operators import attention as att_ops
 from ..operators import metrics, model, outliers, profile, split, stats, trainlog
+from ..session import reliable_checkpoint
 from ..sources import files, tables
 from . import sql as S
 
@@ -51,14 +52,20 @@ def _t(spark, sf, name):
     return tables.load(spark, sf, name)
 
 
-def sentences(spark, sf) -> DataFrame:
-    """Multi-label sentences from ``documents`` with word counts."""
+def sentences(spark, sf, with_text: bool = False) -> DataFrame:
+    """Multi-label sentences from ``documents`` with word counts, materialised
+    once in the checkpoint folder: several branches of a plan read it (label
+    statistics, the rows to trim), and the costly text pass must not be repeated
+    nor pushed into the scan task by an inferred filter."""
     s = tables.multilabel_sentences(_t(spark, sf, "documents"))
-    return s.withColumn("n_words", word_count("sentence"))
+    s = s.withColumn("n_words", word_count("sentence"))
+    if not with_text:
+        s = s.drop("sentence")
+    return reliable_checkpoint(s)
 
 
-def exploded(spark, sf) -> DataFrame:
-    return profile.explode_labels(sentences(spark, sf), "label")
+def exploded(spark, sf, with_text: bool = False) -> DataFrame:
+    return profile.explode_labels(sentences(spark, sf, with_text), "label")
 
 
 def tokens(spark, sf) -> DataFrame:
@@ -342,10 +349,10 @@ def label_counts(spark, sf):
     return profile.label_counts(sentences(spark, sf), "label", "row_id")
 
 
-def _trimmed_union(spark, sf) -> DataFrame:
+def _trimmed_union(spark, sf, with_text: bool = False) -> DataFrame:
     """Literal union: labels de, en, es trimmed inside their label, fr kept whole,
     every other label (the sources) lost."""
-    e = exploded(spark, sf)
+    e = exploded(spark, sf, with_text)
     return outliers.trim_by_label(e, "label_item", "n_words", trim=("de", "en", "es"), keep=("fr",))
 
 
@@ -363,7 +370,7 @@ def trimmed_union(spark, sf):
 
 @query("o_c5_export_columns", f"WITH {TRIMMED_SQL} SELECT sentence, label FROM kept")
 def export_columns(spark, sf):
-    return _trimmed_union(spark, sf).select("sentence", "label")
+    return _trimmed_union(spark, sf, with_text=True).select("sentence", "label")
 
 
 @query("o_a2_value_counts", f"""
@@ -778,3 +785,139 @@ SELECT run, step, round(eval_f1, 6) AS eval_f1 FROM r WHERE rk = 1
 def best_checkpoint(spark, sf):
     ev = trainer_log(spark, sf).where(F.col("eval_loss").isNotNull()).select("run", "step", "eval_f1")
     return rnd(trainlog.best_checkpoint(ev, "eval_f1", ["run"], "step"))
+
+
+# ============================================================================ classes, split, encoding, scoring
+@query("o_j1_label_lookup", """
+SELECT doc_id AS row_id, lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_code FROM documents
+""")
+def label_lookup(spark, sf):
+    s = tables.single_label_sentences(_t(spark, sf, "documents"))
+    idx = model.fit_label_index(s, "label")
+    return model.encode_labels(idx, s, "label_code").select("row_id", "label", "label_code")
+
+
+@query("o_o5_class_order", """
+SELECT lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_code
+FROM (SELECT DISTINCT lang FROM documents)
+""")
+def class_order(spark, sf):
+    s = tables.single_label_sentences(_t(spark, sf, "documents"))
+    idx = model.fit_label_index(s, "label")
+    labels = spark.createDataFrame([(x, i) for i, x in enumerate(idx.labels)], "label string, label_code int")
+    return labels
+
+
+SPLIT_SQL = """
+c AS (SELECT lang, count(*) AS cnt FROM documents GROUP BY lang),
+t AS (SELECT sum(cnt) AS n, CAST(ceil(0.2 * sum(cnt)) AS BIGINT) AS n_test FROM c),
+e AS (SELECT lang, cnt, (n - n_test) * cnt / n AS ex, floor((n - n_test) * cnt / n) AS fl, n - n_test AS n_train FROM c, t),
+r AS (SELECT *, row_number() OVER (ORDER BY ex - fl DESC, lang) AS rr,
+             n_train - sum(fl) OVER () AS leftover FROM e),
+q AS (SELECT lang, CAST(fl + CASE WHEN rr <= leftover THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r),
+rk AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '42', doc_id)), doc_id) AS rn
+       FROM documents),
+sp AS (SELECT rk.doc_id AS row_id, rk.lang AS label, CASE WHEN rn <= quota THEN 'train' ELSE 'val' END AS split
+       FROM rk JOIN q USING (lang))"""
+
+
+def _split(spark, sf) -> DataFrame:
+    s = tables.single_label_sentences(_t(spark, sf, "documents"))
+    return split.stratified_split(s, "label", "row_id", test_size=0.2, seed=42)
+
+
+@query("o_m1_stratified_split", f"WITH {SPLIT_SQL} SELECT row_id, label, split FROM sp")
+def stratified_split(spark, sf):
+    return _split(spark, sf).select("row_id", "label", "split")
+
+
+@query("o_w8_split_quotas", f"WITH {SPLIT_SQL} SELECT label, split, count(*) AS n FROM sp GROUP BY label, split")
+def split_quotas(spark, sf):
+    return _split(spark, sf).groupBy("label", "split").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@query("o_m2_label_encode", f"""
+WITH {SPLIT_SQL},
+codes AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_code
+          FROM (SELECT DISTINCT label FROM sp WHERE split = 'train'))
+SELECT row_id, label, split, label_code FROM sp JOIN codes USING (label)
+""")
+def label_encode(spark, sf):
+    sp = _split(spark, sf)
+    idx = model.fit_label_index(sp.where(F.col("split") == "train"), "label")
+    return model.encode_labels(idx, sp, "label_code").select("row_id", "label", "split", "label_code")
+
+
+ENCODE_SQL = f"""
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY token) + 999 AS INTEGER) AS id
+          FROM (SELECT DISTINCT unnest({S.word_list('lower(text)')}) AS token FROM benchmark)),
+dw AS (SELECT doc_id, {S.word_list('lower(text)')} AS wl FROM documents),
+wp AS (SELECT doc_id, unnest(wl) AS token, unnest(generate_series(1, len(wl))) AS wpos FROM dw),
+wid AS (SELECT doc_id, wpos, coalesce(v.id, 100) AS id FROM wp LEFT JOIN vocab v USING (token)),
+grid AS (SELECT doc_id, CAST(len(wl) AS BIGINT) AS n_tokens, least(len(wl), 126) AS m,
+                unnest(generate_series(0, 127)) AS pos FROM dw)"""
+
+
+@query("o_m3_encode", f"""
+WITH {ENCODE_SQL}
+SELECT g.doc_id AS row_id, CAST(g.pos AS INTEGER) AS pos, g.n_tokens,
+       CAST(CASE WHEN g.pos = 0 THEN 101 WHEN g.pos <= g.m THEN w.id WHEN g.pos = g.m + 1 THEN 102 ELSE 0 END AS INTEGER)
+         AS input_id,
+       CAST(CASE WHEN g.pos <= g.m + 1 THEN 1 ELSE 0 END AS INTEGER) AS attention_mask
+FROM grid g LEFT JOIN wid w ON w.doc_id = g.doc_id AND w.wpos = g.pos
+""")
+def encode(spark, sf):
+    vocab = model.vocab_from_texts(_t(spark, sf, "benchmark"), "text")
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    enc = model.encode_texts(docs, "text", vocab, max_length=128)
+    return enc.select("row_id", "n_tokens", F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "z")) \
+        .select("row_id", F.col("pos").cast("int").alias("pos"), "n_tokens", F.col("z.input_ids").alias("input_id"),
+                F.col("z.attention_mask").alias("attention_mask"))
+
+
+@query("o_m4_train_classifier")
+def train_classifier(spark, sf):
+    """Distributed multinomial text classifier fit on the train part, scored on
+    the validation part (iterative fit: row-count check only)."""
+    sp = _split(spark, sf)
+    m = model.fit_classifier(sp.where(F.col("split") == "train"), text="sentence", label="label", max_iter=30)
+    val = sp.where(F.col("split") == "val").withColumnRenamed("label", "y_true")
+    p = model.predict(m, val, "row_id", "sentence", keep=["y_true"])
+    return p.select("row_id", "y_true", F.col("label").alias("y_pred"))
+
+
+@query("o_m5_candidate_models")
+def candidate_models(spark, sf):
+    """Three iteration budgets (epochs) fit and evaluated; one metrics row each."""
+    sp = _split(spark, sf)
+    return rnd(model.evaluate_candidates(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val"),
+                                         iters=(2, 5, 20)))
+
+
+def _score_sql() -> str:
+    m = "greatest(s_de, s_en, s_es, s_fr)"
+    z = f"(exp(s_de - {m}) + exp(s_en - {m}) + exp(s_es - {m}) + exp(s_fr - {m}))"
+    return f"""
+WITH {S.letter_scores()}
+SELECT row_id, sentence, {S.ARGMAX} AS label,
+       round(exp(s_de - {m}) / {z}, 6) AS prob_LABEL_0, round(exp(s_en - {m}) / {z}, 6) AS prob_LABEL_1,
+       round(exp(s_es - {m}) / {z}, 6) AS prob_LABEL_2, round(exp(s_fr - {m}) / {z}, 6) AS prob_LABEL_3
+FROM lg"""
+
+
+@query("o_m8_batch_score", _score_sql())
+def batch_score(spark, sf):
+    """Fixed scorer: class-letter logits -> softmax -> argmax -> code -> name."""
+    lg = tables.letter_logits(_t(spark, sf, "documents"))
+    mapping = {f"LABEL_{i}": c for i, (c, _) in enumerate(tables.SCORE_LETTERS)}
+    return rnd(model.score_logits(lg, "logits", mapping, keep=("row_id", "sentence")))
+
+
+@query("o_m9_map_batches", "SELECT doc_id AS row_id, CAST(length(text) AS BIGINT) AS n_chars_py FROM documents")
+def map_batches(spark, sf):
+    """A pandas function applied to Arrow batches (code-point length of each text)."""
+    def fn(pdf):
+        import pandas as pd
+        return pd.DataFrame({"row_id": pdf["doc_id"], "n_chars_py": pdf["text"].map(
+            lambda t: None if t is None else len(t)).astype("Int64")})
+    return model.map_batches(_t(spark, sf, "documents").select("doc_id", "text"), fn, "row_id long, n_chars_py long")

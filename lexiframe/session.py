@@ -58,3 +58,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer partitions than the
+    session can run at once (e.g. one unsplittable row group).  On a cluster the
+    scan already has thousands of splits and this is a no-op (no shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

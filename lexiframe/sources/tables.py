@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import letter_count, words
 from ..operators.ranking import sequence_number
+from ..session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -21,8 +22,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SCORE_LETTERS = (("de", "ü"), ("en", "w"), ("es", "ó"), ("fr", "é"))
 
 
+# Dimension-sized tables: never worth a repartition.
+SMALL_TABLES = ("region", "nation", "supplier", "labels")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read one table; spread it over the session's cores when the file gives
+    fewer scan splits than cores (see :func:`lexiframe.session.spread`)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return df if name in SMALL_TABLES else spread(df)
 
 
 # ----------------------------------------------------------------------------- sentences
