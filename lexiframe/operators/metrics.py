@@ -49,17 +49,18 @@ def confusion_matrix(df: DataFrame, y: str = "y_true", p: str = "y_pred", labels
 
 
 def class_table(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Per (group, label): tp, support (true count), predicted count."""
+    """Per (group, label): tp, support (true count), predicted count — one
+    aggregation: every confusion cell contributes to its true label and to its
+    predicted label."""
     g = list(group)
-    t = counts.groupBy(*g, F.col("y_true").alias("label")).agg(F.sum("n").alias("support"))
-    q = counts.groupBy(*g, F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    tp = counts.where(F.col("y_true") == F.col("y_pred")).groupBy(*g, F.col("y_true").alias("label")).agg(
-        F.sum("n").alias("tp"))
-    spine = t.select(*g, "label").union(q.select(*g, "label")).distinct()
-    out = join_on_keys(join_on_keys(join_on_keys(spine, t, g + ["label"], "left"), q, g + ["label"], "left"),
-                       tp, g + ["label"], "left")
-    return out.select(*g, "label", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                                     for c in ("tp", "support", "predicted")])
+    sides = F.array(
+        F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"),
+                 F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
+                 F.lit(0).cast("long").alias("predicted")),
+        F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"),
+                 F.lit(0).cast("long").alias("tp"), F.col("n").alias("predicted")))
+    e = counts.select(*g, F.explode(sides).alias("e")).select(*g, "e.*")
+    return e.groupBy(*g, "label").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "support", "predicted")])
 
 
 def per_class_report(df: DataFrame, y: str = "y_true", p: str = "y_pred", group: Sequence[str] = ()) -> DataFrame:

@@ -101,7 +101,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 # ----------------------------------------------------------------------------- training
 
 def text_classifier(text: str = "sentence", label: str = "label", max_iter: int = 50, reg: float = 0.0,
-                    num_features: int = 1 << 18, seed: int = 42) -> Pipeline:
+                    num_features: int = 1 << 16, seed: int = 42) -> Pipeline:
     """Tokenizer (Python whitespace), hashed term frequencies, IDF, multinomial
     logistic regression; labels indexed alphabetically and decoded back."""
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="error")

@@ -80,53 +80,70 @@ def _numeric_view(f: T.StructField) -> Column | None:
     return None
 
 
-def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int = 6) -> DataFrame:
+def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int | None = None) -> DataFrame:
     """``describe(include='all')`` as one row per column.
 
     Categorical columns (strings, booleans): n, n_unique, top, freq (ties: smallest
     value).  Numeric and datetime columns: n, mean, std (ddof=1), min, exact
     linear quartiles, max.  Cells that do not apply are NULL.
 
-    Plan: one scan for all moments and approximate cardinalities; quartiles of
-    columns whose cardinality is bounded come from one ``percentile`` pass (its
-    buffer is a distinct-value map); unbounded columns use the distributed
-    bucketed search of :func:`exact_quantiles`.  Each categorical column is one
-    value-count aggregation.
+    Plan (a fixed number of passes, whatever the column count):
+    1. one scan: moments and approximate cardinality of every numeric column;
+    2. numeric columns with at most ``exact_distinct_limit`` distinct values: the
+       columns are unpivoted, value-counted in one aggregation, and ``percentile``
+       with the counts as frequencies gives exact quartiles (its buffer is bounded
+       by the checked cardinality);
+    3. numeric columns above the limit: the bucketed search of
+       :func:`exact_quantiles` (no task holds more than a bucket);
+    4. categorical columns: unpivoted and value-counted in one aggregation.
     """
     spark = df.sparkSession
     fields = df.schema.fields
     numeric = [(f, _numeric_view(f)) for f in fields if _numeric_view(f) is not None]
     categorical = [f for f in fields if _numeric_view(f) is None]
     rows = {}
+
+    def r(x):
+        if x is None:
+            return None
+        return float(x) if digits is None else round(float(x), digits)
+
     if numeric:
         aggs = []
         for i, (f, c) in enumerate(numeric):
             aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
                      F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
         one = df.agg(*aggs).first()
-        small = [i for i in range(len(numeric)) if one[f"d{i}"] <= exact_distinct_limit]
+        bounded = [i for i in range(len(numeric)) if one[f"d{i}"] <= exact_distinct_limit]
         quart = {}
-        if small:
-            qrow = df.agg(*[F.percentile(numeric[i][1], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")
-                            for i in small]).first()
-            for i in small:
-                quart[i] = list(qrow[f"q{i}"]) if qrow[f"q{i}"] is not None else [None] * 3
+        if bounded:
+            long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), numeric[i][1].alias("v"))
+                                                   for i in bounded])).alias("e")).select("e.c", "e.v")
+            vc = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+            q = vc.groupBy("c").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt"))
+                                    .alias("q")).collect()
+            quart = {row["c"]: list(row["q"]) for row in q}
         for i in range(len(numeric)):
             if i not in quart:
-                f, c = numeric[i]
-                qs = exact_quantiles(df.select(c.alias("__v")), "__v", [0.25, 0.5, 0.75])
+                if i in bounded:
+                    quart[i] = [None] * 3
+                    continue
+                qs = exact_quantiles(df.select(numeric[i][1].alias("__v")), "__v", [0.25, 0.5, 0.75])
                 quart[i] = [qs[0.25], qs[0.5], qs[0.75]]
         for i, (f, _) in enumerate(numeric):
-            r = lambda x: None if x is None else round(float(x), digits)
             rows[f.name] = (f.name, one[f"n{i}"], None, None, None, r(one[f"m{i}"]), r(one[f"s{i}"]),
                             r(one[f"lo{i}"]), *[r(x) for x in quart[i]], r(one[f"hi{i}"]))
-    for f in categorical:
-        c = F.col(f"`{f.name}`").cast("string")
-        vc = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-        r = vc.agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"),
-                   F.min_by("v", F.struct(-F.col("cnt"), F.col("v"))).alias("top"),
-                   F.max("cnt").alias("freq")).first()
-        rows[f.name] = (f.name, r["n"] or 0, r["u"], r["top"], r["freq"], None, None, None, None, None, None, None)
+    if categorical:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("c"), F.col(f"`{f.name}`").cast("string").alias("v"))
+                                               for j, f in enumerate(categorical)])).alias("e")).select("e.c", "e.v")
+        vc = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        got = {row["c"]: row for row in vc.groupBy("c").agg(
+            F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"),
+            F.min_by("v", F.struct(-F.col("cnt"), F.col("v"))).alias("top"), F.max("cnt").alias("freq")).collect()}
+        for j, f in enumerate(categorical):
+            g = got.get(j)
+            rows[f.name] = (f.name, g["n"] if g else 0, g["u"] if g else 0, g["top"] if g else None,
+                            g["freq"] if g else None, None, None, None, None, None, None, None)
     ordered = [rows[f.name] for f in fields]
     return spark.createDataFrame(ordered, _SUMMARY_SCHEMA)
 

@@ -35,10 +35,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- sentences
 
-def multilabel_sentences(docs: DataFrame) -> DataFrame:
+def multilabel_sentences(docs: DataFrame, keep=()) -> DataFrame:
     """row_id, sentence, label — label = ``lang,source`` (two labels per row)."""
     return docs.select(F.col("doc_id").alias("row_id"), F.col("text").alias("sentence"),
-                       F.concat_ws(",", F.col("lang"), F.col("source")).alias("label"))
+                       F.concat_ws(",", F.col("lang"), F.col("source")).alias("label"), *keep)
 
 
 def single_label_sentences(docs: DataFrame) -> DataFrame:
@@ -83,6 +83,10 @@ def synthetic_attention(tokens: DataFrame, layers: int = 3, heads: int = 2, run:
     a, b, c, d, m = EVAL_RUN if run == "eval" else DROPOUT_RUN
     off = 0 if run == "eval" else 1
     s = tokens.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("S"))
+    # Partition the small per-sample table by sample_id *before* generating the
+    # S x S cells: every later per-sample window / aggregate reuses this
+    # partitioning instead of shuffling the cell table.
+    s = s.repartition("sample_id")
     rows = (s.select("sample_id", "S", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
             .select("*", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"))
             .select("*", F.explode(F.sequence(F.lit(0), F.col("S") - 1)).alias("q")))
