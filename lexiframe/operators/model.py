@@ -125,6 +125,8 @@ def predict(model: PipelineModel, df: DataFrame, id_col: str = "row_id", text: s
             keep: Sequence[str] = ()) -> DataFrame:
     """Batch scoring: predicted class name and one probability column per class
     (``prob_LABEL_i``).  Stateless — works on a streaming DataFrame as well."""
+    if "label" in keep:
+        raise ValueError("'label' is the predicted column; rename the true label before scoring")
     names = class_names(model)
     scored = model.transform(df)
     prob = vector_to_array("probability")
