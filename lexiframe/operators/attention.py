@@ -106,44 +106,122 @@ def joint_attention(att: DataFrame, add_residual: bool = True) -> DataFrame:
             .agg(F.avg("weight").alias("weight")))
 
 
-def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True, method: str = "arrays") -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Referencing an intermediate column from inside a lambda lets the optimizer
+    inline (and re-evaluate) it for every element; binding it through a
+    one-element ``transform`` keeps it computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def joint_rows(att: DataFrame, add_residual: bool = True) -> DataFrame:
+    """The residual-normalised, head-averaged map as one array per attention row:
+    sample_id, layer, q, row (array of S doubles, index = k).
+
+    One aggregation per (sample, layer, q) — a group is that row's H x S cells —
+    then higher-order functions: per-head row sums (+1 for the identity), the
+    identity on the diagonal, the mean over heads.  No window sort and no
+    per-cell aggregation.
+    """
+    g = att.groupBy("sample_id", "layer", "q").agg(
+        F.array_sort(F.collect_list(F.struct("head", "k", "weight"))).alias("__c"),
+        (F.max("head") + 1).alias("__H"), (F.max("k") + 1).alias("__S"), F.count(F.lit(1)).alias("__n"))
+    H, S = F.col("__H"), F.col("__S")
+    eye = 1.0 if add_residual else 0.0
+
+    def row_from(w):  # w: weights ordered by (head, k)
+        if add_residual:
+            rs_expr = F.transform(F.sequence(F.lit(0), H - 1), lambda h: F.aggregate(
+                F.slice(w, h * S + 1, S), F.lit(0.0), lambda acc, x: acc + x) + F.lit(1.0))
+        else:
+            rs_expr = F.array_repeat(F.lit(1.0), H)
+
+        def with_rs(rs):
+            def cell(h, k):
+                diag = F.when(F.col("q") == k, F.lit(eye)).otherwise(F.lit(0.0))
+                return (F.element_at(w, h * S + k + 1) + diag) / F.element_at(rs, h + 1)
+            return F.transform(F.sequence(F.lit(0), S - 1), lambda k: F.aggregate(
+                F.sequence(F.lit(0), H - 1), F.lit(0.0), lambda acc, h: acc + cell(h, k)) / H)
+        return _let(rs_expr, with_rs)
+
+    row = _let(F.transform("__c", lambda x: x["weight"]), row_from)
+    checked = F.when(F.col("__n") == H * S, row).otherwise(
+        F.raise_error(F.lit("attention is not dense over heads x keys")))
+    return g.select("sample_id", "layer", "q", checked.alias("row"))
+
+
+def _rollout_numpy(layers, add_residual: bool):
+    import numpy as np
+    import pandas as pd
+
+    def fn(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        L, H, S = int(pdf["layer"].max()) + 1, int(pdf["head"].max()) + 1, int(pdf["k"].max()) + 1
+        if len(pdf) != L * H * S * S:
+            raise ValueError("attention is not a dense L x H x S x S tensor")
+        a = np.zeros((L, H, S, S))
+        a[pdf["layer"].to_numpy(), pdf["head"].to_numpy(), pdf["q"].to_numpy(), pdf["k"].to_numpy()] = \
+            pdf["weight"].to_numpy()
+        if add_residual:
+            a = a + np.eye(S)
+            a = a / a.sum(-1, keepdims=True)
+        j = a.mean(1)
+        if layers != "all":
+            j = j[: int(layers)]
+        v = j[-1][0]
+        for layer in range(j.shape[0] - 2, -1, -1):
+            v = v @ j[layer]
+        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "k": np.arange(S, dtype="int32"), "score": v})
+    return fn
+
+
+def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True, method: str = "pandas") -> DataFrame:
     """Attention rollout, importance of every position for position 0.
 
     ``layers='all'``: row 0 of ``J[L-1] @ ... @ J[0]`` (the documented rollout);
     ``layers=1``: row 0 of ``J[0]`` only (what the original script computes).
     Only a row vector is carried, S^2 work per layer instead of S^3.
 
-    ``method='arrays'``: one shuffle; per sample the L x S x S cells become one
-    sorted array and the vector-matrix products run as higher-order functions.
+    ``method='pandas'`` (default): ``applyInPandas`` keyed by sample — Spark
+    partitions and shuffles by ``sample_id`` (no exchange when the table is
+    already partitioned by it) and numpy runs one sample's L x H x S x S tensor,
+    a group bounded by the model's shape.
+    ``method='arrays'``: rows of J as arrays (:func:`joint_rows`), one more
+    aggregation per sample (L x S row arrays, bounded by the model shape), then
+    the vector-matrix products as higher-order functions.
     ``method='join'``: L-1 join + sum steps on the long table.
     Output: sample_id, k, score.
     """
-    j = joint_attention(att, add_residual)
-    if layers != "all":
-        j = j.where(F.col("layer") < int(layers))
+    if method == "pandas":
+        a = att.select("sample_id", "layer", "head", "q", "k", "weight")
+        return a.groupBy("sample_id").applyInPandas(_rollout_numpy(layers, add_residual),
+                                                   "sample_id long, k int, score double")
     if method == "join":
+        j = joint_attention(att, add_residual)
+        if layers != "all":
+            j = j.where(F.col("layer") < int(layers))
         return _rollout_join(j)
-    cells = j.groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct("layer", "q", "k", "weight"))).alias("__c"),
-        (F.max("layer") + 1).alias("__L"), (F.max("k") + 1).alias("__S"), F.count(F.lit(1)).alias("__n"))
+    a = att if layers == "all" else att.where(F.col("layer") < int(layers))
+    rows = joint_rows(a, add_residual)
+    per = rows.groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.struct("layer", "q", "row"))).alias("__r"),
+        (F.max("layer") + 1).alias("__L"), F.count(F.lit(1)).alias("__n"), F.max(F.size("row")).alias("__S"))
     S, L = F.col("__S"), F.col("__L")
-    flat = F.transform("__c", lambda x: x["weight"])
 
-    def cell(m, layer, q, k):
-        return F.element_at(m, layer * S * S + q * S + k + 1)
+    def m(layer, j, k):
+        return F.element_at(F.element_at(F.col("__r"), layer * S + j + 1)["row"], k + 1)
 
-    start = F.transform(F.sequence(F.lit(0), S - 1), lambda k: cell(F.col("__f"), L - 1, F.lit(0), k))
+    start = F.element_at(F.col("__r"), (L - 1) * S + 1)["row"]
     steps = F.when(L >= 2, F.sequence(L - 2, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     vec = F.aggregate(
         steps, start,
         lambda v, layer: F.transform(
             F.sequence(F.lit(0), S - 1),
             lambda k: F.aggregate(F.sequence(F.lit(0), S - 1), F.lit(0.0),
-                                  lambda acc, jj: acc + F.element_at(v, jj + 1) * cell(F.col("__f"), layer, jj, k))))
-    checked = F.when(F.col("__n") == L * S * S, vec).otherwise(
+                                  lambda acc, jj: acc + F.element_at(v, jj + 1) * m(layer, jj, k))))
+    checked = F.when(F.col("__n") == L * S, vec).otherwise(
         F.raise_error(F.lit("attention is not a dense L x S x S tensor")))
-    out = cells.select("sample_id", flat.alias("__f"), "__L", "__S", "__n").select(
-        "sample_id", F.posexplode(checked).alias("k", "score"))
+    out = per.select("sample_id", F.posexplode(checked).alias("k", "score"))
     return out.select("sample_id", F.col("k").cast("int").alias("k"), "score")
 
 

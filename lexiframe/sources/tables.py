@@ -78,27 +78,34 @@ DROPOUT_RUN = (5, 11, 2, 3, 13)   # raw = (5q + 11k + 2 layer + 3 head + 1) % 13
 
 def synthetic_attention(tokens: DataFrame, layers: int = 3, heads: int = 2, run: str = "eval") -> DataFrame:
     """Dense attention (sample_id, layer, head, q, k, weight) over each sample's
-    tokens; every (sample, layer, head, q) row sums to 1.  Generated per row with
-    arrays (no shuffle besides the token count per sample)."""
+    tokens; every (sample, layer, head, q) row sums to 1.
+
+    raw(k) = ((c0 + b k) mod m) + 1 with c0 = (a q + c layer + d head + off) mod m.
+    As gcd(b, m) = 1, every block of m consecutive k sums to m (m + 1) / 2, so
+    the row sum needs at most m - 1 extra terms; cells come from a plain explode.
+    Generated inside sample_id partitions (no shuffle of the cell table).
+    """
     a, b, c, d, m = EVAL_RUN if run == "eval" else DROPOUT_RUN
     off = 0 if run == "eval" else 1
     s = tokens.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("S"))
-    # Partition the small per-sample table by sample_id *before* generating the
-    # S x S cells: every later per-sample window / aggregate reuses this
-    # partitioning instead of shuffling the cell table.
+    # partition the small per-sample table by sample_id before generating cells
     s = s.repartition("sample_id")
     rows = (s.select("sample_id", "S", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
             .select("*", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"))
             .select("*", F.explode(F.sequence(F.lit(0), F.col("S") - 1)).alias("q")))
-    raw = F.transform(F.sequence(F.lit(0), F.col("S") - 1),
-                      lambda k: ((F.col("q") * a + k * b + F.col("layer") * c + F.col("head") * d + off) % m + 1)
-                      .cast("double"))
-    rows = rows.select("sample_id", "layer", "head", "q", raw.alias("__r"))
-    rows = rows.select("*", F.aggregate("__r", F.lit(0.0), lambda acc, x: acc + x).alias("__t"))
-    return rows.select("sample_id", F.col("layer").cast("int").alias("layer"), F.col("head").cast("int").alias("head"),
-                       F.col("q").cast("int").alias("q"), F.posexplode("__r").alias("k", "__w"), "__t") \
-        .select("sample_id", "layer", "head", "q", F.col("k").cast("int").alias("k"),
-                (F.col("__w") / F.col("__t")).alias("weight"))
+    c0 = (F.col("q") * a + F.col("layer") * c + F.col("head") * d + off) % m
+    rem = F.col("S") % m
+    tail = F.aggregate(F.sequence(F.lit(0), rem - 1), F.lit(0),
+                       lambda acc, j: acc + (F.col("__c0") + j * b) % m + 1)
+    tail = F.when(rem > 0, tail).otherwise(F.lit(0))
+    rows = rows.withColumn("__c0", c0)
+    rows = rows.withColumn("__t", ((F.col("S") / m).cast("int") * (m * (m + 1) // 2) + tail).cast("double"))
+    cells = rows.select("sample_id", "layer", "head", "q", "__c0", "__t",
+                        F.explode(F.sequence(F.lit(0), F.col("S") - 1)).alias("k"))
+    raw = ((F.col("__c0") + F.col("k") * b) % m + 1).cast("double")
+    return cells.select("sample_id", F.col("layer").cast("int").alias("layer"), F.col("head").cast("int").alias("head"),
+                        F.col("q").cast("int").alias("q"), F.col("k").cast("int").alias("k"),
+                        (raw / F.col("__t")).alias("weight"))
 
 
 # ----------------------------------------------------------------------------- training log

@@ -47,7 +47,7 @@ def _random_attention(spark, rng, samples=3, L=3, H=2, S=6):
     return df, mats
 
 
-@pytest.mark.parametrize("method", ["arrays", "join"])
+@pytest.mark.parametrize("method", ["pandas", "arrays", "join"])
 def test_rollout_matches_numpy(spark, method):
     rng = np.random.default_rng(5)
     df, mats = _random_attention(spark, rng)
