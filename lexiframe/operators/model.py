@@ -45,11 +45,11 @@ def encode_labels(model, df: DataFrame, out: str = "label_code") -> DataFrame:
 
 def vocab_from_texts(texts: DataFrame, text: str = "text", first_id: int = 1000) -> DataFrame:
     """A whitespace vocabulary (token, id): distinct lower-case words, ids in
-    sorted order from ``first_id``.  The numbering window runs over the distinct
-    words only."""
+    sorted order from ``first_id`` (a range-partitioned global ordinal)."""
+    from .ranking import sequence_number
     w = texts.select(F.explode(words(F.lower(F.col(text)))).alias("token")).distinct()
-    from pyspark.sql import Window
-    return w.select("token", (F.row_number().over(Window.orderBy("token")) + first_id - 1).cast("int").alias("id"))
+    ranked = sequence_number(w, [], ["token"], out="__rn")
+    return ranked.select("token", (F.col("__rn") + first_id - 1).cast("int").alias("id"))
 
 
 def encode_texts(df: DataFrame, text: str, vocab: DataFrame, max_length: int = DEFAULT_MAX_LENGTH,

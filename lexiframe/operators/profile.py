@@ -4,14 +4,16 @@ duplicates, label counts in first-seen order, value counts, co-occurrence.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import split_labels
-from .ranking import join_on_keys
+from .ranking import join_on_keys, sequence_number
 from .stats import exact_quantiles
 
 # Portable type names (the same words DuckDB prints for its types).
@@ -88,13 +90,14 @@ def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int |
     linear quartiles, max.  Cells that do not apply are NULL.
 
     Plan (a fixed number of passes, whatever the column count):
-    1. one scan: moments and approximate cardinality of every numeric column;
-    2. numeric columns with at most ``exact_distinct_limit`` distinct values: the
-       columns are unpivoted, value-counted in one aggregation, and ``percentile``
-       with the counts as frequencies gives exact quartiles (its buffer is bounded
-       by the checked cardinality);
-    3. numeric columns above the limit: the bucketed search of
-       :func:`exact_quantiles` (no task holds more than a bucket);
+    1. numeric columns are unpivoted to (column, value) and value-counted in one
+       aggregation (map-side combine; kept for the next small steps);
+    2. from the counts: n, mean, min, max and the exact number of distinct values;
+       then the variance in a second pass over the counts, centred on the mean;
+    3. quartiles: for a column with at most ``exact_distinct_limit`` distinct
+       values, running counts in value order (one window partition per column,
+       bounded by the checked cardinality); above it, the bucketed search of
+       :func:`lexiframe.operators.stats.exact_quantiles`;
     4. categorical columns: unpivoted and value-counted in one aggregation.
     """
     spark = df.sparkSession
@@ -109,30 +112,32 @@ def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int |
         return float(x) if digits is None else round(float(x), digits)
 
     if numeric:
-        aggs = []
-        for i, (f, c) in enumerate(numeric):
-            aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
-                     F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
-        one = df.agg(*aggs).first()
-        bounded = [i for i in range(len(numeric)) if one[f"d{i}"] <= exact_distinct_limit]
-        quart = {}
-        if bounded:
-            long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), numeric[i][1].alias("v"))
-                                                   for i in bounded])).alias("e")).select("e.c", "e.v")
-            vc = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-            q = vc.groupBy("c").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt"))
-                                    .alias("q")).collect()
-            quart = {row["c"]: list(row["q"]) for row in q}
-        for i in range(len(numeric)):
-            if i not in quart:
-                if i in bounded:
-                    quart[i] = [None] * 3
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.alias("v"))
+                                               for i, (_, c) in enumerate(numeric)])).alias("e")).select("e.c", "e.v")
+        vc = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            first = {x["c"]: x for x in vc.groupBy("c").agg(
+                F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                (F.sum(F.col("v") * F.col("cnt")) / F.sum("cnt")).alias("mean")).collect()}
+            means = F.create_map(*[y for c, x in first.items() for y in (F.lit(c), F.lit(x["mean"]))])
+            var = {x["c"]: x["m2"] for x in vc.groupBy("c").agg(
+                F.sum(F.col("cnt") * F.pow(F.col("v") - means[F.col("c")], 2)).alias("m2")).collect()}
+            bounded = [c for c, x in first.items() if x["d"] <= exact_distinct_limit]
+            quart = _quartiles_from_counts(vc, {c: first[c]["n"] for c in bounded}) if bounded else {}
+            for i, (f, c) in enumerate(numeric):
+                if i not in first:
+                    rows[f.name] = (f.name, 0, None, None, None, None, None, None, None, None, None, None)
                     continue
-                qs = exact_quantiles(df.select(numeric[i][1].alias("__v")), "__v", [0.25, 0.5, 0.75])
-                quart[i] = [qs[0.25], qs[0.5], qs[0.75]]
-        for i, (f, _) in enumerate(numeric):
-            rows[f.name] = (f.name, one[f"n{i}"], None, None, None, r(one[f"m{i}"]), r(one[f"s{i}"]),
-                            r(one[f"lo{i}"]), *[r(x) for x in quart[i]], r(one[f"hi{i}"]))
+                x = first[i]
+                if i not in quart:
+                    qs = exact_quantiles(df.select(c.alias("__v")), "__v", [0.25, 0.5, 0.75])
+                    quart[i] = [qs[0.25], qs[0.5], qs[0.75]]
+                std = (var[i] / (x["n"] - 1)) ** 0.5 if x["n"] > 1 else None
+                rows[f.name] = (f.name, x["n"], None, None, None, r(x["mean"]), r(std), r(x["lo"]),
+                                *[r(q) for q in quart[i]], r(x["hi"]))
+        finally:
+            vc.unpersist()
     if categorical:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("c"), F.col(f"`{f.name}`").cast("string").alias("v"))
                                                for j, f in enumerate(categorical)])).alias("e")).select("e.c", "e.v")
@@ -148,6 +153,40 @@ def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int |
     return spark.createDataFrame(ordered, _SUMMARY_SCHEMA)
 
 
+def _quartiles_from_counts(vc: DataFrame, n_by_col: dict, probs=(0.25, 0.5, 0.75)) -> dict:
+    """Exact linear quartiles from a (c, v, cnt) value-count table: running counts
+    in value order per column; only the rows that hold the wanted ranks come back."""
+    wanted = {}
+    for c, n in n_by_col.items():
+        for p in probs:
+            pos = p * (n - 1)
+            wanted.setdefault(c, []).extend([int(math.floor(pos)), int(math.ceil(pos))])
+    w = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = vc.where(F.col("c").isin(list(n_by_col))).withColumn("__end", F.sum("cnt").over(w)) \
+        .withColumn("__start", F.col("__end") - F.col("cnt"))
+    cond = None
+    for c, ranks in wanted.items():
+        for rk in set(ranks):
+            t = (F.col("c") == c) & (F.col("__start") <= rk) & (F.col("__end") > rk)
+            cond = t if cond is None else (cond | t)
+    hits = cum.where(cond).select("c", "v", "__start", "__end").collect()
+    out = {}
+    for c, n in n_by_col.items():
+        def at(rank):
+            for h in hits:
+                if h["c"] == c and h["__start"] <= rank < h["__end"]:
+                    return h["v"]
+            raise AssertionError("rank not found")
+        qs = []
+        for p in probs:
+            pos = p * (n - 1)
+            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
+            a, b = at(lo), at(hi)
+            qs.append(a + (b - a) * (pos - lo))
+        out[c] = qs
+    return out
+
+
 def duplicate_rows(df: DataFrame, subset: Sequence[str], out: str = "dup_count") -> DataFrame:
     """All members of duplicate groups (``duplicated(keep=False)``), nulls equal,
     each row with its group size.
@@ -184,14 +223,14 @@ def label_counts(df: DataFrame, label: str = "label", id_col: str = "row_id", se
     """Flattened label counts, with first-seen order (``Counter`` over the lists).
 
     Output: label, n, seen_order (1 = first label met in file order).
-    The order is a window over the aggregated table (one row per distinct label).
+    The order is a range-partitioned global ordinal over the distinct labels.
     """
     e = explode_labels(df.select(id_col, label), label, sep)
     agg = e.groupBy(F.col("label_item").alias("label")).agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.min(F.struct(F.col(id_col), F.col("label_pos"))).alias("__first"))
-    w = Window.orderBy(F.col("__first"))
-    return agg.select("label", "n", F.row_number().over(w).cast("long").alias("seen_order"))
+    ranked = sequence_number(agg, [], [F.col("__first")], out="seen_order")
+    return ranked.select("label", "n", "seen_order")
 
 
 def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
@@ -218,6 +257,19 @@ def cooccurrence(df: DataFrame, label: str = "label", sep: str = ",") -> DataFra
         F.sum(F.col("__rows") * F.col("__ma") * F.col("__mb")).cast("long").alias("n"))
 
 
+def cooccurrence_items(items: DataFrame, row: str = "row_id", label: str = "label_item") -> DataFrame:
+    """Co-occurrence from an exploded (row, label) table: per row, every ordered
+    pair of its labels weighted by their multiplicities (``Task,Task`` adds 4).
+    Rows are first reduced to (row, label, multiplicity), so a row with a huge
+    list contributes only its distinct labels to the pairing.
+    Output (non-zero cells): label_a, label_b, n."""
+    m = items.groupBy(row, label).agg(F.count(F.lit(1)).alias("__m"))
+    a = m.select(F.col(row).alias("__ra"), F.col(label).alias("label_a"), F.col("__m").alias("__ma"))
+    b = m.select(F.col(row).alias("__rb"), F.col(label).alias("label_b"), F.col("__m").alias("__mb"))
+    pairs = a.join(b, a["__ra"].eqNullSafe(b["__rb"]))
+    return pairs.groupBy("label_a", "label_b").agg(F.sum(F.col("__ma") * F.col("__mb")).cast("long").alias("n"))
+
+
 def cooccurrence_matrix(pairs: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """Dense square form, zero-filled, columns named by label (pivot with explicit values)."""
     if labels is None:

@@ -40,7 +40,8 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
 
 def sequence_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
                     partitions: int | None = None) -> DataFrame:
-    """1-based ordinal of each row inside its key, by ``order`` (must be a total order).
+    """1-based ordinal of each row inside its key, by ``order`` (must be a total order);
+    with no keys, a global ordinal computed by the same range-partitioned scheme.
 
     Plan: RangeExchange(keys, order) -> checkpoint (fixes partition ids) ->
     local row_number per (keys, pid) + per-(keys, pid) counts -> offsets by a
@@ -55,7 +56,10 @@ def sequence_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: st
     local = ranged.withColumn(
         "__lrn", F.row_number().over(Window.partitionBy(*keys, "__pid").orderBy(*order_cols)))
     counts = ranged.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    # the offsets window runs over (keys x range partitions) rows only; without
+    # keys it is a single ordering of at most ``n`` partition counts
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy("__pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     joined = join_on_keys(local, offsets, keys + ["__pid"])
     return joined.withColumn(out, (F.col("__off") + F.col("__lrn")).cast("long")).drop("__pid", "__lrn", "__off")

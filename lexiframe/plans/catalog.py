@@ -240,22 +240,22 @@ def duplicate_rows(spark, sf):
 
 # ============================================================================ scalar functions
 @query("o_c1_split_labels", f"""
-WITH {S.ROLES}
-SELECT row_id, CAST(unnest(generate_series(0, len(string_split(label, ',')) - 1)) AS INTEGER) AS label_pos,
-       unnest(string_split(label, ',')) AS label_item FROM roles
+WITH {S.SENTENCES}, {S.EXPLODED} SELECT row_id, label_pos, label_item FROM ex
 """)
 def split_labels(spark, sf):
-    roles = tables.conversation_roles(_t(spark, sf, "conversations"))
-    return profile.explode_labels(roles, "label").select("row_id", F.col("label_pos").cast("int"), "label_item")
+    s = tables.multilabel_sentences(_t(spark, sf, "documents"))
+    return profile.explode_labels(s, "label").select("row_id", F.col("label_pos").cast("int"), "label_item")
+
+
+def conversation_items(spark, sf) -> DataFrame:
+    return tables.conversation_label_items(_t(spark, sf, "conversations"))
 
 
 @query("o_c2_labels_per_row", f"""
 WITH {S.ROLES} SELECT row_id, CAST(len(string_split(label, ',')) AS BIGINT) AS num_labels FROM roles
 """)
 def labels_per_row(spark, sf):
-    from ..functions.text import split_labels as split_col
-    roles = tables.conversation_roles(_t(spark, sf, "conversations"))
-    return roles.select("row_id", F.size(split_col("label")).cast("long").alias("num_labels"))
+    return conversation_items(spark, sf).groupBy("row_id").agg(F.count(F.lit(1)).cast("long").alias("num_labels"))
 
 
 def _hist_sql(src: str, value: str, bins: int) -> str:
@@ -432,8 +432,7 @@ SELECT a.l AS label_a, b.l AS label_b, CAST(sum(a.c * b.c) AS BIGINT) AS n
 FROM m a JOIN m b ON a.row_id = b.row_id GROUP BY a.l, b.l
 """)
 def cooccurrence(spark, sf):
-    roles = tables.conversation_roles(_t(spark, sf, "conversations"))
-    return profile.cooccurrence(roles, "label")
+    return profile.cooccurrence_items(conversation_items(spark, sf), "row_id", "label_item")
 
 
 @query("o_a4_mean_length", f"""

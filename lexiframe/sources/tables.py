@@ -47,12 +47,13 @@ def single_label_sentences(docs: DataFrame) -> DataFrame:
                        F.col("lang").alias("label"))
 
 
-def conversation_roles(conv: DataFrame) -> DataFrame:
-    """row_id = conv_id, label = the roles of its turns joined by ',' in turn order.
-    The group is one conversation (bounded by its turns)."""
-    g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("__t"))
-    return g.select(F.col("conv_id").alias("row_id"),
-                    F.array_join(F.transform("__t", lambda x: x["role"]), ",").alias("label"))
+def conversation_label_items(conv: DataFrame) -> DataFrame:
+    """The roles of each conversation as an exploded multi-label list in turn
+    order: row_id = conv_id, label_pos (0-based), label_item = role.  Built with
+    a skew-safe ordinal, so a conversation of any length is never gathered."""
+    items = sequence_number(conv.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], out="__rn")
+    return items.select(F.col("conv_id").alias("row_id"), (F.col("__rn") - 1).cast("int").alias("label_pos"),
+                        F.col("role").alias("label_item"))
 
 
 # ----------------------------------------------------------------------------- tokens / attention
