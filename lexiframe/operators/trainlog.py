@@ -67,11 +67,15 @@ def training_curves(records: DataFrame, keys: Sequence[str] = ("run",)) -> DataF
     present.  Ordinals by (step, log_pos) per run, skew-safe; full outer join on them.
     """
     k = list(keys)
-    train = records.where(F.col("loss").isNotNull() & F.col("eval_loss").isNull()).select(
-        *k, "step", "log_pos", F.col("loss").alias("train_loss"))
-    evals = records.where(F.col("eval_loss").isNotNull()).select(*k, "step", "log_pos", "eval_loss", "eval_accuracy")
-    train = sequence_number(train, k, ["step", "log_pos"], out="epoch").drop("step", "log_pos")
-    evals = sequence_number(evals, k, ["step", "log_pos"], out="epoch").drop("step", "log_pos")
+    is_train = F.col("loss").isNotNull() & F.col("eval_loss").isNull()
+    is_eval = F.col("eval_loss").isNotNull()
+    kind = F.when(is_train, F.lit("train")).when(is_eval, F.lit("eval"))
+    recs = records.select(*k, "step", "log_pos", kind.alias("__kind"), "loss", "eval_loss", "eval_accuracy") \
+        .where(F.col("__kind").isNotNull())
+    # one skew-safe ordinal for both record kinds (keyed by run and kind)
+    ranked = sequence_number(recs, k + ["__kind"], ["step", "log_pos"], out="epoch")
+    train = ranked.where(F.col("__kind") == "train").select(*k, "epoch", F.col("loss").alias("train_loss"))
+    evals = ranked.where(F.col("__kind") == "eval").select(*k, "epoch", "eval_loss", "eval_accuracy")
     out = join_on_keys(train, evals, k + ["epoch"], "full")
     return out.select(*k, "epoch", "train_loss", "eval_loss", "eval_accuracy")
 
