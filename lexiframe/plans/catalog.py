@@ -951,6 +951,5 @@ def map_batches(spark, sf):
     """A pandas function applied to Arrow batches (code-point length of each text)."""
     def fn(pdf):
         import pandas as pd
-        return pd.DataFrame({"row_id": pdf["doc_id"], "n_chars_py": pdf["text"].map(
-            lambda t: None if t is None else len(t)).astype("Int64")})
+        return pd.DataFrame({"row_id": pdf["doc_id"], "n_chars_py": pdf["text"].str.len().astype("Int64")})
     return model.map_batches(_t(spark, sf, "documents").select("doc_id", "text"), fn, "row_id long, n_chars_py long")
