@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import split_labels
+from ..session import reliable_checkpoint
 from .ranking import join_on_keys, sequence_number
 from .stats import exact_quantiles
 
@@ -192,13 +193,15 @@ def duplicate_rows(df: DataFrame, subset: Sequence[str], out: str = "dup_count")
     each row with its group size.
 
     A first aggregation runs over 64-bit hashes only, so full keys (long texts)
-    are shuffled just for rows whose hash repeats; the exact grouping then
-    removes hash collisions.
+    are shuffled just for rows whose hash repeats; those candidates are
+    checkpointed once, and the exact grouping on them removes hash collisions.
     """
     subset = list(subset)
     h = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in subset]))
     repeated = h.groupBy("__h").agg(F.count(F.lit(1)).alias("__hn")).where(F.col("__hn") > 1).select("__h")
-    cand = h.join(repeated, "__h", "left_semi")
+    # Candidates (rows whose hash repeats) are read twice below; materialise them
+    # once in the checkpoint folder instead of scanning the source a third time.
+    cand = reliable_checkpoint(h.join(repeated, "__h", "left_semi"))
     groups = cand.groupBy("__h", *subset).agg(F.count(F.lit(1)).alias(out)).where(F.col(out) > 1)
     return join_on_keys(cand, groups, ["__h"] + subset).drop("__h")
 
