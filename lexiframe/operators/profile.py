@@ -75,9 +75,13 @@ def _numeric_view(f: T.StructField) -> Column | None:
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, _NUMERIC):
         return c.cast("double")
-    if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(f.dataType, T.TimestampNTZType):
+        # wall-clock timestamps: read as UTC whatever the session time zone is
+        utc = F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+        return F.unix_micros(utc).cast("double") / F.lit(86400e6)
+    if isinstance(f.dataType, T.TimestampType):
         # datetimes are summarised as fractional days since the epoch (UTC)
-        return F.unix_micros(c.cast("timestamp")).cast("double") / F.lit(86400e6)
+        return F.unix_micros(c).cast("double") / F.lit(86400e6)
     if isinstance(f.dataType, T.DateType):
         return F.unix_date(c).cast("double")
     return None

@@ -123,3 +123,19 @@ def test_column_info_and_nulls(spark):
     info = profile.column_info(df).orderBy("col_pos").collect()
     assert [(r["col_name"], r["col_type"], r["non_null"]) for r in info] == [("a", "bigint", 1), ("b", "varchar", 1)]
     assert [r["n_null"] for r in profile.null_counts(df).orderBy("col_pos").collect()] == [1, 1]
+
+
+def test_summary_timestamps_independent_of_session_zone(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(1970, 1, 2, 12, 0),), (dt.datetime(1970, 1, 4, 0, 0),)],
+                               "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            r = profile.summary(df).first()
+            got.append((r["min_v"], r["max_v"], r["mean"]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [(1.5, 3.0, 2.25)] * 3
