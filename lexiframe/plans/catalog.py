@@ -31,8 +31,9 @@ ROUND_NUDGE = 1e-12
 
 
 def _nudge_rounds(sql: str) -> str:
-    """Rewrite every ``round(E, d)`` of the oracle text as ``round((E) * (1 + nudge), d)``
-    (the same arithmetic as :func:`rnd`).  Upper-case ``ROUND`` is left alone."""
+    """Rewrite every ``round(E, d)`` of the oracle text as ``(round((E) * (1 + nudge), d) + 0.0)``
+    (the same arithmetic as :func:`rnd`; ``+ 0.0`` maps -0.0 to 0.0 as Spark's
+    rounding does).  Upper-case ``ROUND`` is left alone."""
     out, i = [], 0
     while True:
         j = sql.find("round(", i)
@@ -51,7 +52,8 @@ def _nudge_rounds(sql: str) -> str:
                 comma = k
             k += 1
         inner = _nudge_rounds(sql[j + len("round("):comma])
-        out.append(f"round(({inner}) * (1 + {ROUND_NUDGE!r}),{sql[comma + 1:k - 1]})")
+        # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's decimal rounding has no negative zero)
+        out.append(f"(round(({inner}) * (1 + {ROUND_NUDGE!r}),{sql[comma + 1:k - 1]}) + 0.0)")
         i = k
 
 
