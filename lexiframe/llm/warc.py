@@ -200,14 +200,14 @@ def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
-b AS (SELECT page_id, h, s, array_to_string(list_transform(range(40), i ->
+b AS (SELECT page_id, h, s, array_to_string(list_transform(range(40), lambda i:
         CASE substr(s, CAST(i + 1 AS INT), 1) WHEN '0' THEN '0000' WHEN '1' THEN '0001' WHEN '2' THEN '0010'
         WHEN '3' THEN '0011' WHEN '4' THEN '0100' WHEN '5' THEN '0101' WHEN '6' THEN '0110' WHEN '7' THEN '0111'
         WHEN '8' THEN '1000' WHEN '9' THEN '1001' WHEN 'a' THEN '1010' WHEN 'b' THEN '1011' WHEN 'c' THEN '1100'
         WHEN 'd' THEN '1101' WHEN 'e' THEN '1110' ELSE '1111' END), '') AS bits,
         max(page_id) OVER (PARTITION BY s) AS last_page FROM p)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
          16 * CAST(substr(bits, CAST(5 * i + 1 AS INT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INT), 1) AS INT)
          + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INT), 1) AS INT) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INT), 1) AS INT)
          + CAST(substr(bits, CAST(5 * i + 5 AS INT), 1) AS INT) AS INT), 1)), '') AS payload_digest,
