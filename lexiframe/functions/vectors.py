@@ -15,12 +15,17 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once (a one-element transform)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(logits) -> Column:
-    """Numerically stable softmax over an array<double>."""
+    """Numerically stable softmax over an array<double>; maximum and total are computed once."""
     arr = _c(logits).cast("array<double>")
-    shifted = F.transform(arr, lambda x: F.exp(x - F.array_max(arr)))
-    total = F.aggregate(shifted, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = _bind(F.array_max(arr), lambda top: F.transform(arr, lambda x: F.exp(x - top)))
+    total = lambda e: F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    return _bind(shifted, lambda e: _bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(values) -> Column:
@@ -42,7 +47,12 @@ def decode_label(code, mapping: Mapping[str, str], prefix: str = "LABEL_") -> Co
         F.raise_error(F.concat(F.lit("unknown label key: "), key)))
 
 
-def vector_columns(vec, names: Sequence[str], prefix: str = "prob_") -> list[Column]:
-    """One double column per class: ``prob_LABEL_0`` ... (names as given)."""
+def vector_columns(vec, names: Sequence[str], prefix: str = "prob_", prob_names: str = "code",
+                   mapping: Mapping[str, str] | None = None) -> list[Column]:
+    """One double column per class: ``prob_LABEL_0`` ... (names as given);
+    ``prob_names='mapped'`` names them by ``mapping`` (``LABEL_i`` -> class name)."""
+    if prob_names not in ("code", "mapped"):
+        raise ValueError("prob_names is 'code' or 'mapped'")
     v = _c(vec)
-    return [v[i].cast("double").alias(f"{prefix}{name}") for i, name in enumerate(names)]
+    shown = [(mapping or {})[n] for n in names] if prob_names == "mapped" else names
+    return [v[i].cast("double").alias(f"{prefix}{name}") for i, name in enumerate(shown)]

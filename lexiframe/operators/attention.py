@@ -12,7 +12,7 @@ sample's L x S x S cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,20 +24,15 @@ from .ranking import top_k
 
 # ----------------------------------------------------------------------------- averaging
 
-def aggregate_attention(att: DataFrame, layer: int | None = None, head: int | None = None,
-                        average: bool = True) -> DataFrame:
-    """A given layer or the mean of layers; a given head, the mean of heads
-    (``average``) or every head kept.  Output: sample_id[, head], q, k, weight."""
-    a = att if layer is None else att.where(F.col("layer") == layer)
-    if head is not None:
-        a = a.where(F.col("head") == head)
-        keys = ["sample_id", "q", "k"]
-    elif average:
-        keys = ["sample_id", "q", "k"]
-    else:
-        keys = ["sample_id", "head", "q", "k"]
-    # For a dense tensor the mean of per-layer head means is the mean over all cells.
-    return a.groupBy(*keys).agg(F.avg("weight").alias("weight"))
+def mean_attention(att: DataFrame, over: Sequence[str] = ("layer", "head"), at: Mapping[str, int] | None = None) -> DataFrame:
+    """Mean weight over the axes ``over``, after fixing axes by ``at`` (``{"layer": 1}``).
+    Output: sample_id, the axes that remain, q, k, weight.  Attention is dense, so the mean
+    of means along the axes is the mean over all cells."""
+    at = dict(at or {})
+    for axis, i in at.items():
+        att = att.where(F.col(axis) == i)
+    kept = [axis for axis in ("layer", "head") if axis not in over and axis not in at]
+    return att.groupBy("sample_id", *kept, "q", "k").agg(F.avg("weight").alias("weight"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("weight_a", "weight_b")) -> DataFrame:
@@ -78,7 +73,7 @@ def top_attended_words(att: DataFrame, tokens: DataFrame, k: int = 10,
     head-averaged map without ``k=0``, sub-tokens merged, stop words and special
     tokens dropped, top ``k`` by score (stable: earlier word first on ties).
     Output: sample_id, rank, word, score."""
-    row0 = aggregate_attention(att.where(F.col("q") == 0)).where(F.col("k") >= 1)
+    row0 = mean_attention(att.where(F.col("q") == 0)).where(F.col("k") >= 1)
     toks = tokens.where(F.col("pos") >= 1)
     scored = toks.join(row0.select("sample_id", F.col("k").alias("pos"), F.col("weight").alias("score")),
                        ["sample_id", "pos"])
@@ -151,57 +146,31 @@ def joint_rows(att: DataFrame, add_residual: bool = True) -> DataFrame:
     return g.select("sample_id", "layer", "q", checked.alias("row"))
 
 
-def _rollout_numpy(layers, add_residual: bool):
-    import numpy as np
-    import pandas as pd
-
-    def fn(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        L, H, S = int(pdf["layer"].max()) + 1, int(pdf["head"].max()) + 1, int(pdf["k"].max()) + 1
-        if len(pdf) != L * H * S * S:
-            raise ValueError("attention is not a dense L x H x S x S tensor")
-        a = np.zeros((L, H, S, S))
-        a[pdf["layer"].to_numpy(), pdf["head"].to_numpy(), pdf["q"].to_numpy(), pdf["k"].to_numpy()] = \
-            pdf["weight"].to_numpy()
-        if add_residual:
-            a = a + np.eye(S)
-            a = a / a.sum(-1, keepdims=True)
-        j = a.mean(1)
-        if layers != "all":
-            j = j[: int(layers)]
-        v = j[-1][0]
-        for layer in range(j.shape[0] - 2, -1, -1):
-            v = v @ j[layer]
-        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "k": np.arange(S, dtype="int32"), "score": v})
-    return fn
-
-
-def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True, method: str = "pandas") -> DataFrame:
+def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True, method: str = "arrays",
+            n_layers: int | None = None) -> DataFrame:
     """Attention rollout, importance of every position for position 0.
 
     ``layers='all'``: row 0 of ``J[L-1] @ ... @ J[0]`` (the documented rollout);
-    ``layers=1``: row 0 of ``J[0]`` only (what the original script computes).
-    Only a row vector is carried, S^2 work per layer instead of S^3.
-
-    ``method='pandas'`` (default): ``applyInPandas`` keyed by sample — Spark
-    partitions and shuffles by ``sample_id`` (no exchange when the table is
-    already partitioned by it) and numpy runs one sample's L x H x S x S tensor,
-    a group bounded by the model's shape.
-    ``method='arrays'``: rows of J as arrays (:func:`joint_rows`), one more
-    aggregation per sample (L x S row arrays, bounded by the model shape), then
-    the vector-matrix products as higher-order functions.
-    ``method='join'``: L-1 join + sum steps on the long table.
+    ``layers=1``: row 0 of ``J[0]`` only (what the original script computes); it reads
+    nothing but row 0 of layer 0.  Only a row vector is carried, S^2 work per layer.
+
+    ``method='arrays'`` (default): rows of J as arrays (:func:`joint_rows`), one more
+    aggregation per sample (L x S row arrays, bounded by the model shape), then the
+    vector-matrix products as higher-order functions.  Every grouping starts with
+    ``sample_id``: no exchange when the table is already partitioned by it.
+    ``method='join'``: one join + sum step per layer on the long table; ``n_layers`` (with
+    ``layers='all'``) makes each step filter a literal layer.
     Output: sample_id, k, score.
     """
-    if method == "pandas":
-        a = att.select("sample_id", "layer", "head", "q", "k", "weight")
-        return a.groupBy("sample_id").applyInPandas(_rollout_numpy(layers, add_residual),
-                                                   "sample_id long, k int, score double")
-    if method == "join":
-        j = joint_attention(att, add_residual)
-        if layers != "all":
-            j = j.where(F.col("layer") < int(layers))
-        return _rollout_join(j)
     a = att if layers == "all" else att.where(F.col("layer") < int(layers))
+    if layers != "all" and int(layers) == 1:
+        row0 = joint_attention(a.where(F.col("q") == 0), add_residual)
+        return row0.select("sample_id", F.col("k").cast("int").alias("k"), F.col("weight").alias("score"))
+    if method == "join":
+        top = int(layers) if layers != "all" else n_layers
+        if not top:
+            raise ValueError("the join method needs n_layers")
+        return _rollout_join(att, top, add_residual)
     rows = joint_rows(a, add_residual)
     per = rows.groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct("layer", "q", "row"))).alias("__r"),
@@ -225,19 +194,18 @@ def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True
     return out.select("sample_id", F.col("k").cast("int").alias("k"), "score")
 
 
-def _rollout_join(j: DataFrame) -> DataFrame:
-    last = j.groupBy("sample_id").agg(F.max("layer").alias("__top"))
-    jj = j.join(last, "sample_id")
-    v = jj.where((F.col("layer") == F.col("__top")) & (F.col("q") == 0)).select(
-        "sample_id", "k", F.col("weight").alias("v"), (F.col("__top") - 1).alias("__next"))
-    max_layers = j.agg(F.max("layer")).first()[0] or 0
-    for _ in range(max_layers):
-        m = j.select("sample_id", F.col("layer").alias("__next"), F.col("q").alias("k"),
-                     F.col("k").alias("k2"), F.col("weight").alias("w"))
-        stepped = (v.where(F.col("__next") >= 0).join(m, ["sample_id", "__next", "k"])
-                   .groupBy("sample_id", "__next", "k2").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-                   .select("sample_id", F.col("k2").alias("k"), "v", (F.col("__next") - 1).alias("__next")))
-        v = v.where(F.col("__next") < 0).unionByName(stepped)
+def _rollout_join(att: DataFrame, n_layers: int, add_residual: bool) -> DataFrame:
+    def layer(i: int, *only) -> DataFrame:
+        cells = att.where(F.col("layer") == i)
+        for cond in only:
+            cells = cells.where(cond)
+        return joint_attention(cells, add_residual)
+
+    v = layer(n_layers - 1, F.col("q") == 0).select("sample_id", "k", F.col("weight").alias("v"))
+    for i in range(n_layers - 2, -1, -1):
+        m = layer(i).select("sample_id", F.col("q").alias("k"), F.col("k").alias("k2"), F.col("weight").alias("w"))
+        v = v.join(m, ["sample_id", "k"]).groupBy("sample_id", F.col("k2").alias("k")).agg(
+            F.sum(F.col("v") * F.col("w")).alias("v"))
     return v.select("sample_id", F.col("k").cast("int").alias("k"), F.col("v").alias("score"))
 
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .ranking import join_on_keys
 
-MAX_CLASSES = 10_000
-
 
 def _zero_div(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -28,22 +26,23 @@ def confusion_counts(df: DataFrame, y: str = "y_true", p: str = "y_pred", group:
 
 def confusion_matrix(df: DataFrame, y: str = "y_true", p: str = "y_pred", labels: Sequence[str] | None = None,
                      group: Sequence[str] = ()) -> DataFrame:
-    """Long, zero-filled matrix over the sorted union of true and predicted labels.
+    """Long, zero-filled matrix over the union of true and predicted labels (or ``labels``).
 
-    The label list is collected (bounded, checked) and the L x L spine is
-    generated from it; counts are joined onto the spine.
+    The label frame comes from the counts and is paired with itself for the L x L spine that
+    the matrix is by definition; nothing is collected.  A null label is a class of its own.
     Output: group..., y_true, y_pred, n.
     """
     counts = confusion_counts(df, y, p, group)
     if labels is None:
-        got = (counts.select(F.col("y_true").alias("l")).union(counts.select(F.col("y_pred").alias("l")))
-               .distinct().limit(MAX_CLASSES + 1).collect())
-        if len(got) > MAX_CLASSES:
-            raise ValueError("too many classes for a confusion matrix")
-        labels = sorted(r["l"] for r in got)
-    lab = F.array(*[F.lit(x) for x in labels])
+        both = F.array(F.struct(F.col("y_true").alias("l")), F.struct(F.col("y_pred").alias("l")))
+        names = counts.select(F.explode(both).alias("e")).select("e.l").distinct()
+    else:
+        names = counts.sparkSession.createDataFrame([(x,) for x in labels], "l string")
+    listed = names.agg(F.collect_list(F.struct("l")).alias("__l"))
     groups = counts.select(*group).distinct() if group else counts.sparkSession.range(1).select()
-    spine = groups.select(*group, F.explode(lab).alias("y_true")).select("*", F.explode(lab).alias("y_pred"))
+    spine = groups.select(*group, F.explode(listed.select("__l").scalar()).alias("a")) \
+        .select(*group, F.col("a.l").alias("y_true"), F.explode(listed.select("__l").scalar()).alias("b")) \
+        .select(*group, "y_true", F.col("b.l").alias("y_pred"))
     out = join_on_keys(spine, counts, list(group) + ["y_true", "y_pred"], "left")
     return out.select(*group, "y_true", "y_pred", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
@@ -63,9 +62,15 @@ def class_table(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return e.groupBy(*g, "label").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "support", "predicted")])
 
 
-def per_class_report(df: DataFrame, y: str = "y_true", p: str = "y_pred", group: Sequence[str] = ()) -> DataFrame:
-    """precision, recall, F1 (0 on zero denominators) and support per class."""
+def per_class_report(df: DataFrame, y: str = "y_true", p: str = "y_pred", group: Sequence[str] = (),
+                     labels: Sequence[str] | None = None) -> DataFrame:
+    """precision, recall, F1 (0 on zero denominators) and support per class.  With ``labels``
+    every named class has a row, zeros where it occurs on neither side."""
     ct = class_table(confusion_counts(df, y, p, group), group)
+    if labels is not None:
+        groups = ct.select(*group).distinct() if group else ct.sparkSession.range(1).select()
+        spine = groups.select(*group, F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+        ct = join_on_keys(spine, ct, [*group, "label"], "full").na.fill(0, subset=["tp", "support", "predicted"])
     prec = _zero_div(F.col("tp").cast("double"), F.col("predicted").cast("double"))
     rec = _zero_div(F.col("tp").cast("double"), F.col("support").cast("double"))
     r = ct.select(*group, "label", prec.alias("precision"), rec.alias("recall"), "support")
@@ -81,17 +86,23 @@ def weighted_scores(report: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return report.groupBy(*group).agg(*aggs) if group else report.agg(*aggs)
 
 
-def report_with_overall(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
+def report_with_overall(df: DataFrame, y: str = "y_true", p: str = "y_pred",
+                        labels: Sequence[str] | None = None) -> DataFrame:
     """Per-class rows followed by the ``Overall`` row (weighted averages, total support)."""
-    rep = per_class_report(df, y, p)
+    rep = per_class_report(df, y, p, labels=labels)
     overall = weighted_scores(rep).select(F.lit("Overall").alias("label"), "precision", "recall", "f1", "support")
     return rep.unionByName(overall)
 
 
 def evaluate(df: DataFrame, y: str = "y_true", p: str = "y_pred", group: Sequence[str] = ()) -> DataFrame:
     """accuracy, weighted precision/recall/F1, Matthews correlation, Cohen's kappa."""
+    return evaluate_counts(confusion_counts(df, y, p, list(group)), group)
+
+
+def evaluate_counts(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """:func:`evaluate` from confusion counts (y_true, y_pred, n)."""
     g = list(group)
-    ct = class_table(confusion_counts(df, y, p, g), g)
+    ct = class_table(counts, g)
     rep = ct.select(*g, "label", "tp", "support", "predicted",
                     _zero_div(F.col("tp").cast("double"), F.col("predicted").cast("double")).alias("pr"),
                     _zero_div(F.col("tp").cast("double"), F.col("support").cast("double")).alias("rc"))
@@ -114,3 +125,11 @@ def evaluate(df: DataFrame, y: str = "y_true", p: str = "y_pred", group: Sequenc
     kappa = F.try_divide(F.col("__c") * F.col("__s") - F.col("__tq"), ss - F.col("__tq"))
     return a.select(*g, (F.col("__c") / F.col("__s")).alias("accuracy"), "precision", "recall", "f1",
                     mcc.alias("mcc"), kappa.alias("kappa"))
+
+
+def write_report(df: DataFrame, path: str, y: str = "y_true", p: str = "y_pred",
+                 labels: Sequence[str] | None = None) -> None:
+    """The final report as files below ``path``: matrix, classes (with Overall) and scores, one CSV each."""
+    for name, table in (("matrix", confusion_matrix(df, y, p, labels)), ("classes", report_with_overall(df, y, p, labels)),
+                        ("scores", evaluate(df, y, p))):
+        table.write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/{name}")

@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,23 +22,26 @@ from pyspark.sql import functions as F
 from ..functions.fixed import DEFAULT_MAX_LENGTH, LABEL_MAPPING, WS_RUN
 from ..functions.text import words
 from ..functions.vectors import argmax, decode_label, softmax, vector_columns
-from .metrics import evaluate
+from ..session import reliable_checkpoint
+from .metrics import evaluate_counts
 
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 100, 101, 102
 
 
 # ----------------------------------------------------------------------------- labels
 
-def fit_label_index(train: DataFrame, label: str = "label", out: str = "label_idx"):
-    """Sorted class names -> 0..n-1 (fit on train); an unseen label raises on transform."""
-    return StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc",
-                         handleInvalid="error").fit(train)
+def label_index(train: DataFrame, label: str = "label", out: str = "label_code") -> DataFrame:
+    """label, code: the sorted class names of ``train`` numbered 0..n-1, as a frame."""
+    from .ranking import sequence_number
+    ranked = sequence_number(train.select(label).distinct(), [], [label], out="__rn")
+    return ranked.select(label, (F.col("__rn") - 1).cast("int").alias(out))
 
 
-def encode_labels(model, df: DataFrame, out: str = "label_code") -> DataFrame:
-    col = model.getOutputCol()
-    return model.transform(df).withColumn(out, F.col(col).cast("int")).drop(col) if col != out else \
-        model.transform(df).withColumn(out, F.col(out).cast("int"))
+def encode_labels(index: DataFrame, df: DataFrame, label: str = "label", out: str = "label_code") -> DataFrame:
+    """Adds the code of each row's label; a label that the index lacks raises."""
+    coded = df.join(index, label, "left")
+    unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(F.col(label), F.lit("null")))).cast("int")
+    return coded.withColumn(out, F.coalesce(F.col(out), unseen))
 
 
 # ----------------------------------------------------------------------------- encoding
@@ -100,17 +103,23 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- training
 
+def text_features(text: str = "sentence", label: str = "label", num_features: int = 1 << 16) -> list:
+    """Stages: label index (alphabetical), tokenizer (Python whitespace), hashed term frequencies, IDF."""
+    return [StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="error"),
+            RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=WS_RUN, gaps=True, toLowercase=True),
+            HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
+            IDF(inputCol="__tf", outputCol="features")]
+
+
+def _regression(max_iter: int, reg: float) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial", maxIter=max_iter,
+                              regParam=reg)
+
+
 def text_classifier(text: str = "sentence", label: str = "label", max_iter: int = 50, reg: float = 0.0,
-                    num_features: int = 1 << 16, seed: int = 42) -> Pipeline:
-    """Tokenizer (Python whitespace), hashed term frequencies, IDF, multinomial
-    logistic regression; labels indexed alphabetically and decoded back."""
-    idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="error")
-    tok = RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=WS_RUN, gaps=True, toLowercase=True)
-    tf = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features)
-    idf = IDF(inputCol="__tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial", maxIter=max_iter,
-                            regParam=reg)
-    return Pipeline(stages=[idx, tok, tf, idf, lr])
+                    num_features: int = 1 << 16) -> Pipeline:
+    """:func:`text_features` and multinomial logistic regression (deterministic: no seed)."""
+    return Pipeline(stages=[*text_features(text, label, num_features), _regression(max_iter, reg)])
 
 
 def fit_classifier(train: DataFrame, **kw) -> PipelineModel:
@@ -135,19 +144,51 @@ def predict(model: PipelineModel, df: DataFrame, id_col: str = "row_id", text: s
                          *vector_columns(prob, [f"LABEL_{i}" for i in range(len(names))]))
 
 
-def evaluate_candidates(train: DataFrame, val: DataFrame, iters: Sequence[int] = (5, 10, 20), label: str = "label",
-                        text: str = "sentence", id_col: str = "row_id", **kw) -> DataFrame:
-    """Fit one model per candidate (iteration budget = epoch) and evaluate each on
-    the validation part: epoch, max_iter, accuracy, precision, recall, f1, mcc, kappa."""
-    out = None
-    held = val.withColumnRenamed(label, "__y_true")
-    for epoch, it in enumerate(iters, start=1):
-        m = fit_classifier(train, text=text, label=label, max_iter=it, **kw)
-        p = predict(m, held, id_col, text, keep=["__y_true"]).select(
-            F.lit(epoch).alias("epoch"), F.lit(it).alias("max_iter"), F.col("__y_true").alias("y_true"),
-            F.col("label").alias("y_pred"))
-        out = p if out is None else out.unionByName(p)
-    return evaluate(out, group=["epoch", "max_iter"])
+def train_and_select(train: DataFrame, val: DataFrame, iters: Sequence[int] = (5, 10, 20), text: str = "sentence",
+                     label: str = "label", num_features: int = 1 << 16, reg: float = 0.0,
+                     path: str | None = None, run: str = "run") -> tuple[PipelineModel, DataFrame]:
+    """Train, evaluate per epoch, keep the best: (best model, log records).
+
+    Features are fitted once and stored for all candidates (iteration budgets, one per
+    epoch).  Each epoch logs a train record (loss) and an eval record (eval_loss = mean
+    negative log probability of the true class, accuracy, weighted scores, mcc, kappa), in
+    the shape that ``flatten_log`` and ``training_curves`` read.  The best model has the
+    greatest weighted F1, the earliest on ties; ``path`` saves it."""
+    stages = Pipeline(stages=text_features(text, label, num_features)).fit(train)
+    tr, va = (reliable_checkpoint(stages.transform(part).select("label_idx", "features")) for part in (train, val))
+    best, records = None, []
+    for epoch, budget in enumerate(iters, start=1):
+        fitted = _regression(budget, reg).fit(tr)
+        probability = vector_to_array("probability")
+        scored = fitted.transform(va).select(
+            F.col("label_idx").alias("y_true"), F.col("prediction").alias("y_pred"),
+            F.get(probability, F.col("label_idx").cast("int")).alias("p"))
+        counts = scored.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"), F.sum(
+            -F.log(F.greatest("p", F.lit(1e-15)))).alias("nll"))
+        counts = reliable_checkpoint(counts)
+        total = counts.agg(F.sum("n").alias("n"), F.sum("nll").alias("nll")).first()
+        scores = evaluate_counts(counts.select("y_true", "y_pred", "n")).first()
+        step = int(fitted.summary.totalIterations)
+        loss = float(fitted.summary.objectiveHistory[-1])
+        records.append((run, epoch, 2 * epoch - 1, float(epoch), budget, step, loss, *[None] * 7))
+        records.append((run, epoch, 2 * epoch, float(epoch), budget, step, None, total["nll"] / total["n"], scores["accuracy"],
+                        scores["precision"], scores["recall"], scores["f1"], scores["mcc"], scores["kappa"]))
+        if best is None or scores["f1"] > best[0]:
+            best = scores["f1"], fitted
+    model = PipelineModel(stages=[*stages.stages, best[1]])
+    if path is not None:
+        save_model(model, path)
+    schema = ("run string, step long, log_pos long, epoch double, max_iter long, iterations long, loss double, "
+              "eval_loss double, eval_accuracy double, eval_precision double, eval_recall double, eval_f1 double, "
+              "eval_mcc double, eval_kappa double")
+    return model, train.sparkSession.createDataFrame(records, schema)
+
+
+def evaluate_candidates(train: DataFrame, val: DataFrame, iters: Sequence[int] = (5, 10, 20), **kw) -> DataFrame:
+    """The eval records of :func:`train_and_select`: epoch, max_iter, accuracy, precision, recall, f1, mcc, kappa."""
+    log = train_and_select(train, val, iters, **kw)[1].where(F.col("eval_loss").isNotNull())
+    return log.select(F.col("step").cast("int").alias("epoch"), F.col("max_iter").cast("int").alias("max_iter"),
+                      *[F.col(f"eval_{m}").alias(m) for m in ("accuracy", "precision", "recall", "f1", "mcc", "kappa")])
 
 
 # ----------------------------------------------------------------------------- fixed scorer

@@ -6,8 +6,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from ..functions.text import split_labels
 from ..session import reliable_checkpoint
 from .ranking import join_on_keys, sequence_number
-from .stats import exact_quantiles
 
 # Portable type names (the same words DuckDB prints for its types).
 _TYPE_NAMES = {
@@ -37,24 +36,29 @@ def type_name(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
+def _missing(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    return c.isNull() | F.isnan(c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.isNull()
+
+
 def head(df: DataFrame, n: int = 5, order: Sequence[str] = ("row_id",)) -> DataFrame:
     """First ``n`` rows in file order (planned as a distributed TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(n)
 
 
 def column_info(df: DataFrame) -> DataFrame:
-    """Per column: position, name, type, non-null count — one scan, no join."""
+    """Per column: position, name, type, non-null count (NaN is missing) — one scan, no join."""
     cells = [F.struct(F.lit(i).cast("int").alias("col_pos"), F.lit(f.name).alias("col_name"),
                       F.lit(type_name(f.dataType)).alias("col_type"),
-                      F.count(F.col(f"`{f.name}`")).cast("long").alias("non_null"))
+                      F.count_if(~_missing(f)).cast("long").alias("non_null"))
              for i, f in enumerate(df.schema.fields)]
     return df.agg(F.array(*cells).alias("__c")).select(F.inline("__c"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """``isnull().sum()`` per column, one scan."""
+    """``isnull().sum()`` per column (NaN is missing), one scan."""
     cells = [F.struct(F.lit(i).cast("int").alias("col_pos"), F.lit(f.name).alias("col_name"),
-                      F.count_if(F.col(f"`{f.name}`").isNull()).cast("long").alias("n_null"))
+                      F.count_if(_missing(f)).cast("long").alias("n_null"))
              for i, f in enumerate(df.schema.fields)]
     return df.agg(F.array(*cells).alias("__c")).select(F.inline("__c"))
 
@@ -74,7 +78,7 @@ _NUMERIC = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.
 def _numeric_view(f: T.StructField) -> Column | None:
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, _NUMERIC):
-        return c.cast("double")
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if isinstance(f.dataType, T.TimestampNTZType):
         # wall-clock timestamps: read as UTC whatever the session time zone is
         utc = F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
@@ -87,23 +91,22 @@ def _numeric_view(f: T.StructField) -> Column | None:
     return None
 
 
-def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int | None = None) -> DataFrame:
+def summary(df: DataFrame, digits: int | None = None) -> DataFrame:
     """``describe(include='all')`` as one row per column.
 
     Categorical columns (strings, booleans): n, n_unique, top, freq (ties: smallest
     value).  Numeric and datetime columns: n, mean, std (ddof=1), min, exact
-    linear quartiles, max.  Cells that do not apply are NULL.
-
-    Plan (a fixed number of passes, whatever the column count):
-    1. numeric columns are unpivoted to (column, value) and value-counted in one
-       aggregation (map-side combine; kept for the next small steps);
-    2. from the counts: n, mean, min, max and the exact number of distinct values;
-       then the variance in a second pass over the counts, centred on the mean;
-    3. quartiles: for a column with at most ``exact_distinct_limit`` distinct
-       values, running counts in value order (one window partition per column,
-       bounded by the checked cardinality); above it, the bucketed search of
-       :func:`lexiframe.operators.stats.exact_quantiles`;
-    4. categorical columns: unpivoted and value-counted in one aggregation.
+    linear quartiles, max; NaN is missing, values are taken as doubles.  Cells that do
+    not apply are NULL.
+
+    Plan (a fixed number of passes, whatever the columns hold):
+    1. numeric columns are unpivoted to (column, value), value-counted in one aggregation
+       and range-partitioned by (column, value);
+    2. counts per (column, range) give n, mean, min, max and the ranges that hold the
+       quartiles; only those ranges are ordered (:func:`_quartiles_from_counts`);
+    3. categorical columns are counted by the 64-bit hash of the value, so no text is
+       shuffled for the counts (two texts with one hash would count as one); the top value
+       is the least text among the rows with a most frequent hash.
     """
     spark = df.sparkSession
     fields = df.schema.fields
@@ -120,75 +123,78 @@ def summary(df: DataFrame, exact_distinct_limit: int = 1_000_000, digits: int |
         long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.alias("v"))
                                                for i, (_, c) in enumerate(numeric)])).alias("e")).select("e.c", "e.v")
         vc = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-        vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            first = {x["c"]: x for x in vc.groupBy("c").agg(
-                F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                (F.sum(F.col("v") * F.col("cnt")) / F.sum("cnt")).alias("mean")).collect()}
+        vc = reliable_checkpoint(vc.repartitionByRange("c", "v").withColumn("p", F.spark_partition_id()))
+        first = {x["c"]: x for x in vc.groupBy("c").agg(
+            F.sum("cnt").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            (F.sum(F.col("v") * F.col("cnt")) / F.sum("cnt")).alias("mean")).collect()}
+        if first:
             means = F.create_map(*[y for c, x in first.items() for y in (F.lit(c), F.lit(x["mean"]))])
             var = {x["c"]: x["m2"] for x in vc.groupBy("c").agg(
                 F.sum(F.col("cnt") * F.pow(F.col("v") - means[F.col("c")], 2)).alias("m2")).collect()}
-            bounded = [c for c, x in first.items() if x["d"] <= exact_distinct_limit]
-            quart = _quartiles_from_counts(vc, {c: first[c]["n"] for c in bounded}) if bounded else {}
-            for i, (f, c) in enumerate(numeric):
-                if i not in first:
-                    rows[f.name] = (f.name, 0, None, None, None, None, None, None, None, None, None, None)
-                    continue
-                x = first[i]
-                if i not in quart:
-                    qs = exact_quantiles(df.select(c.alias("__v")), "__v", [0.25, 0.5, 0.75])
-                    quart[i] = [qs[0.25], qs[0.5], qs[0.75]]
-                std = (var[i] / (x["n"] - 1)) ** 0.5 if x["n"] > 1 else None
-                rows[f.name] = (f.name, x["n"], None, None, None, r(x["mean"]), r(std), r(x["lo"]),
-                                *[r(q) for q in quart[i]], r(x["hi"]))
-        finally:
-            vc.unpersist()
+            quart = _quartiles_from_counts(vc, {c: x["n"] for c, x in first.items()})
+        for i, (f, _) in enumerate(numeric):
+            if i not in first:
+                rows[f.name] = (f.name, 0, None, None, None, None, None, None, None, None, None, None)
+                continue
+            x = first[i]
+            std = (var[i] / (x["n"] - 1)) ** 0.5 if x["n"] > 1 else None
+            rows[f.name] = (f.name, x["n"], None, None, None, r(x["mean"]), r(std), r(x["lo"]),
+                            *[r(q) for q in quart[i]], r(x["hi"]))
     if categorical:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("c"), F.col(f"`{f.name}`").cast("string").alias("v"))
-                                               for j, f in enumerate(categorical)])).alias("e")).select("e.c", "e.v")
-        vc = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-        got = {row["c"]: row for row in vc.groupBy("c").agg(
-            F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"),
-            F.min_by("v", F.struct(-F.col("cnt"), F.col("v"))).alias("top"), F.max("cnt").alias("freq")).collect()}
+        cells = F.explode(F.array(*[F.struct(F.lit(j).alias("c"), F.col(f"`{f.name}`").cast("string").alias("v"))
+                                    for j, f in enumerate(categorical)]))
+        long = df.select(cells.alias("e")).select("e.c", "e.v").where(F.col("v").isNotNull()) \
+            .withColumn("h", F.xxhash64("v"))
+        counts = reliable_checkpoint(long.groupBy("c", "h").agg(F.count(F.lit(1)).alias("cnt")))
+        got = {row["c"]: row for row in counts.groupBy("c").agg(
+            F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"), F.max("cnt").alias("freq")).collect()}
+        # where every value is unique any text may be the top one; elsewhere only the most frequent hashes' texts
+        unique = [c for c, g in got.items() if g["freq"] == 1]
+        often = [(F.col("c") == c) & (F.col("cnt") == g["freq"]) for c, g in got.items() if g["freq"] > 1]
+        texts = long.where(F.col("c").isin(unique)).select("c", "v")
+        if often:
+            best = counts.where(reduce(lambda a, b: a | b, often)).select("c", "h")
+            texts = texts.unionByName(long.where(~F.col("c").isin(unique)).join(best, ["c", "h"], "left_semi").select("c", "v"))
+        top = {row["c"]: row["v"] for row in texts.groupBy("c").agg(F.min("v").alias("v")).collect()}
         for j, f in enumerate(categorical):
             g = got.get(j)
-            rows[f.name] = (f.name, g["n"] if g else 0, g["u"] if g else 0, g["top"] if g else None,
+            rows[f.name] = (f.name, g["n"] if g else 0, g["u"] if g else 0, top.get(j),
                             g["freq"] if g else None, None, None, None, None, None, None, None)
     ordered = [rows[f.name] for f in fields]
     return spark.createDataFrame(ordered, _SUMMARY_SCHEMA)
 
 
 def _quartiles_from_counts(vc: DataFrame, n_by_col: dict, probs=(0.25, 0.5, 0.75)) -> dict:
-    """Exact linear quartiles from a (c, v, cnt) value-count table: running counts
-    in value order per column; only the rows that hold the wanted ranks come back."""
-    wanted = {}
-    for c, n in n_by_col.items():
-        for p in probs:
-            pos = p * (n - 1)
-            wanted.setdefault(c, []).extend([int(math.floor(pos)), int(math.ceil(pos))])
-    w = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = vc.where(F.col("c").isin(list(n_by_col))).withColumn("__end", F.sum("cnt").over(w)) \
-        .withColumn("__start", F.col("__end") - F.col("cnt"))
-    cond = None
-    for c, ranks in wanted.items():
-        for rk in set(ranks):
-            t = (F.col("c") == c) & (F.col("__start") <= rk) & (F.col("__end") > rk)
-            cond = t if cond is None else (cond | t)
-    hits = cum.where(cond).select("c", "v", "__start", "__end").collect()
+    """Exact linear quartiles from value counts (c, v, cnt) in ranges p of (c, v).
+
+    Sums per (c, p) come back (at most ranges + columns rows) and name the range of each
+    wanted rank; running counts are taken inside those ranges only."""
+    sums = sorted((x["c"], x["p"], x["n"]) for x in vc.groupBy("c", "p").agg(F.sum("cnt").alias("n")).collect())
+    start, seen = {}, {}
+    for c, p, n in sums:
+        start[c, p] = seen.get(c, 0), seen.get(c, 0) + n
+        seen[c] = seen.get(c, 0) + n
+    ranks = {(c, rank) for c, n in n_by_col.items() for q in probs
+             for rank in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+    home = {(c, rank): next(k for k, (lo, hi) in start.items() if k[0] == c and lo <= rank < hi) for c, rank in ranks}
+    w = Window.partitionBy("c", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = vc.where(reduce(lambda a, b: a | b, [(F.col("c") == c) & (F.col("p") == p) for c, p in set(home.values())]))
+    cum = inside.withColumn("__end", F.sum("cnt").over(w)).withColumn("__start", F.col("__end") - F.col("cnt"))
+    wanted = [(F.col("c") == c) & (F.col("p") == k[1]) & (F.col("__start") <= rank - start[k][0])
+              & (F.col("__end") > rank - start[k][0]) for (c, rank), k in home.items()]
+    hits = cum.where(reduce(lambda a, b: a | b, wanted)).select("c", "p", "v", "__start", "__end").collect()
+
+    def at(c, rank):
+        k = home[c, rank]
+        return next(h["v"] for h in hits if (h["c"], h["p"]) == k and h["__start"] <= rank - start[k][0] < h["__end"])
+
     out = {}
     for c, n in n_by_col.items():
-        def at(rank):
-            for h in hits:
-                if h["c"] == c and h["__start"] <= rank < h["__end"]:
-                    return h["v"]
-            raise AssertionError("rank not found")
-        qs = []
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            a, b = at(lo), at(hi)
-            qs.append(a + (b - a) * (pos - lo))
-        out[c] = qs
+        out[c] = []
+        for q in probs:
+            pos = q * (n - 1)
+            a, b = at(c, math.floor(pos)), at(c, math.ceil(pos))
+            out[c].append(a + (b - a) * (pos - math.floor(pos)))
     return out
 
 
@@ -211,15 +217,35 @@ def duplicate_rows(df: DataFrame, subset: Sequence[str], out: str = "dup_count")
 
 
 def duplicate_report(df: DataFrame, subset: Sequence[str]) -> DataFrame:
-    """One row: rows that belong to duplicate groups and the number of such groups."""
-    groups = duplicate_rows(df, subset).groupBy(*subset).agg(F.count(F.lit(1)).alias("__n"))
+    """One row: rows that belong to duplicate groups and the number of such groups.
+
+    Keys are compared by two 64-bit hashes, so no text is shuffled or stored for two numbers."""
+    cols = [F.col(c) for c in subset]
+    # nulls do not change a hash: their positions are hashed as well
+    nulls = [F.col(c).isNull() for c in subset]
+    keyed = df.select(F.xxhash64(*cols, *nulls).alias("h1"), F.xxhash64(F.lit(1), *cols, *nulls).alias("h2"))
+    groups = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
     return groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n_dup_rows"),
                       F.count(F.lit(1)).cast("long").alias("n_dup_groups"))
 
 
+def drop_nulls(df: DataFrame, columns: Sequence[str], on_null: str = "error") -> DataFrame:
+    """The null policy of text steps: ``'drop'`` leaves rows with a null in ``columns`` out,
+    ``'error'`` raises when such a row is met (while the rows stream by, without a pass of its own)."""
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    if on_null == "drop":
+        return df.where(~bad)
+    if on_null != "error":
+        raise ValueError("on_null is 'error' or 'drop'")
+    message = F.lit(f"null in one of {list(columns)}")
+    return df.withColumns({c: F.coalesce(c, F.raise_error(message).cast(df.schema[c].dataType)) for c in columns})
+
+
 def explode_labels(df: DataFrame, label: str = "label", sep: str = ",", out: str = "label_item",
-                   pos: str | None = "label_pos", trim_labels: bool = False) -> DataFrame:
-    """One row per list element; every other column repeated (bag semantics)."""
+                   pos: str | None = "label_pos", trim_labels: bool = False, on_null: str = "error") -> DataFrame:
+    """One row per list element; every other column repeated (bag semantics).
+    A null label raises, or leaves its row out with ``on_null='drop'``."""
+    df = drop_nulls(df, [label], on_null)
     arr = split_labels(label, sep, trim_labels)
     if pos:
         return df.select("*", F.posexplode(arr).alias(pos, out))
@@ -246,40 +272,44 @@ def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
 
 
 def cooccurrence(df: DataFrame, label: str = "label", sep: str = ",") -> DataFrame:
-    """Ordered label pairs inside each row's list, diagonal included, multiplicity
-    counted (a label twice in one row adds 2 x 2 to its diagonal).
-
-    Rows are first reduced to distinct label strings with their counts, then each
-    string's per-label multiplicities are paired inside that string only, so the
-    work depends on distinct strings and their lengths, not on rows.
-    Output (non-zero cells): label_a, label_b, n.
-    """
-    strings = df.groupBy(F.col(label).alias("__s")).agg(F.count(F.lit(1)).alias("__rows"))
-    per = (strings.select("__s", "__rows", F.explode(split_labels("__s", sep)).alias("__l"))
-           .groupBy("__s", "__rows", "__l").agg(F.count(F.lit(1)).alias("__m")))
-    a = per.select("__s", F.col("__rows"), F.col("__l").alias("label_a"), F.col("__m").alias("__ma"))
-    b = per.select(F.col("__s").alias("__s2"), F.col("__l").alias("label_b"), F.col("__m").alias("__mb"))
-    pairs = a.join(b, a["__s"].eqNullSafe(b["__s2"]))
-    return pairs.groupBy("label_a", "label_b").agg(
-        F.sum(F.col("__rows") * F.col("__ma") * F.col("__mb")).cast("long").alias("n"))
+    """:func:`cooccurrence_lists` over a column of ``sep``-joined labels."""
+    return cooccurrence_lists(df.select(split_labels(label, sep).alias("items")))
 
 
 def cooccurrence_items(items: DataFrame, row: str = "row_id", label: str = "label_item") -> DataFrame:
-    """Co-occurrence from an exploded (row, label) table: per row, every ordered
-    pair of its labels weighted by their multiplicities (``Task,Task`` adds 4).
-    Rows are first reduced to (row, label, multiplicity), so a row with a huge
-    list contributes only its distinct labels to the pairing.
-    Output (non-zero cells): label_a, label_b, n."""
+    """Co-occurrence from an exploded (row, label) table: per row, every ordered pair of its
+    labels weighted by their multiplicities.  Rows are first reduced to one map of label
+    counts each (partial sums, so a row with a third of all items is pre-aggregated), then
+    the map is exploded twice.  Output (non-zero cells): label_a, label_b, n."""
     m = items.groupBy(row, label).agg(F.count(F.lit(1)).alias("__m"))
-    a = m.select(F.col(row).alias("__ra"), F.col(label).alias("label_a"), F.col("__m").alias("__ma"))
-    b = m.select(F.col(row).alias("__rb"), F.col(label).alias("label_b"), F.col("__m").alias("__mb"))
-    pairs = a.join(b, a["__ra"].eqNullSafe(b["__rb"]))
-    return pairs.groupBy("label_a", "label_b").agg(F.sum(F.col("__ma") * F.col("__mb")).cast("long").alias("n"))
+    per = m.groupBy(row).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("__m").alias("m"))).alias("__l"))
+    lists = per.groupBy(F.array_sort("__l").alias("__l")).agg(F.count(F.lit(1)).alias("__rows"))
+    a = lists.select("__l", "__rows", F.explode("__l").alias("a"))
+    pairs = a.select("a", F.explode("__l").alias("b"), "__rows")
+    return pairs.groupBy(F.col("a.l").alias("label_a"), F.col("b.l").alias("label_b")).agg(
+        F.sum(F.col("a.m") * F.col("b.m") * F.col("__rows")).cast("long").alias("n"))
+
+
+def cooccurrence_lists(df: DataFrame, items: str = "items") -> DataFrame:
+    """Co-occurrence from an array column: every ordered pair of one row's elements counts,
+    so a label twice in a row adds 4 to its diagonal.  Two explodes of the row's own list;
+    rows are first reduced to distinct lists with their counts.
+    Output (non-zero cells): label_a, label_b, n."""
+    lists = df.groupBy(F.col(items).alias("__l")).agg(F.count(F.lit(1)).alias("__rows"))
+    one = lists.select("__l", "__rows", F.explode("__l").alias("label_a"))
+    return one.select("label_a", F.explode("__l").alias("label_b"), "__rows") \
+        .groupBy("label_a", "label_b").agg(F.sum("__rows").cast("long").alias("n"))
+
+
+def dense_cooccurrence(pairs: DataFrame) -> DataFrame:
+    """The square form as rows: every pair of the labels that occur, zero-filled."""
+    listed = pairs.agg(F.collect_set("label_a").alias("__l"))
+    spine = pairs.select("label_a").distinct().select("label_a", F.explode(listed.select("__l").scalar()).alias("label_b"))
+    out = join_on_keys(spine, pairs, ["label_a", "label_b"], "left")
+    return out.select("label_a", "label_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def cooccurrence_matrix(pairs: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
-    """Dense square form, zero-filled, columns named by label (pivot with explicit values)."""
-    if labels is None:
-        labels = [r[0] for r in pairs.select("label_a").distinct().orderBy("label_a").collect()]
+def cooccurrence_matrix(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Dense square form, zero-filled, one column per given label (pivot with explicit values)."""
     return (pairs.groupBy("label_a").pivot("label_b", list(labels)).agg(F.sum("n"))
             .na.fill(0, subset=list(labels)))

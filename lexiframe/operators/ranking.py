@@ -28,13 +28,16 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Colu
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join that keeps one copy of the key columns."""
+    """Null-safe equi-join that keeps one copy of the key columns; in right and full joins
+    the key comes from whichever side has the row."""
     if not keys:
         raise ValueError("join_on_keys needs at least one key")
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
     out = left.join(r, cond, how)
+    if how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "left_anti"):
+        out = out.withColumns({k: F.coalesce(k, f"__r_{k}") for k in keys})
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
@@ -43,26 +46,28 @@ def sequence_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: st
     """1-based ordinal of each row inside its key, by ``order`` (must be a total order);
     with no keys, a global ordinal computed by the same range-partitioned scheme.
 
-    Plan: RangeExchange(keys, order) -> checkpoint (fixes partition ids) ->
-    local row_number per (keys, pid) + per-(keys, pid) counts -> offsets by a
-    window over the small counts table -> join on (keys, pid).
+    Plan: one full-row exchange, RangeExchange(keys, order); every partition is sorted and
+    its rows take an increasing id in the same stage; the checkpoint fixes them.  Rows per
+    (key, partition) give the id of a key's first row in each partition and the rows in the
+    partitions before, so that the ordinal is (id - first + before + 1): that table has at
+    most keys + partitions rows and is all that is joined back.
     """
     spark = df.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = list(keys)
     order_cols = _cols(order)
-    ranged = df.repartitionByRange(n, *_cols(keys), *order_cols).withColumn("__pid", F.spark_partition_id())
-    ranged = reliable_checkpoint(ranged)
-    local = ranged.withColumn(
-        "__lrn", F.row_number().over(Window.partitionBy(*keys, "__pid").orderBy(*order_cols)))
-    counts = ranged.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__n"))
+    ranged = df.repartitionByRange(n, *_cols(keys), *order_cols).sortWithinPartitions(*_cols(keys), *order_cols)
+    ranged = reliable_checkpoint(ranged.withColumn("__id", F.monotonically_increasing_id())) \
+        .withColumn("__pid", F.shiftright("__id", 33))
+    counts = ranged.groupBy(*keys, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     # the offsets window runs over (keys x range partitions) rows only; without
     # keys it is a single ordering of at most ``n`` partition counts
     before = (Window.partitionBy(*keys) if keys else Window).orderBy("__pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    joined = join_on_keys(local, offsets, keys + ["__pid"])
-    return joined.withColumn(out, (F.col("__off") + F.col("__lrn")).cast("long")).drop("__pid", "__lrn", "__off")
+    offsets = counts.select(*keys, "__pid", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1)
+                            .alias("__off"))
+    joined = join_on_keys(ranged, offsets, keys + ["__pid"])
+    return joined.withColumn(out, (F.col("__id") + F.col("__off")).cast("long")).drop("__pid", "__id", "__off")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, out: str | None = "rank") -> DataFrame:

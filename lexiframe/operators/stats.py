@@ -185,14 +185,15 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
 # ----------------------------------------------------------------------------- density
 
 def kde(df: DataFrame, value: str, keys: Sequence[str] = (), gridsize: int = KDE_GRIDSIZE,
-        cut: float = KDE_CUT, scale: str = "density") -> DataFrame:
+        cut: float = KDE_CUT, scale: str = "density", bins: int | None = None) -> DataFrame:
     """Gaussian KDE per group, Scott bandwidth ``std(ddof=1) * n**-0.2``, each group
     normalised on its own; grid ``linspace(min - cut*bw, max + cut*bw, gridsize)``.
 
-    Work is proportional to (distinct values x gridsize), never rows x grid:
-    values are first counted, the grid is generated next to each counted value
-    and partial sums are aggregated.  ``scale='count'`` multiplies by n (the
-    curve drawn over a count histogram).  Groups with < 2 rows or zero spread
+    Work is (distinct values x gridsize): few for lengths and counts, rows x grid for
+    continuous values.  Values are first counted, the grid is generated next to each counted value
+    and partial sums are aggregated.  ``scale='count'`` multiplies by n x bin width, the
+    width being that of ``bins`` equal bins over the group's range (the curve over its count
+    histogram).  Groups with < 2 rows or zero spread
     have no density and give no rows.
     Output: keys..., grid_idx, x, density.
     """
@@ -202,6 +203,7 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), gridsize: int = KDE
                                     F.min(v).alias("__min"), F.max(v).alias("__max"))
     stats = (stats.where((F.col("__n") >= 2) & (F.col("__sd") > 0))
              .withColumn("__bw", F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
+             .withColumn("__width", (F.col("__max") - F.col("__min")) / F.lit(float(bins or 1)))
              .withColumn("__g0", F.col("__min") - F.col("__bw") * cut)
              .withColumn("__g1", F.col("__max") + F.col("__bw") * cut))
     weights = base.groupBy(*keys, v.alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
@@ -212,16 +214,18 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), gridsize: int = KDE
         w = join_on_keys(weights, stats, list(keys))
     else:
         w = weights.select("*", *[stats.select(c).scalar().alias(c) for c in
-                                  ("__n", "__bw", "__g0", "__g1")]).where(F.col("__bw").isNotNull())
-    grid = w.select(*keys, "__x", "__c", "__n", "__bw", "__g0", "__g1",
+                                  ("__n", "__bw", "__g0", "__g1", "__width")]).where(F.col("__bw").isNotNull())
+    grid = w.select(*keys, "__x", "__c", "__n", "__bw", "__g0", "__g1", "__width",
                     F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_idx"))
     grid = grid.withColumn("x", gx)
     u = (F.col("x") - F.col("__x")) / F.col("__bw")
     contrib = F.col("__c") * F.exp(F.lit(-0.5) * u * u)
-    summed = grid.groupBy(*keys, "grid_idx", "x", "__n", "__bw").agg(F.sum(contrib).alias("__s"))
+    summed = grid.groupBy(*keys, "grid_idx", "x", "__n", "__bw", "__width").agg(F.sum(contrib).alias("__s"))
     dens = F.col("__s") / (F.col("__n") * F.col("__bw") * F.lit(math.sqrt(2 * math.pi)))
     if scale == "count":
-        dens = dens * F.col("__n")
+        if not bins:
+            raise ValueError("scale='count' needs the number of bins")
+        dens = dens * F.col("__n") * F.col("__width")
     return summed.select(*keys, F.col("grid_idx").cast("int").alias("grid_idx"), "x", dens.alias("density"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import join_on_keys, sequence_number
+from .ranking import sequence_number
 
 _NUMERIC = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.DecimalType,
             T.BooleanType)
@@ -22,21 +22,12 @@ DEFAULT_BRIDGE = {"loss": "train_loss", "eval_f1": "val_f1"}
 
 
 def numeric_fields(records: DataFrame, exclude: Sequence[str] = ("epoch",), id_cols: Sequence[str] = ()) -> list[str]:
-    """Keys whose value is a number (or bool) somewhere.  A key that the reader
-    inferred as text (mixed types) is kept if any of its values parses as a number."""
+    """Keys whose value is a number (or bool) somewhere.  A key that the reader inferred as
+    text is kept only if its values have mixed types: ``read_trainer_log`` names such keys in
+    the column's metadata (``numeric``), so a text such as "0.5" alone never makes a metric."""
     skip = set(exclude) | set(id_cols) | {"step", "log_pos"}
-    out, texty = [], []
-    for f in records.schema.fields:
-        if f.name in skip:
-            continue
-        if isinstance(f.dataType, _NUMERIC):
-            out.append(f.name)
-        elif isinstance(f.dataType, T.StringType):
-            texty.append(f.name)
-    if texty:
-        row = records.agg(*[F.max(F.col(c).try_cast("double").isNotNull()).alias(c) for c in texty]).first()
-        out += [c for c in texty if row[c]]
-    return out
+    return [f.name for f in records.schema.fields if f.name not in skip and (
+        isinstance(f.dataType, _NUMERIC) or (f.metadata or {}).get("numeric", False))]
 
 
 def flatten_log(records: DataFrame, keep: Sequence[str] | None = None, id_cols: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +55,8 @@ def training_curves(records: DataFrame, keys: Sequence[str] = ("run",)) -> DataF
     """k-th train loss beside the k-th eval loss and accuracy (epoch = k).
 
     Train records: ``loss`` present and no ``eval_loss``; eval records: ``eval_loss``
-    present.  Ordinals by (step, log_pos) per run, skew-safe; full outer join on them.
+    present.  One skew-safe ordinal per (run, kind) by (step, log_pos), then one grouping by
+    (run, epoch): a side that has no k-th record leaves its columns null.
     """
     k = list(keys)
     is_train = F.col("loss").isNotNull() & F.col("eval_loss").isNull()
@@ -72,12 +64,13 @@ def training_curves(records: DataFrame, keys: Sequence[str] = ("run",)) -> DataF
     kind = F.when(is_train, F.lit("train")).when(is_eval, F.lit("eval"))
     recs = records.select(*k, "step", "log_pos", kind.alias("__kind"), "loss", "eval_loss", "eval_accuracy") \
         .where(F.col("__kind").isNotNull())
-    # one skew-safe ordinal for both record kinds (keyed by run and kind)
     ranked = sequence_number(recs, k + ["__kind"], ["step", "log_pos"], out="epoch")
-    train = ranked.where(F.col("__kind") == "train").select(*k, "epoch", F.col("loss").alias("train_loss"))
-    evals = ranked.where(F.col("__kind") == "eval").select(*k, "epoch", "eval_loss", "eval_accuracy")
-    out = join_on_keys(train, evals, k + ["epoch"], "full")
-    return out.select(*k, "epoch", "train_loss", "eval_loss", "eval_accuracy")
+
+    def of(which: str, col: str):
+        return F.max(F.when(F.col("__kind") == which, F.col(col)))
+
+    return ranked.groupBy(*k, "epoch").agg(of("train", "loss").alias("train_loss"), of("eval", "eval_loss").alias("eval_loss"),
+                                           of("eval", "eval_accuracy").alias("eval_accuracy"))
 
 
 def best_checkpoint(evals: DataFrame, metric: str = "eval_f1", keys: Sequence[str] = ("run",),

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.fixed import NA_TOKENS
 from ..functions.text import contains_text, strip_subword_prefix, strip_ws, word_count, html_escape
+from ..functions.vectors import argmax
 from ..operators import attention as att_ops
 from ..operators import metrics, model, outliers, profile, split, stats, trainlog
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, scratch_path
 from ..sources import files, tables
 from . import sql as S
 
@@ -25,15 +27,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-# Rounding for comparison: half away from zero, made stable under float
-# summation-order noise by a relative nudge (1e-12) far below the rounding step.
-ROUND_NUDGE = 1e-12
+# Rounding for comparison: through a decimal with four digits more, half away from zero.
+# The extra digits absorb float summation order; the value itself is not changed.
+EXTRA_DIGITS = 4
 
 
-def _nudge_rounds(sql: str) -> str:
-    """Rewrite every ``round(E, d)`` of the oracle text as ``(round((E) * (1 + nudge), d) + 0.0)``
-    (the same arithmetic as :func:`rnd`; ``+ 0.0`` maps -0.0 to 0.0 as Spark's
-    rounding does).  Upper-case ``ROUND`` is left alone."""
+def _decimal_rounds(sql: str) -> str:
+    """Rewrite every ``round(E, d)`` of the oracle text as :func:`_round` does it.
+    Upper-case ``ROUND`` is left alone."""
     out, i = [], 0
     while True:
         j = sql.find("round(", i)
@@ -51,9 +52,9 @@ def _nudge_rounds(sql: str) -> str:
             elif ch == "," and depth == 1:
                 comma = k
             k += 1
-        inner = _nudge_rounds(sql[j + len("round("):comma])
-        # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's decimal rounding has no negative zero)
-        out.append(f"(round(({inner}) * (1 + {ROUND_NUDGE!r}),{sql[comma + 1:k - 1]}) + 0.0)")
+        inner = _decimal_rounds(sql[j + len("round("):comma])
+        digits = int(sql[comma + 1:k - 1])
+        out.append(f"CAST(ROUND(TRY_CAST({inner} AS DECIMAL(38, {digits + EXTRA_DIGITS})), {digits}) AS DOUBLE)")
         i = k
 
 
@@ -61,7 +62,7 @@ def query(name: str, oracle: str | None = None):
     def deco(fn):
         _QUERIES[name] = fn
         if oracle is not None:
-            _SQL[name] = _nudge_rounds(oracle)
+            _SQL[name] = _decimal_rounds(oracle)
         return fn
     return deco
 
@@ -81,28 +82,27 @@ def rnd(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _round(c, digits: int):
-    return F.round(c * F.lit(1 + ROUND_NUDGE), digits)
+    return F.round(c.try_cast(f"decimal(38,{digits + EXTRA_DIGITS})"), digits).cast("double")
 
 
 def _t(spark, sf, name):
     return tables.load(spark, sf, name)
 
 
-def sentences(spark, sf, with_text: bool = False) -> DataFrame:
-    """Multi-label sentences from ``documents`` with word counts, materialised
-    once in the checkpoint folder: several branches of a plan read it (label
-    statistics, the rows to trim), and the costly text pass must not be repeated
-    nor pushed into the scan task by an inferred filter."""
-    docs = _t(spark, sf, "documents")
-    s = tables.multilabel_sentences(docs, keep=["lang"])
-    s = s.withColumn("n_words", word_count("sentence"))
-    if not with_text:
-        s = s.drop("sentence")
-    return reliable_checkpoint(s)
+def labelled(spark, sf) -> DataFrame:
+    """Multi-label sentences from ``documents``: row_id, sentence, label, lang (lazy, so a
+    query reads only the columns it uses)."""
+    return tables.multilabel_sentences(_t(spark, sf, "documents"), keep=["lang"])
 
 
-def exploded(spark, sf, with_text: bool = False) -> DataFrame:
-    return profile.explode_labels(sentences(spark, sf, with_text), "label")
+def sentences(spark, sf) -> DataFrame:
+    """row_id, label, lang, n_words, materialised once: several branches of a plan read it
+    (label statistics, the rows to trim) and the text pass must not be repeated."""
+    return reliable_checkpoint(labelled(spark, sf).select("row_id", "label", "lang", word_count("sentence").alias("n_words")))
+
+
+def exploded(spark, sf, s: DataFrame | None = None) -> DataFrame:
+    return profile.explode_labels(sentences(spark, sf) if s is None else s, "label")
 
 
 def tokens(spark, sf) -> DataFrame:
@@ -135,15 +135,14 @@ FROM kept GROUP BY label_item
 def trimmed_label_profile(spark, sf):
     """Word-count profile per label after per-label z-score trimming (flagship)."""
     kept = outliers.trim_by_label(exploded(spark, sf), "label_item", "n_words")
-    q = stats.grouped_quantiles(kept, "n_words", [0.25, 0.5, 0.75], ["label_item"], ["q25_words", "q50_words", "q75_words"])
-    m = kept.groupBy("label_item").agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.avg("n_words").alias("mean_words"),
-                                       F.min("n_words").alias("min_words"), F.max("n_words").alias("max_words"))
-    out = m.join(q, "label_item")
-    return rnd(out.select(F.col("label_item").alias("label"), "n_rows", "mean_words", "q25_words", "q50_words",
-                          "q75_words", "min_words", "max_words"))
+    x = F.percentile("n_words", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    m = kept.groupBy("label_item").agg(
+        F.count(F.lit(1)).cast("long").alias("n_rows"), F.avg("n_words").alias("mean_words"), x.alias("q"),
+        F.min("n_words").alias("min_words"), F.max("n_words").alias("max_words"))
+    return rnd(m.select(F.col("label_item").alias("label"), "n_rows", "mean_words", F.col("q")[0].alias("q25_words"),
+                        F.col("q")[1].alias("q50_words"), F.col("q")[2].alias("q75_words"), "min_words", "max_words"))
 
 
-# ============================================================================ sources
 @query("o_s3_read_text_lines", f"""
 SELECT * FROM (
   SELECT conv_id, turn, CAST(unnest(generate_series(0, len(ls) - 1)) AS INTEGER) AS line_no,
@@ -156,6 +155,38 @@ def read_text_lines(spark, sf):
 
 
 # ============================================================================ profiling
+NA_SQL = S.sql_list(NA_TOKENS)
+
+
+@query("o_s1_read_csv", f"""
+SELECT CASE WHEN text IN ({NA_SQL}) THEN NULL ELSE text END AS sentence, concat_ws(',', lang, source) AS label FROM documents
+""")
+def read_csv(spark, sf):
+    """Sentences written as CSV in the shared scratch folder and read back (O-S1, O-S2, O-S7)."""
+    path = scratch_path(spark, "sentences-csv")
+    files.write_csv(labelled(spark, sf).select("sentence", "label"), path)
+    return files.read_sentences_csv(spark, path).select("sentence", "label")
+
+
+@query("o_s6_history_csv", f"""
+WITH {S.LOG} SELECT step, round(max(loss), 6) AS train_loss, round(max(eval_f1), 6) AS val_f1 FROM log GROUP BY run, step
+""")
+def history_csv(spark, sf):
+    """The exporter's history as CSV, read with the history reader."""
+    path = scratch_path(spark, "history-csv")
+    flat = trainlog.flatten_log(trainer_log(spark, sf), id_cols=["run"])
+    files.write_csv(trainlog.history_bridge(flat).select("step", "train_loss", "val_f1"), path)
+    return rnd(files.read_history_csv(spark, path))
+
+
+@query("o_s8_jsonl", "SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_round_trip(spark, sf):
+    path = scratch_path(spark, "jsonl")
+    table = _t(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    files.write_jsonl(table, path)
+    return spark.read.schema(table.schema).json(path)
+
+
 @query("o_p1_head", "SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5")
 def head(spark, sf):
     return profile.head(_t(spark, sf, "documents"), 5, ["doc_id"])
@@ -253,11 +284,13 @@ def conversation_items(spark, sf) -> DataFrame:
     return tables.conversation_label_items(_t(spark, sf, "conversations"))
 
 
-@query("o_c2_labels_per_row", f"""
-WITH {S.ROLES} SELECT row_id, CAST(len(string_split(label, ',')) AS BIGINT) AS num_labels FROM roles
+@query("o_c2_labels_per_row", """
+SELECT conv_id, turn, CAST(len(string_split(text, ',')) AS BIGINT) AS num_labels FROM conversations
 """)
 def labels_per_row(spark, sf):
-    return conversation_items(spark, sf).groupBy("row_id").agg(F.count(F.lit(1)).cast("long").alias("num_labels"))
+    """Length of the list that a comma-joined column holds (the turns' texts are such lists)."""
+    from ..functions.text import split_labels as split_col
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.size(split_col("text")).cast("long").alias("num_labels"))
 
 
 def _hist_sql(src: str, value: str, bins: int) -> str:
@@ -280,7 +313,7 @@ FROM sp LEFT JOIN c ON sp.bin = c.bin
 
 
 @query("o_a18_labels_per_row_hist", f"""
-WITH {S.ROLES}, lc AS (SELECT len(string_split(label, ',')) AS num_labels FROM roles),
+WITH lc AS (SELECT len(string_split(text, ',')) AS num_labels FROM conversations),
 {_hist_sql('lc', 'num_labels', 10)}
 """)
 def labels_per_row_hist(spark, sf):
@@ -296,7 +329,8 @@ def word_counts(spark, sf):
 WITH {S.SENTENCES}, {S.EXPLODED} SELECT row_id, label_pos, label_item, n_words FROM ex
 """)
 def explode_labels(spark, sf):
-    return exploded(spark, sf).select("row_id", F.col("label_pos").cast("int"), "label_item", "n_words")
+    e = exploded(spark, sf, labelled(spark, sf).withColumn("n_words", word_count("sentence")))
+    return e.select("row_id", F.col("label_pos").cast("int"), "label_item", "n_words")
 
 
 @query("o_c6_strip", f"SELECT conv_id, turn, {S.strip('text')} AS stripped FROM conversations")
@@ -330,7 +364,7 @@ SELECT row_id, label, NOT contains(label, 'src1') AS lacks_substring,
 """)
 def label_tests(spark, sf):
     from ..functions.text import split_labels as split_col
-    s = sentences(spark, sf)
+    s = labelled(spark, sf)
     return s.select("row_id", "label", (~contains_text("label", "src1")).alias("lacks_substring"),
                     F.array_contains(split_col("label"), "src1").alias("has_exact"))
 
@@ -382,13 +416,13 @@ g AS (SELECT label_item AS label, count(*) AS n, min(row_id * 1000000 + label_po
 SELECT label, n, row_number() OVER (ORDER BY f) AS seen_order FROM g
 """)
 def label_counts(spark, sf):
-    return profile.label_counts(sentences(spark, sf), "label", "row_id")
+    return profile.label_counts(labelled(spark, sf), "label", "row_id")
 
 
-def _trimmed_union(spark, sf, with_text: bool = False) -> DataFrame:
+def _trimmed_union(spark, sf, s: DataFrame | None = None) -> DataFrame:
     """Literal union: labels de, en, es trimmed inside their label, fr kept whole,
     every other label (the sources) lost."""
-    e = exploded(spark, sf, with_text)
+    e = exploded(spark, sf, s)
     return outliers.trim_by_label(e, "label_item", "n_words", trim=("de", "en", "es"), keep=("fr",))
 
 
@@ -406,7 +440,9 @@ def trimmed_union(spark, sf):
 
 @query("o_c5_export_columns", f"WITH {TRIMMED_SQL} SELECT sentence, label FROM kept")
 def export_columns(spark, sf):
-    return _trimmed_union(spark, sf, with_text=True).select("sentence", "label")
+    # two passes over the text (label statistics, export), but no text in a shuffle or checkpoint
+    s = labelled(spark, sf).withColumn("n_words", word_count("sentence"))
+    return _trimmed_union(spark, sf, s).select("sentence", "label")
 
 
 @query("o_a2_value_counts", f"""
@@ -429,12 +465,14 @@ def mixed_union(spark, sf):
 @query("o_a3_cooccurrence", f"""
 WITH {S.ROLES},
 e AS (SELECT row_id, unnest(string_split(label, ',')) AS l FROM roles),
-m AS (SELECT row_id, l, count(*) AS c FROM e GROUP BY row_id, l)
-SELECT a.l AS label_a, b.l AS label_b, CAST(sum(a.c * b.c) AS BIGINT) AS n
-FROM m a JOIN m b ON a.row_id = b.row_id GROUP BY a.l, b.l
+m AS (SELECT row_id, l, count(*) AS c FROM e GROUP BY row_id, l),
+p AS (SELECT a.l AS label_a, b.l AS label_b, sum(a.c * b.c) AS n FROM m a JOIN m b ON a.row_id = b.row_id GROUP BY a.l, b.l),
+l AS (SELECT DISTINCT l FROM e)
+SELECT x.l AS label_a, y.l AS label_b, CAST(coalesce(n, 0) AS BIGINT) AS n FROM l x CROSS JOIN l y
+LEFT JOIN p ON label_a = x.l AND label_b = y.l
 """)
 def cooccurrence(spark, sf):
-    return profile.cooccurrence_items(conversation_items(spark, sf), "row_id", "label_item")
+    return profile.dense_cooccurrence(profile.cooccurrence_items(conversation_items(spark, sf), "row_id", "label_item"))
 
 
 @query("o_a4_mean_length", f"""
@@ -442,8 +480,9 @@ WITH {TRIMMED_SQL}
 SELECT round((SELECT avg(n_words) FROM sent), 6) AS mean_before, round((SELECT avg(n_words) FROM kept), 6) AS mean_after
 """)
 def mean_length(spark, sf):
-    before = sentences(spark, sf).agg(F.avg("n_words").alias("mean_before"))
-    after = _trimmed_union(spark, sf).agg(F.avg("n_words").alias("mean_after"))
+    s = sentences(spark, sf)
+    before = s.agg(F.avg("n_words").alias("mean_before"))
+    after = _trimmed_union(spark, sf, s).agg(F.avg("n_words").alias("mean_after"))
     return rnd(before.select("mean_before", after.select("mean_after").scalar().alias("mean_after")))
 
 
@@ -462,33 +501,61 @@ def length_histogram(spark, sf):
     return rnd(stats.histogram(sentences(spark, sf), "n_words", 20))
 
 
-KDE_SQL = f"""
-WITH d AS (SELECT lang AS label, CAST({S.word_count('text')} AS DOUBLE) AS x FROM documents),
-st AS (SELECT label, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS bw, min(x) AS a, max(x) AS b
+def _kde_sql(ctes: str, factor: str = "1") -> str:
+    """Density oracle over the CTE d (label, x); ``factor`` scales it by columns of gx."""
+    return f"""
+WITH {ctes},
+ks AS (SELECT label, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS bw, min(x) AS a, max(x) AS b
        FROM d GROUP BY label HAVING count(*) >= 2 AND stddev_samp(x) > 0),
-g AS (SELECT label, n, bw, a - 3 * bw AS g0, b + 3 * bw AS g1, unnest(generate_series(0, 199)) AS grid_idx FROM st),
-gx AS (SELECT label, n, bw, grid_idx, CASE WHEN grid_idx = 199 THEN g1 ELSE grid_idx * ((g1 - g0) / 199.0) + g0 END AS gxv FROM g),
+g AS (SELECT label, n, bw, a, b, a - 3 * bw AS g0, b + 3 * bw AS g1, unnest(generate_series(0, 199)) AS grid_idx FROM ks),
+gx AS (SELECT label, n, bw, a, b, grid_idx, CASE WHEN grid_idx = 199 THEN g1 ELSE grid_idx * ((g1 - g0) / 199.0) + g0 END AS gxv FROM g),
 w AS (SELECT label, x, count(*) AS c FROM d GROUP BY label, x)
 SELECT gx.label, CAST(gx.grid_idx AS INTEGER) AS grid_idx, round(gx.gxv, 6) AS x,
-       round(sum(w.c * exp(-0.5 * ((gx.gxv - w.x) / gx.bw) * ((gx.gxv - w.x) / gx.bw))) / (gx.n * gx.bw * sqrt(2 * pi())), 10)
+       round({factor} * sum(w.c * exp(-0.5 * ((gx.gxv - w.x) / gx.bw) * ((gx.gxv - w.x) / gx.bw))) / (gx.n * gx.bw * sqrt(2 * pi())), 10)
        AS density
-FROM gx JOIN w ON gx.label = w.label GROUP BY gx.label, gx.grid_idx, gx.gxv, gx.n, gx.bw
+FROM gx JOIN w ON gx.label = w.label GROUP BY gx.label, gx.grid_idx, gx.gxv, gx.n, gx.bw, gx.a, gx.b
 """
 
 
+KDE_SQL = _kde_sql(f"d AS (SELECT lang AS label, CAST({S.word_count('text')} AS DOUBLE) AS x FROM documents)")
+
+
+def _kde_rows(k: DataFrame) -> DataFrame:
+    return k.select("label", "grid_idx", _round(F.col("x"), 6).alias("x"), _round(F.col("density"), 10).alias("density"))
+
+
 @query("o_a7_length_kde", KDE_SQL)
 def length_kde(spark, sf):
     d = sentences(spark, sf).select(F.col("lang").alias("label"), F.col("n_words").alias("x"))
-    k = stats.kde(d, "x", ["label"])
-    return k.select("label", "grid_idx", _round(F.col("x"), 6).alias("x"), _round(F.col("density"), 10).alias("density"))
+    return _kde_rows(stats.kde(d, "x", ["label"]))
 
 
-@query("o_a8_box_stats", f"""
-WITH {S.SENTENCES}, {S.EXPLODED},
+@query("o_a7_length_curve", _kde_sql(f"d AS (SELECT lang AS label, CAST({S.word_count('text')} AS DOUBLE) AS x FROM documents)",
+                                     "gx.n * (gx.b - gx.a) / 20"))
+def length_curve(spark, sf):
+    """The curve over a count histogram of 20 bins per label."""
+    d = sentences(spark, sf).select(F.col("lang").alias("label"), F.col("n_words").alias("x"))
+    return _kde_rows(stats.kde(d, "x", ["label"], scale="count", bins=20))
+
+
+@query("o_a7_kde_trimmed", _kde_sql(f"{TRIMMED_SQL}, d AS (SELECT label_item AS label, CAST(n_words AS DOUBLE) AS x FROM kept)"))
+def kde_trimmed(spark, sf):
+    kept = _trimmed_union(spark, sf).select(F.col("label_item").alias("label"), F.col("n_words").alias("x"))
+    return _kde_rows(stats.kde(kept, "x", ["label"]))
+
+
+@query("o_a6_hist_trimmed", f"WITH {TRIMMED_SQL}, {_hist_sql('kept', 'n_words', 20)}")
+def hist_trimmed(spark, sf):
+    return rnd(stats.histogram(_trimmed_union(spark, sf), "n_words", 20))
+
+
+def _box_sql(ctes: str, src: str) -> str:
+    return f"""
+WITH {ctes},
 q AS (SELECT label_item, quantile_cont(n_words, 0.25) AS q1, quantile_cont(n_words, 0.5) AS med,
-             quantile_cont(n_words, 0.75) AS q3 FROM ex GROUP BY label_item),
-j AS (SELECT ex.label_item, n_words, q1, med, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lov, q3 + 1.5 * (q3 - q1) AS hiv
-      FROM ex JOIN q USING (label_item)),
+             quantile_cont(n_words, 0.75) AS q3 FROM {src} GROUP BY label_item),
+j AS (SELECT {src}.label_item, n_words, q1, med, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lov, q3 + 1.5 * (q3 - q1) AS hiv
+      FROM {src} JOIN q USING (label_item)),
 a AS (SELECT label_item, count(*) AS n, avg(n_words) AS mean, any_value(q1) AS q1, any_value(med) AS med,
              any_value(q3) AS q3, any_value(iqr) AS iqr,
              max(CASE WHEN n_words <= hiv THEN n_words END) AS hi, min(CASE WHEN n_words >= lov THEN n_words END) AS lo,
@@ -497,9 +564,21 @@ SELECT label_item, n, round(mean, 6) AS mean, round(q1, 6) AS q1, round(med, 6)
        round(iqr, 6) AS iqr,
        round(CASE WHEN lo IS NULL OR lo > q1 THEN q1 ELSE lo END, 6) AS whislo,
        round(CASE WHEN hi IS NULL OR hi < q3 THEN q3 ELSE hi END, 6) AS whishi, n_fliers FROM a
-""")
+"""
+
+
+@query("o_a8_box_stats", _box_sql(f"{S.SENTENCES}, {S.EXPLODED}", "ex"))
 def box_stats(spark, sf):
-    b = stats.box_stats(exploded(spark, sf), "n_words", ["label_item"])
+    return _box_rows(exploded(spark, sf))
+
+
+@query("o_a8_box_trimmed", _box_sql(TRIMMED_SQL, "kept"))
+def box_trimmed(spark, sf):
+    return _box_rows(_trimmed_union(spark, sf))
+
+
+def _box_rows(e: DataFrame) -> DataFrame:
+    b = stats.box_stats(e, "n_words", ["label_item"])
     return rnd(b.select("label_item", F.col("n").cast("long"), "mean", "q1", "med", "q3", "iqr", "whislo", "whishi",
                         F.col("n_fliers").cast("long")))
 
@@ -544,9 +623,12 @@ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
 UNION ALL
 SELECT 'Overall', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
        round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM rep
+UNION ALL SELECT name, 0, 0, 0, 0 FROM (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')) AS v(name)
+WHERE name NOT IN (SELECT label FROM rep)
 """)
 def report_with_overall(spark, sf):
-    return rnd(metrics.report_with_overall(predictions(spark, sf)))
+    """All label names have a row, also one that occurs on neither side ("it")."""
+    return rnd(metrics.report_with_overall(predictions(spark, sf), labels=("de", "en", "es", "fr", "it")))
 
 
 EVAL_SELECT = """
@@ -568,12 +650,13 @@ def eval_metrics(spark, sf):
 
 
 def _epoch_predictions(spark, sf) -> DataFrame:
-    """Three candidates (epochs): English score biased by 2, 1, 0."""
-    out = None
-    for epoch in (1, 2, 3):
-        p = predictions(spark, sf, bias_en=3 - epoch).select(F.lit(epoch).alias("epoch"), "y_true", "y_pred")
-        out = p if out is None else out.unionByName(p)
-    return out
+    """Three candidates (epochs): English score biased by 2, 1, 0; one scan, biases exploded."""
+    lg = tables.letter_logits(_t(spark, sf, "documents")).select("y_true", "logits", F.explode(
+        F.array(*[F.lit(e) for e in (1, 2, 3)])).alias("epoch"))
+    en = [c for c, _ in tables.SCORE_LETTERS].index("en")
+    biased = F.transform("logits", lambda x, i: x + F.when(i == en, 3 - F.col("epoch")).otherwise(F.lit(0)))
+    classes = F.array(*[F.lit(c) for c, _ in tables.SCORE_LETTERS])
+    return lg.select("epoch", "y_true", F.element_at(classes, argmax(biased) + 1).alias("y_pred"))
 
 
 def _epoch_sql(final: str) -> str:
@@ -616,21 +699,21 @@ def word_ids(spark, sf):
 WITH {ATT} SELECT sample_id, q, k, round(avg(weight), 6) AS weight FROM att GROUP BY sample_id, q, k
 """)
 def attention_map(spark, sf):
-    return rnd(att_ops.aggregate_attention(attention(spark, sf)))
+    return rnd(att_ops.mean_attention(attention(spark, sf)))
 
 
 @query("o_t1_attention_layer_head", f"""
 WITH {ATT} SELECT sample_id, q, k, round(weight, 6) AS weight FROM att WHERE layer = 1 AND head = 0
 """)
 def attention_layer_head(spark, sf):
-    return rnd(att_ops.aggregate_attention(attention(spark, sf), layer=1, head=0))
+    return rnd(att_ops.mean_attention(attention(spark, sf), at={"layer": 1, "head": 0}))
 
 
 @query("o_a15_attention_heads", f"""
 WITH {ATT} SELECT sample_id, head, q, k, round(avg(weight), 6) AS weight FROM att GROUP BY sample_id, head, q, k
 """)
 def attention_heads(spark, sf):
-    return rnd(att_ops.aggregate_attention(attention(spark, sf), average=False))
+    return rnd(att_ops.mean_attention(attention(spark, sf), over=("layer",)))
 
 
 @query("o_j5_side_by_side", f"""
@@ -642,8 +725,8 @@ SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.q, b.q) AS q,
 FROM a FULL OUTER JOIN b ON a.sample_id = b.sample_id AND a.q = b.q AND a.k = b.k
 """)
 def side_by_side(spark, sf):
-    a = att_ops.aggregate_attention(attention(spark, sf, "eval"))
-    b = att_ops.aggregate_attention(attention(spark, sf, "dropout"))
+    a = att_ops.mean_attention(attention(spark, sf, "eval"))
+    b = att_ops.mean_attention(attention(spark, sf, "dropout"))
     return rnd(att_ops.compare_runs(a, b, ("weight_eval", "weight_dropout")))
 
 
@@ -656,7 +739,7 @@ WITH {ATT}, {ROW0_SQL}, st AS (SELECT t.sample_id, t.pos, t.token, r.score FROM
 SELECT sample_id, word_id, word, round(score, 6) AS score, first_pos FROM mw
 """)
 def merge_subwords(spark, sf):
-    row0 = att_ops.aggregate_attention(attention(spark, sf).where(F.col("q") == 0))
+    row0 = att_ops.mean_attention(attention(spark, sf).where(F.col("q") == 0))
     scored = tokens(spark, sf).join(row0.select("sample_id", F.col("k").alias("pos"), F.col("weight").alias("score")),
                                     ["sample_id", "pos"])
     return rnd(att_ops.merge_subwords(scored))
@@ -709,7 +792,7 @@ def rollout_first_layer(spark, sf):
 
 @query("o_j4_rollout_join", f"WITH {ROLLOUT_SQL} SELECT sample_id, k, round(v, 6) AS score FROM v0")
 def rollout_join(spark, sf):
-    return rnd(att_ops.rollout(attention(spark, sf), layers="all", method="join"))
+    return rnd(att_ops.rollout(attention(spark, sf), layers="all", method="join", n_layers=3))
 
 
 @query("o_j2_positional_zip", f"""
@@ -759,6 +842,19 @@ def highlight(spark, sf):
     return att_ops.highlight_html(_rollout_words(spark, sf), score_digits=12)
 
 
+@query("o_s9_html_file", f"""
+WITH {COLOR_SQL}
+SELECT '<p>' || string_agg('<span style="background:rgb(0,0,' || blue || ');color:white"> ' ||
+       replace(replace(replace(replace(replace(word, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')
+       || ' </span>', '' ORDER BY word_id) || '</p>' AS html
+FROM cw GROUP BY sample_id
+""")
+def html_file(spark, sf):
+    path = scratch_path(spark, "html")
+    files.write_html(att_ops.highlight_html(_rollout_words(spark, sf), score_digits=12), path)
+    return spark.read.text(path).withColumnRenamed("value", "html")
+
+
 # ============================================================================ training log
 @query("o_w5_log_ordinals", f"WITH {S.LOG} SELECT run, log_pos, step FROM log")
 def log_ordinals(spark, sf):
@@ -827,9 +923,8 @@ def best_checkpoint(spark, sf):
 SELECT doc_id AS row_id, lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label_code FROM documents
 """)
 def label_lookup(spark, sf):
-    s = tables.single_label_sentences(_t(spark, sf, "documents"))
-    idx = model.fit_label_index(s, "label")
-    return model.encode_labels(idx, s, "label_code").select("row_id", "label", "label_code")
+    s = tables.single_label_sentences(_t(spark, sf, "documents")).select("row_id", "label")
+    return model.encode_labels(model.label_index(s), s).select("row_id", "label", "label_code")
 
 
 @query("o_o5_class_order", """
@@ -837,10 +932,7 @@ SELECT lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS
 FROM (SELECT DISTINCT lang FROM documents)
 """)
 def class_order(spark, sf):
-    s = tables.single_label_sentences(_t(spark, sf, "documents"))
-    idx = model.fit_label_index(s, "label")
-    labels = spark.createDataFrame([(x, i) for i, x in enumerate(idx.labels)], "label string, label_code int")
-    return labels
+    return model.label_index(tables.single_label_sentences(_t(spark, sf, "documents")))
 
 
 SPLIT_SQL = """
@@ -879,8 +971,8 @@ SELECT row_id, label, split, label_code FROM sp JOIN codes USING (label)
 """)
 def label_encode(spark, sf):
     sp = _split(spark, sf)
-    idx = model.fit_label_index(sp.where(F.col("split") == "train"), "label")
-    return model.encode_labels(idx, sp, "label_code").select("row_id", "label", "split", "label_code")
+    idx = model.label_index(sp.where(F.col("split") == "train"))
+    return model.encode_labels(idx, sp).select("row_id", "label", "split", "label_code")
 
 
 ENCODE_SQL = f"""
@@ -929,6 +1021,22 @@ def candidate_models(spark, sf):
                                          iters=(2, 5, 20)))
 
 
+@query("o_m6_best_model", f"""
+WITH {SPLIT_SQL} SELECT row_id, label AS y_true, CAST(1 AS DOUBLE) AS prob_sum, TRUE AS known_label FROM sp WHERE split = 'val'
+""")
+def best_model(spark, sf):
+    """Train, keep the best candidate, save, reload, predict the validation part: what must hold of any
+    fitted model (who is scored, probabilities sum to 1, the label is a class); accuracy is in pytest."""
+    sp = _split(spark, sf)
+    path = scratch_path(spark, "best-model")
+    train, val = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val")
+    model.train_and_select(train, val, iters=(2, 10), path=path)
+    p = model.predict(model.load_model(path), val.withColumnRenamed("label", "y_true"), "row_id", "sentence", keep=["y_true"])
+    probs = [c for c in p.columns if c.startswith("prob_LABEL_")]
+    return rnd(p.select("row_id", "y_true", sum(F.col(c) for c in probs).alias("prob_sum"),
+                        F.col("label").isin([c for c, _ in tables.SCORE_LETTERS]).alias("known_label")))
+
+
 def _score_sql() -> str:
     m = "greatest(s_de, s_en, s_es, s_fr)"
     z = f"(exp(s_de - {m}) + exp(s_en - {m}) + exp(s_es - {m}) + exp(s_fr - {m}))"
@@ -948,10 +1056,13 @@ def batch_score(spark, sf):
     return rnd(model.score_logits(lg, "logits", mapping, keep=("row_id", "sentence")))
 
 
-@query("o_m9_map_batches", "SELECT doc_id AS row_id, CAST(length(text) AS BIGINT) AS n_chars_py FROM documents")
+@query("o_m9_map_batches", "SELECT doc_id AS row_id, CAST(length(nfc_normalize(text)) AS BIGINT) AS n_chars_nfc FROM documents")
 def map_batches(spark, sf):
-    """A pandas function applied to Arrow batches (code-point length of each text)."""
+    """A pandas function applied to Arrow batches: code points after Unicode NFC, which Spark has no function for."""
     def fn(pdf):
+        import unicodedata
+
         import pandas as pd
-        return pd.DataFrame({"row_id": pdf["doc_id"], "n_chars_py": pdf["text"].str.len().astype("Int64")})
-    return model.map_batches(_t(spark, sf, "documents").select("doc_id", "text"), fn, "row_id long, n_chars_py long")
+        n = [None if t is None else len(unicodedata.normalize("NFC", t)) for t in pdf["text"]]
+        return pd.DataFrame({"row_id": pdf["doc_id"], "n_chars_nfc": pd.array(n, dtype="Int64")})
+    return model.map_batches(_t(spark, sf, "documents").select("doc_id", "text"), fn, "row_id long, n_chars_nfc long")

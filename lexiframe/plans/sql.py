@@ -63,10 +63,10 @@ LOG = (
     "CAST(json_extract_string(props, '$.k') AS DOUBLE) AS kk FROM events), "
     "log AS (SELECT run, CAST(log_pos AS BIGINT) AS log_pos, CAST(floor((log_pos + 1) / 2) AS BIGINT) AS step, "
     "CAST(floor((log_pos + 1) / 2) AS DOUBLE) AS epoch, "
-    "CASE WHEN log_pos % 2 = 1 THEN value / 100 END AS loss, "
-    "CASE WHEN log_pos % 2 = 0 THEN value / 100 END AS eval_loss, "
-    "CASE WHEN log_pos % 2 = 0 THEN kk / 100 END AS eval_f1, "
-    "CASE WHEN log_pos % 2 = 0 THEN (100 - kk) / 100 END AS eval_accuracy FROM ev)")
+    "CASE WHEN (log_pos + run) % 2 = 1 THEN value / 100 END AS loss, "
+    "CASE WHEN (log_pos + run) % 2 = 0 THEN value / 100 END AS eval_loss, "
+    "CASE WHEN (log_pos + run) % 2 = 0 THEN kk / 100 END AS eval_f1, "
+    "CASE WHEN (log_pos + run) % 2 = 0 THEN (100 - kk) / 100 END AS eval_accuracy FROM ev)")
 
 
 def letter_scores(bias_en: int = 0, name: str = "lg") -> str:

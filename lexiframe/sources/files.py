@@ -23,7 +23,7 @@ def require_columns(df: DataFrame, required: Iterable[str] = SENTENCE_COLUMNS) -
     """Raise unless every required column is present (schema only, no job)."""
     missing = set(required) - set(df.columns)
     if missing:
-        raise ValueError(f"CSV must contain {sorted(set(required))} columns; missing {sorted(missing)}")
+        raise ValueError(f"columns {sorted(missing)} are missing; {sorted(set(required))} are needed")
     return df
 
 
@@ -57,19 +57,21 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """One sentence per line: lines stripped, blank lines dropped.  The text scan
     splits files on ``\\n``/``\\r``/``\\r\\n``; the remaining Python line breaks
     (VT, FF, 0x1C-0x1E, NEL, U+2028/9) are split afterwards.
-    Output: source, row_id (file order), sentence."""
+    Output: source, line_id, piece, sentence; (line_id, piece) orders the lines of one file
+    (several files follow each other in scan order)."""
     raw = spark.read.text(path).select(F.input_file_name().alias("source"),
-                                       F.monotonically_increasing_id().alias("__line"), "value")
-    pieces = raw.select("source", "__line", F.posexplode(split_lines("value")).alias("__p", "__l"))
-    out = pieces.select("source", (F.col("__line") * 1_000_000 + F.col("__p")).alias("row_id"),
-                        strip_ws("__l").alias("sentence"))
-    return out.where(F.col("sentence") != "")
+                                       F.monotonically_increasing_id().alias("line_id"), "value")
+    pieces = raw.select("source", "line_id", F.posexplode(split_lines("value")).alias("piece", "__l"))
+    return pieces.select("source", "line_id", "piece", strip_ws("__l").alias("sentence")).where(F.col("sentence") != "")
 
 
-def inline_sentences(spark: SparkSession, sentences: Sequence[str]) -> DataFrame:
-    """Sentences given in the call: taken as they are (not stripped, blanks kept)."""
+def inline_sentences(spark: SparkSession, sentences: Sequence[str], strip: bool = False) -> DataFrame:
+    """Sentences given in the call: as they are by default, blanks kept; ``strip`` strips
+    them and leaves blank ones out, as the line reader does."""
+    if strip:
+        sentences = [x.strip() for x in sentences if x.strip()]
     if not sentences:
-        raise ValueError("No sentences to classify.")
+        raise ValueError("give at least one sentence")
     return spark.createDataFrame([(i, s) for i, s in enumerate(sentences)], "row_id long, sentence string")
 
 
@@ -81,7 +83,19 @@ def read_trainer_log(spark: SparkSession, path: str | Sequence[str]) -> DataFram
     if "log_history" not in df.columns:
         return df.select(F.input_file_name().alias("source"), F.lit(None).cast("long").alias("log_pos")).limit(0)
     ex = df.select(F.input_file_name().alias("source"), F.posexplode("log_history").alias("log_pos", "__r"))
-    return ex.select("source", F.col("log_pos").cast("long").alias("log_pos"), "__r.*")
+    out = ex.select("source", F.col("log_pos").cast("long").alias("log_pos"), "__r.*")
+    texts = [f.name for f in out.schema.fields[2:] if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return out
+    # the reader merges numbers and texts of one key to text: the records' own types tell them apart
+    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
+    records = raw.select(F.explode(F.variant_get("v", "$.log_history", "array<variant>")).alias("r"))
+    kind = [F.schema_of_variant(F.variant_get("r", f"$['{k}']", "variant")) for k in texts]
+    found = records.agg(*[F.max(F.coalesce(c.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"), F.lit(False))).alias(str(i))
+                          for i, c in enumerate(kind)]).first()
+    for i, name in enumerate(texts):
+        out = out.withMetadata(name, {"numeric": bool(found[str(i)])})
+    return out
 
 
 HISTORY_SCHEMA = "step long, train_loss double, val_f1 double"
@@ -93,7 +107,8 @@ def read_history_csv(spark: SparkSession, path: str, schema: str = HISTORY_SCHEM
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header, no index; a quote inside a field is doubled (``""``) as pandas does."""
-    df.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"').csv(path)
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

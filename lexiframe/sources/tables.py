@@ -6,14 +6,11 @@ grows with the table; nothing here is invented data.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import letter_count, words
 from ..operators.ranking import sequence_number
-from ..session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -22,15 +19,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SCORE_LETTERS = (("de", "ü"), ("en", "w"), ("es", "ó"), ("fr", "é"))
 
 
-# Dimension-sized tables: never worth a repartition.
-SMALL_TABLES = ("region", "nation", "supplier", "labels")
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; spread it over the session's cores when the file gives
-    fewer scan splits than cores (see :func:`lexiframe.session.spread`)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df if name in SMALL_TABLES else spread(df)
+    """Read one table as its files split it (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # ----------------------------------------------------------------------------- sentences
@@ -48,12 +39,9 @@ def single_label_sentences(docs: DataFrame) -> DataFrame:
 
 
 def conversation_label_items(conv: DataFrame) -> DataFrame:
-    """The roles of each conversation as an exploded multi-label list in turn
-    order: row_id = conv_id, label_pos (0-based), label_item = role.  Built with
-    a skew-safe ordinal, so a conversation of any length is never gathered."""
-    items = sequence_number(conv.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], out="__rn")
-    return items.select(F.col("conv_id").alias("row_id"), (F.col("__rn") - 1).cast("int").alias("label_pos"),
-                        F.col("role").alias("label_item"))
+    """The roles of each conversation as an exploded multi-label list: row_id = conv_id,
+    label_item = role.  A conversation of any length is never gathered."""
+    return conv.select(F.col("conv_id").alias("row_id"), F.col("role").alias("label_item"))
 
 
 # ----------------------------------------------------------------------------- tokens / attention
@@ -114,14 +102,15 @@ def synthetic_attention(tokens: DataFrame, layers: int = 3, heads: int = 2, run:
 def events_trainer_log(events: DataFrame) -> DataFrame:
     """The event stream recast as training-log records, one run per user:
     run = user_id; rn = ordinal by (ts, event_id); step = floor((rn + 1) / 2);
-    odd rn -> train record (loss = value / 100); even rn -> eval record
+    odd rn -> train record (loss = value / 100), even rn -> eval record; runs with an odd
+    user_id begin with an eval record, so that some have more of these than train records
     (eval_loss = value / 100, eval_f1 = k / 100, eval_accuracy = (100 - k) / 100).
     Output: run, log_pos, step, epoch, loss, eval_loss, eval_f1, eval_accuracy."""
     ev = events.select(F.col("user_id").alias("run"), "ts", "event_id", "value",
                        F.get_json_object("props", "$.k").cast("double").alias("__k"))
     ev = sequence_number(ev, ["run"], ["ts", "event_id"], out="log_pos")
     step = F.floor((F.col("log_pos") + 1) / 2).cast("long")
-    odd = (F.col("log_pos") % 2) == 1
+    odd = (F.col("log_pos") + F.col("run")) % 2 == 1
     return ev.select("run", "log_pos", step.alias("step"), step.cast("double").alias("epoch"),
                      F.when(odd, F.col("value") / 100).alias("loss"),
                      F.when(~odd, F.col("value") / 100).alias("eval_loss"),

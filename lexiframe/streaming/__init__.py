@@ -1,3 +1,3 @@
-from .scoring import sentence_stream, score_stream, stream_checkpoint, write_available_now
+from .scoring import sentence_stream, score_stream, write_available_now
 
-__all__ = ["sentence_stream", "score_stream", "stream_checkpoint", "write_available_now"]
+__all__ = ["sentence_stream", "score_stream", "write_available_now"]

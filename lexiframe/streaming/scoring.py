@@ -3,12 +3,11 @@
 The scoring path is stateless (tokenize, features, linear model, softmax,
 argmax), so the very same DataFrame functions apply to a streaming source:
 text files arriving in a folder -> sentences -> scores -> a file sink, with
-the stream's progress kept in the shared checkpoint folder.
+the stream's progress kept in a folder that the caller names.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import split_lines, strip_ws
-from ..session import ensure_checkpoint_dir
 
 
 def sentence_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -35,14 +33,9 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame]) ->
     return scorer(stream)
 
 
-def stream_checkpoint(spark: SparkSession, name: str) -> str:
-    """A per-stream folder inside the session's (shared) checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "streams", name)
-
-
 def write_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-    """Process everything available now, then stop (exactly-once file sink)."""
+    """Process everything available now, then stop.  ``checkpoint`` is a lasting folder of the
+    caller's: a restarted stream that names it again goes on where the last one ended."""
     q = (df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(sink_path))
     q.awaitTermination()

@@ -39,11 +39,13 @@ def test_kappa_undefined_and_mcc_zero(spark):
     assert e["kappa"] is None and e["mcc"] == 0.0 and e["accuracy"] == 1.0
 
 
-def test_quotas_largest_remainder():
-    assert split.class_quotas({"de": 129, "en": 620, "es": 106, "fr": 145}) == {"de": 103, "en": 496, "es": 85,
-                                                                               "fr": 116}
+def test_quotas_largest_remainder(spark):
+    def quotas(counts):
+        rows = spark.createDataFrame([(k,) for k, n in counts.items() for _ in range(n)], "label string")
+        return {r["label"]: r["quota"] for r in split.split_quotas(rows, "label").collect()}
+    assert quotas({"de": 129, "en": 620, "es": 106, "fr": 145}) == {"de": 103, "en": 496, "es": 85, "fr": 116}
     with pytest.raises(ValueError):
-        split.class_quotas({"a": 1, "b": 5})
+        quotas({"a": 1, "b": 5})
 
 
 def test_split_on_documents_exact_and_invariant(spark):

@@ -37,8 +37,13 @@ def test_cooccurrence(g1):
             ("Task", "Situation"): 1, ("Task", "Task"): 6, ("Result", "Result"): 1, ("Task", " Action"): 1,
             (" Action", "Task"): 1, (" Action", " Action"): 1}
     assert got == want
-    dense = profile.cooccurrence_matrix(profile.cooccurrence(g1, "label"))
+    names = sorted({a for a, _ in want})
+    dense = profile.cooccurrence_matrix(profile.cooccurrence(g1, "label"), names)
     assert dense.count() == 5 and len(dense.columns) == 6
+    rows = profile.dense_cooccurrence(profile.cooccurrence(g1, "label")).collect()
+    assert {(r["label_a"], r["label_b"]): r["n"] for r in rows} == {(a, b): want.get((a, b), 0) for a in names for b in names}
+    items = profile.explode_labels(g1, "label").select("row_id", "label_item")
+    assert {(r["label_a"], r["label_b"]): r["n"] for r in profile.cooccurrence_items(items).collect()} == want
 
 
 def test_duplicates(g1):
