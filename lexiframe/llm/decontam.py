@@ -8,16 +8,19 @@ item's question and answer part.  Items are few next to the corpus; they go to t
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .pieces import PieceCache
+from .pieces import PieceCache, Words, ragged, slices
 
 #: Text bytes of the items in one index; a larger test set is queried in several blocks.
 INDEX_BYTES = 16 << 20
@@ -86,12 +89,9 @@ class ItemIndex:
                       for t, h in zip(tokens, half)]
         self.cache = PieceCache(self._tokens)
 
-    def _tokens(self, pieces):
-        out = []
-        for p in pieces:
-            word = _EDGE.sub("", p.lower())
-            out.append(self.terms.get(word, -1) if word else -2)
-        return out
+    def _tokens(self, pieces: list[str]) -> list[bytes]:
+        """The terms of each piece between spaces (-1: a word that no item has)."""
+        return [array("i", [self.terms.get(w, -1) for w in words_of(p)]).tobytes() for p in pieces]
 
     @staticmethod
     def _expand(first, rows):
@@ -101,24 +101,27 @@ class ItemIndex:
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
         return first[rows][owner] + inside, owner
 
-    def match(self, texts: list[str]) -> list[list[dict]]:
-        out = [[] for _ in texts]
-        if not self.ids:
+    def match(self, texts: pa.Array) -> list[list[dict]]:
+        """The verified items of every text."""
+        out = [[] for _ in range(len(texts))]
+        if not self.ids or not len(texts):
             return out
-        lists = self.cache.values_of([t.split() for t in texts])
-        tokens = [np.array(x, dtype=np.int64) for x in lists]
-        tokens = [x[x != -2] for x in tokens]
-        strides = np.array([max(1, -(-len(x) // self.stride)) for x in tokens])
+        words = Words(pc.replace_substring(texts, "\n", " "))
+        term, size = ragged(self.cache.values(words.distinct), words.index, "i4")
+        count = words.sums(size)
+        first = np.cumsum(count) - count
+        tokens = [term[a:a + n] for a, n in zip(first.tolist(), count.tolist())]
+        strides = np.maximum(1, -(-count // self.stride))
         seg_first = np.append(0, np.cumsum(strides))  # strides of a document are numbered in a row
-        flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-        seg = np.concatenate([seg_first[i] + np.arange(len(x)) // self.stride for i, x in enumerate(tokens)])
-        known = flat >= 0
+        at = np.arange(len(term)) - np.repeat(first, count)
+        seg = np.repeat(seg_first[:-1], count) + at // self.stride
+        known = term >= 0
         vocab = len(self.terms)
-        pairs = np.unique(seg[known] * vocab + flat[known])
+        pairs = np.unique(seg[known] * vocab + term[known])
         seg, term = pairs // vocab, pairs % vocab
         n_seg = int(seg_first[-1])
         bound = np.bincount(seg, self.most[term], n_seg)
-        doc_of = np.repeat(np.arange(len(texts)), strides)
+        doc_of = np.repeat(np.arange(len(out)), strides)
         # a passage: stride s and the next one of its document
         follows = np.append(doc_of[1:] == doc_of[:-1], False)
         reach = bound + np.where(follows, np.append(bound[1:], 0.0), 0.0)
@@ -202,8 +205,10 @@ def contamination_column(text, items: DataFrame, share: float = 0.5, shingle: in
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
-#: The index that this worker built last, under the name of its broadcast.
-_indexes: dict = {}
+@functools.lru_cache(maxsize=1)
+def _index_of(name: str, block) -> ItemIndex:
+    """The index of this worker; ``name`` tells broadcasts apart."""
+    return ItemIndex(*block.value)
 
 
 def _block_matches(text, block):
@@ -211,13 +216,10 @@ def _block_matches(text, block):
 
     @F.arrow_udf(MATCHES)
     def matches(texts: pa.Array) -> pa.Array:
-        if name not in _indexes:
-            _indexes.clear()
-            _indexes[name] = ItemIndex(*block.value)
+        index = _index_of(name, block)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()),
                                    ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-        rows = [t or "" for t in texts.to_pylist()]
-        return pa.array([m for at in range(0, len(rows), 1000) for m in _indexes[name].match(rows[at:at + 1000])], kind)
+        return pa.array([m for part in slices(texts.fill_null("")) for m in index.match(part)], kind)
     return matches(text)
 
 

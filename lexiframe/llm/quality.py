@@ -7,17 +7,21 @@ partitions of a bounded sample of rated texts; scoring is one pass that looks up
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .pieces import PieceCache
+from .pieces import PieceCache, Words, ragged, slices
 
 #: Hashed feature space.
 BUCKETS = 1 << 22
@@ -33,37 +37,60 @@ def _hash(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (BUCKETS - 1)
 
 
-def _piece_features(pieces: list[str]) -> list[tuple]:
-    """Hashed words, word beginnings and runs of symbols of each piece between white space."""
+def _word_features(words: list[str]) -> list[bytes]:
+    """Hashed words, word beginnings and runs of symbols of each word between spaces, as bytes of int32."""
     out = []
-    for p in pieces:
-        units = _UNIT.findall(p.lower())
+    for w in words:
+        units = _UNIT.findall(w.lower())
         features = {_hash(u) for u in units}
         features.update(_hash(f"{u[:n]}*") for u in units for n in PREFIXES if len(u) > n and u[0].isalpha())
-        out.append(tuple(features))
+        out.append(array("i", sorted(features)).tobytes())
     return out
 
 
-def _shape_features(text: str, pieces: list[str]) -> list[int]:
-    """Hashed shape of the whole text: shares of repeated neighbours, distinct words and capitals, in tenths."""
-    n = len(pieces)
-    if n < 5:
-        return [_hash("#short")]
-    repeated = sum(map(str.__eq__, pieces, pieces[1:])) / (n - 1)
-    capitals = sum(map(str.isupper, pieces)) / n
-    distinct = len(set(pieces)) / n
-    return [_hash(f"#repeated {int(10 * repeated)}"), _hash(f"#capitals {int(10 * capitals)}"),
-            _hash(f"#distinct {int(10 * distinct)} {n.bit_length()}")]
+def _shape_features(words: Words) -> list[list[int]]:
+    """Hashed shape of each whole text: shares of repeated neighbours, of capital words, of distinct words, in tenths."""
+    index, n = words.index, np.diff(words.bounds)
+    same = np.append(index[1:] == index[:-1], False)
+    last = words.bounds[1:][n > 0] - 1
+    same[last] = False  # the next word is another text's
+    upper = np.array([w.isupper() for w in words.distinct], dtype=bool)
+    repeated, capitals = words.sums(same.astype(np.int64)), words.sums(upper[index].astype(np.int64))
+    owner = np.repeat(np.arange(len(n)), n)
+    seen = np.unique(owner * len(words.distinct) + index) // max(1, len(words.distinct))
+    distinct = np.bincount(seen, minlength=len(n))
+    out = []
+    for k, r, c, d in zip(n.tolist(), repeated.tolist(), capitals.tolist(), distinct.tolist()):
+        out.append([_hash("#short")] if k < 5 else [
+            _hash(f"#repeated {10 * r // (k - 1)}"), _hash(f"#capitals {10 * c // k}"),
+            _hash(f"#distinct {10 * d // k} {k.bit_length()}")])
+    return out
+
 
+class Featurizer:
+    """Texts -> (text number, hashed feature) pairs, each pair once; ``only`` (sorted) keeps just those features."""
 
-_features = PieceCache(_piece_features)
+    def __init__(self, only: np.ndarray | None = None):
+        self.only = None if only is None else set(only.tolist())
+        self.cache = PieceCache(self._fill)
 
+    def _fill(self, words: list[str]) -> list[bytes]:
+        found = _word_features(words)
+        if self.only is None:
+            return found
+        return [array("i", [b for b in np.frombuffer(f, "i4").tolist() if b in self.only]).tobytes() for f in found]
 
-def text_features(texts: list[str]) -> list[set]:
-    """The hashed features that each text has."""
-    lists = [t.split() for t in texts]
-    return [set().union(*values, _shape_features(t, p))
-            for t, p, values in zip(texts, lists, _features.values_of([set(p) for p in lists]))]
+    def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(pc.replace_substring(texts, "\n", " "))
+        features, size = ragged(self.cache.values(words.distinct), words.index, "i4")
+        owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(words.bounds)), size)
+        shapes = _shape_features(words)
+        if self.only is not None:
+            shapes = [[b for b in s if b in self.only] for s in shapes]
+        more = np.array([len(s) for s in shapes])
+        key = np.unique(np.concatenate((owner * BUCKETS + features, np.repeat(np.arange(len(texts)), more) * BUCKETS
+                                        + np.array([b for s in shapes for b in s], dtype=np.int64))))
+        return key // BUCKETS, key % BUCKETS
 
 
 @dataclass(frozen=True)
@@ -74,15 +101,11 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def score(self, texts: list[str], cut: int, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: pa.Array, cut: int, featurizer: Featurizer) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and P(grade >= cut) of every text."""
-        lookup = dict(zip(self.buckets.tolist(), self.weights.tolist()))
-        lists = [t.split() for t in texts]
-        f = np.zeros(len(texts))
-        for i, (t, p, values) in enumerate(zip(texts, lists, cache.values_of([set(p) for p in lists]))):
-            have = set().union(*values)
-            have.update(b for b in _shape_features(t, p) if b in lookup)
-            f[i] = sum(lookup[b] for b in sorted(have))
+        text, feature = featurizer.pairs(texts)
+        f = np.bincount(text, self.weights[np.searchsorted(self.buckets, feature)], len(texts)) \
+            if len(text) else np.zeros(len(texts))
         above = 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - f[:, None], -60, 60)))  # P(grade > k)
         tail = above[:, cut - 1] if 0 < cut <= len(self.thresholds) else np.full(len(f), 1.0 if cut <= 0 else 0.0)
         return above.sum(axis=1), (tail if len(self.thresholds) else np.ones(len(f)))
@@ -151,7 +174,7 @@ def fit_ordinal(rated: DataFrame, grades: int, l2: float = 2.0, steps: int = 30,
 
     @F.arrow_udf("array<int>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(s) for s in text_features([t or "" for t in texts.to_pylist()])], pa.list_(pa.int32()))
+        return _feature_lists(texts.fill_null(""))
 
     known = rated.where(F.col("grade").between(0, grades - 1)).select(text_of().alias("text"), F.col("grade").cast("int"))
     sample = written(known.select(features("text").alias("x"), "grade").coalesce(tasks), "rated-features")
@@ -208,19 +231,41 @@ def fit_ordinal(rated: DataFrame, grades: int, l2: float = 2.0, steps: int = 30,
 
 def score_column(text, model: OrdinalModel, cut: int):
     """struct(expected_grade, tail_probability) of each text: the mean grade and P(grade >= cut)."""
+    name = uuid.uuid4().hex
+
     @F.arrow_udf("expected_grade double, tail_probability double")
     def scores(texts: pa.Array) -> pa.Array:
-        key = (id(model), cut)
-        if key not in _scorers:
-            active = set(model.buckets.tolist())
-            _scorers.clear()
-            _scorers[key] = model, PieceCache(lambda ps: [tuple(b for b in f if b in active) for f in _piece_features(ps)])
-        expected, tail = model.score([t or "" for t in texts.to_pylist()], cut, _scorers[key][1])
+        featurizer = _featurizer_of(name, model)
+        found = [model.score(part, cut, featurizer) for part in slices(texts.fill_null(""))]
+        expected, tail = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0), np.empty(0))
         return pa.StructArray.from_arrays([pa.array(expected), pa.array(tail)], ["expected_grade", "tail_probability"])
     return scores(text)
 
 
-_scorers: dict = {}
+@functools.lru_cache(maxsize=1)
+def _all_features() -> Featurizer:
+    return Featurizer()
+
+
+_scorers: dict[str, Featurizer] = {}
+
+
+def _featurizer_of(name: str, model: OrdinalModel) -> Featurizer:
+    """This worker's featurizer for a fitted model, with its cache."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Featurizer(model.buckets)
+    return _scorers[name]
+
+
+def _feature_lists(texts: pa.Array) -> pa.Array:
+    """The sorted features of each text as an array of lists."""
+    out = []
+    for part in slices(texts):
+        text, feature = _all_features().pairs(part)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(part)))))
+        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(feature, pa.int32())))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
 
 def rate(labels: DataFrame):

@@ -7,15 +7,17 @@ survives is counted.  The vocabulary file only gives the merge list, the pre-tok
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .pieces import PieceCache, space_pieces
+from .pieces import IRREGULAR, PieceCache, Words, slices, space_pieces
 
 NO_RANK = np.int32(np.iinfo(np.int32).max)
 
@@ -114,67 +116,89 @@ class RankCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.words = PieceCache(self._count_words)
-        self.inner, self.first = PieceCache(self._count_inner), PieceCache(self._count_first)
+        self.inner, self.first = PieceCache(self._count_inner), PieceCache(self._count)
 
     def _count_words(self, words: list[str]) -> list[int]:
         """words: pre-tokens in the printable alphabet."""
         flat = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")]
         return merge_counts(flat, np.array([len(w) for w in words]), self.table).tolist()
 
-    def _count(self, texts: list[str]) -> list[int]:
-        words = [[w for w, _ in self.pre.pre_tokenize_str(t)] for t in texts]
-        return [sum(c) for c in self.words.values_of(words)]
+    def _pretoken_counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and tokens of every pre-token of ``text`` (a printable character is a byte)."""
+        words = [w for w, _ in self.pre.pre_tokenize_str(text)]
+        distinct = list(set(words))
+        count = dict(zip(distinct, self.words.values(distinct)))
+        return (np.fromiter(map(len, words), np.int64, len(words)),
+                np.fromiter(map(count.__getitem__, words), np.int64, len(words)))
 
-    def _count_first(self, texts: list[str]) -> list[int]:
-        return self._count(texts)
+    def _count(self, texts: list[str]) -> list[int]:
+        return [int(self._pretoken_counts(t)[1].sum()) for t in texts]
 
     def _count_inner(self, pieces: list[str]) -> list[int]:
         """Pieces that follow a space: joined again, pre-tokenized in one call and told apart by their bytes."""
+        odd = [i for i, p in enumerate(pieces) if not p or p[-1].isspace()]
         plain = [i for i, p in enumerate(pieces) if p and not p[-1].isspace()]
         out = [0] * len(pieces)
-        odd = [i for i, p in enumerate(pieces) if not p or p[-1].isspace()]
         for i, n in zip(odd, self._count([" " + pieces[i] for i in odd])):
             out[i] = n
         if plain:
             joined = [" " + pieces[i] for i in plain]
-            words = [w for w, _ in self.pre.pre_tokenize_str("".join(joined))]
-            counts = np.array(self.words.values_of([words])[0], dtype=np.int64)
-            ends = np.cumsum([len(p.encode()) for p in joined])  # a printable character is a byte
-            piece = np.searchsorted(ends, np.cumsum([len(w) for w in words]), side="left")
-            for i, n in zip(plain, np.bincount(piece, counts, len(plain)).astype(np.int64).tolist()):
+            size, tokens = self._pretoken_counts("".join(joined))
+            ends = np.cumsum([len(p.encode()) for p in joined])
+            piece = np.searchsorted(ends, np.cumsum(size), side="left")
+            for i, n in zip(plain, np.bincount(piece, tokens, len(plain)).astype(np.int64).tolist()):
                 out[i] = n
         return out
 
-    def count(self, texts: list[str]) -> list[int]:
-        parts, owner, out = [], [], [0] * len(texts)
-        for i, text in enumerate(texts):
-            segments = [text]
-            for s in self.special:
-                if s in text:
-                    cut = [seg.split(s) for seg in segments]
-                    out[i] += sum(len(c) - 1 for c in cut)
-                    segments = [seg for c in cut for seg in c]
-            for seg in segments:
-                if seg:
-                    parts.append(space_pieces(seg))
-                    owner.append(i)
-        heads = self.first.values_of([p[:1] for p in parts])
-        tails = self.inner.values_of([p[1:] for p in parts])
-        for i, head, tail in zip(owner, heads, tails):
-            out[i] += sum(head) + sum(tail)
+    def _segments(self, text: str) -> tuple[int, list[str]]:
+        """How many special strings the text holds, and the texts between them."""
+        found, segments = 0, [text]
+        for s in self.special:
+            cut = [seg.split(s) for seg in segments]
+            found += sum(len(c) - 1 for c in cut)
+            segments = [seg for c in cut for seg in c]
+        return found, [seg for seg in segments if seg]
+
+    def _count_any(self, text: str) -> int:
+        total, segments = self._segments(text)
+        for segment in segments:
+            head, *tail = space_pieces(segment)
+            distinct = list(set(tail))
+            count = dict(zip(distinct, self.inner.values(distinct)))
+            total += self.first.values([head])[0] + sum(map(count.__getitem__, tail))
+        return total
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text.  Texts with a special string or a space after other white space go one by one."""
+        special = pc.match_substring_regex(texts, IRREGULAR)
+        for s in self.special:
+            special = pc.or_(special, pc.match_substring(texts, s))
+        special = special.to_numpy(zero_copy_only=False)
+        words = Words(texts)
+        inner = np.array(self.inner.values(words.distinct), dtype=np.int64)[words.index]
+        heads = words.index[words.bounds[:-1]]
+        distinct, where = np.unique(heads, return_inverse=True)
+        first = self.first.values([words.distinct[i] for i in distinct.tolist()])
+        inner[words.bounds[:-1]] = np.array(first, dtype=np.int64)[where]
+        out = words.sums(inner)
+        for i in np.flatnonzero(special).tolist():
+            out[i] = self._count_any(texts[i].as_py())
         return out
 
 
-_counters: dict[str, RankCounter] = {}
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> RankCounter:
+    """The counter of this worker, with its caches."""
+    return RankCounter(path)
 
 
 def token_count_column(text, vocabulary: str):
     """Tokens of each text for the vocabulary file at ``vocabulary`` (the same path on every executor)."""
     @F.arrow_udf("long")
     def counts(texts: pa.Array) -> pa.Array:
-        if vocabulary not in _counters:
-            _counters[vocabulary] = RankCounter(vocabulary)
-        return pa.array(_counters[vocabulary].count([t or "" for t in texts.to_pylist()]), pa.int64())
+        counter = counter_of(vocabulary)
+        found = [counter.count(part) for part in slices(texts.fill_null(""))]
+        return pa.array(np.concatenate(found) if found else [], pa.int64())
     return counts(text)
 
 

@@ -12,21 +12,27 @@ number of tokens), footer offset, magic.  Block: count u16, width u8, exceptions
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_of, new_folder, open_filesystem, text_of, written
-from .pieces import PieceCache
+from .pieces import PieceCache, Words, ragged, slices
+from .token_count import byte_symbols
 
 MAGIC = b"PFOR0001"
 BLOCK = 256
 HEAD = struct.Struct("<HBHI")
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 16 << 20
 #: Blocks that are packed or read at a time.
 GROUP = 1024
 
@@ -55,7 +61,7 @@ def _unpack(packed: np.ndarray, count: int, width: int) -> np.ndarray:
     return np.packbits(full, axis=2, bitorder="little").view(f"<u{size // 8}")[:, :, 0].astype(np.uint32)
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK, share: float = 0.95) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, share: float = 0.99) -> list[bytes]:
     """The blocks of ``ids`` (uint32): all of ``block`` values but the last."""
     out = []
     whole = len(ids) // block * block
@@ -107,7 +113,7 @@ def decode_blocks(data: bytes, starts: list[int]) -> np.ndarray:
 
 
 class Writer:
-    """One file: ``add`` documents in order, then ``close``."""
+    """One file: ``add_all`` documents in order, then ``close``."""
 
     def __init__(self, stream):
         self.stream, self.at = stream, 0
@@ -119,10 +125,11 @@ class Writer:
         self.stream.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray):
-        self.ids.append(doc_id or 0)
-        self.known.append(doc_id is not None)
-        self.starts.append(self.tokens)
+    def add_all(self, doc_ids: list, ids: np.ndarray, size: np.ndarray):
+        """Documents in order: their ids (None for a null one), all their tokens, the tokens of each."""
+        self.ids += [i or 0 for i in doc_ids]
+        self.known += [i is not None for i in doc_ids]
+        self.starts += (self.tokens + np.cumsum(size) - size).tolist()
         self.tokens += len(ids)
         self.buffer.append(ids)
         self.buffered += len(ids)
@@ -205,31 +212,72 @@ class Reader:
 # ------------------------------------------------------------------------------------------------ encoding
 
 class PieceEncoder:
-    """Texts -> ids (uint32) with the tokenizers library, each distinct piece between spaces encoded once.
+    """Texts -> ids with the tokenizers library, each distinct word between spaces encoded once per cache life.
 
-    For vocabularies whose pre-tokenizer drops white space: tokens never span it, so pieces are independent.  A full
-    stop or comma after a letter is a pre-token of its own and is looked up apart."""
+    For vocabularies whose pre-tokenizer drops white space: tokens never span it, so words are independent.  A full
+    stop or comma after a letter is a pre-token of its own and is looked up apart.  A word of Latin letters is one
+    pre-token: where the library's normalizer could only lower-case it, it goes straight to the library's model."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.stems, self.pieces = PieceCache(self._encode), PieceCache(self._join)
+        self.model = self.library.model
+        self.direct = self._plain_letters_go_direct()
+        self.stems = PieceCache(self._encode)
 
-    def _encode(self, stems: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.library.encode_batch_fast(stems, add_special_tokens=False)]
-
-    def _join(self, pieces: list[str]) -> list[bytes]:
-        split = [(p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".," and p[-2].isalpha() else (p,) for p in pieces]
-        return [b"".join(ids) for ids in self.stems.values_of(split)]
+    def _tokens(self, word: str) -> list[int]:
+        printable = word if word.isascii() else word.encode().decode("latin-1").translate(_PRINTABLE)
+        return [t.id for t in self.model.tokenize(printable)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        return [np.frombuffer(b"".join(ids), dtype="<u4") for ids in self.pieces.values_of(pieces)]
+    def _plain_letters_go_direct(self) -> bool:
+        """Does the file's pipeline treat words of letters as its model alone does?"""
+        probe = ["Hello", "straße", "éÀñ", "x"]
+        return all(self.library.encode(w, add_special_tokens=False).ids == self._tokens(w.lower()) for w in probe)
 
-
-_encoders: dict[str, PieceEncoder] = {}
+    def _encode(self, stems: list[str]) -> list[bytes]:
+        out, rest = [], []
+        for i, s in enumerate(stems):
+            low = s.lower()
+            if self.direct and low.isalpha() and (low.isascii() or max(low) < "\u0250"):
+                out.append(array("I", self._tokens(low)).tobytes())
+            else:
+                rest.append(i)
+                out.append(b"")
+        for i, e in zip(rest, self.library.encode_batch_fast([stems[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as bytes of native unsigned 32-bit integers."""
+        stems, place, cut = {}, [], []
+        for i, w in enumerate(words):
+            if w and w[-1] in ".," and len(w) > 1 and w[-2].isalpha():
+                cut.append(i)
+                w = w[:-1]
+            place.append(stems.setdefault(w, len(stems)))
+        marks = {m: stems.setdefault(m, len(stems)) for m in ".,"}
+        ids = self.stems.values(list(stems))
+        out = [ids[p] for p in place]
+        for i in cut:
+            out[i] += ids[marks[words[i][-1]]]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) and the number of ids of each text."""
+        words = Words(pc.replace_substring(texts, "\n", " "))
+        ids, size = ragged(self._ids(words.distinct), words.index, "u4")
+        return ids, words.sums(size)
+
+
+#: Bytes, as Latin-1 characters, to the printable alphabet of byte-level vocabularies.
+_PRINTABLE = {byte: char for char, byte in byte_symbols().items()}
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """The encoder of this worker, with its cache."""
+    return PieceEncoder(path)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) -> DataFrame:
@@ -237,22 +285,21 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     n_docs, n_tokens; one row per file.  Every document ends with ``end_id``; null texts are empty; an empty table
     writes no file."""
     def write(batches):
-        if vocabulary not in _encoders:
-            _encoders[vocabulary] = PieceEncoder(vocabulary)
-        encoder, out, name = _encoders[vocabulary], None, None
-        end = np.array([end_id], dtype=np.uint32)
+        encoder, out = encoder_of(vocabulary), None
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 512):
-                texts = batch.column(1).slice(at, 512).to_pylist()
-                for doc_id, tokens in zip(ids[at:at + 512], encoder.encode(texts)):
-                    if out is None:
-                        fs, root = open_filesystem(folder)
-                        fs.create_dir(root, recursive=True)
-                        name = f"tokens-{uuid.uuid4().hex}.pfor"
-                        stream = fs.open_output_stream(f"{root}/{name}", compression=None)
-                        out, first = Writer(stream), doc_id
-                    out.add(None if doc_id == NULL_ID else doc_id, np.append(tokens, end))
+            at = 0
+            for texts in slices(batch.column(1), ENCODE_BYTES):
+                tokens, size = encoder.encode(texts)
+                ids = batch.column(0).slice(at, len(texts)).to_pylist()
+                at += len(texts)
+                if out is None and ids:
+                    fs, root = open_filesystem(folder)
+                    fs.create_dir(root, recursive=True)
+                    name, first = f"tokens-{uuid.uuid4().hex}.pfor", ids[0]
+                    stream = fs.open_output_stream(f"{root}/{name}", compression=None)
+                    out = Writer(stream)
+                ends = np.cumsum(size)
+                out.add_all([None if i == NULL_ID else i for i in ids], np.insert(tokens, ends, end_id), size + 1)
         if out is not None:
             out.close()
             stream.close()

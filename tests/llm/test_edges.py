@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import base_spans, components, line_dedup, simhash
 
@@ -204,7 +205,7 @@ def test_block_max_retrieval_equals_plain_scores():
     items = [(i, " ".join(rng.choice(vocab, 30))) for i in range(100)]
     index = decontam.ItemIndex(items, share=0.35, shingle=5, overlap=0.0)
     texts = [" ".join(rng.choice(vocab, n)) for n in (5, 40, 90, 200)] + [items[7][1]]
-    got = [{(m["item_id"], round(m["score"], 9)) for m in found} for found in index.match(texts)]
+    got = [{(m["item_id"], round(m["score"], 9)) for m in found} for found in index.match(pa.array(texts))]
     for text, found in zip(texts, got):
         toks, want = text.split(), {}
         for s in range(0, max(1, len(toks)), index.stride):
