@@ -28,6 +28,8 @@ DATE = "1970-01-01T00:00:00Z"
 #: Bytes of a read range, and of the gap between records that is still read through.
 RANGE_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
+#: Compressed bytes that one reading task is given.
+TASK_BYTES = 16 << 20
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 
 
@@ -186,7 +188,9 @@ def read_records(selected: DataFrame, payload: bool = True) -> DataFrame:
             stream.close()
 
     ranged = selected.select("file", "offset", "length", F.floor(F.col("offset") / RANGE_BYTES).alias("part"))
-    return ranged.repartition("file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length") \
+    # by the bytes to read: the index rows themselves are too small to tell Spark about the work
+    tasks = (selected.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + 1
+    return ranged.repartition(tasks, "file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length") \
         .mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
                           "record_type string, refers_to long")
 
