@@ -27,8 +27,9 @@ from .pieces import PieceCache, Words, ragged, slices
 BUCKETS = 1 << 22
 #: Rated rows that the fit reads at most (the documented bound of the sample).
 SAMPLE_ROWS = 16_000
-#: Rows of the sample that must have a feature for it to get a weight.
-MIN_ROWS = 8
+#: Rows of the sample that must have a feature for it to get a weight, and how many standard errors the mean grade of
+#: these rows must be off the sample's: most hashed words of a corpus say nothing about a rating.
+MIN_ROWS, MIN_Z = 5, 3.5
 _UNIT = re.compile(r"[^\W\d_]+|[^\w\s]+")
 PREFIXES = (4, 6)
 
@@ -163,12 +164,12 @@ def minimise(value_and_gradient, x: np.ndarray, steps: int, memory: int = 8) ->
     return x
 
 
-def fit_ordinal(rated: DataFrame, grades: int, l2: float = 2.0, steps: int = 30, min_rows: int = MIN_ROWS,
-                tasks: int = 6) -> OrdinalModel:
+def fit_ordinal(rated: DataFrame, grades: int, l2: float = 0.5, steps: int = 60, min_rows: int = MIN_ROWS,
+                min_z: float = MIN_Z, tasks: int = 6) -> OrdinalModel:
     """Fits the model on every row of ``rated`` (columns text, grade in 0 .. grades - 1; the caller bounds the sample).
 
     Rows with a null or other grade are left out; null texts are empty; ``l2`` is the ridge penalty of the weights
-    (sum over the sample), ``min_rows`` the rows a feature needs.  What reaches the driver per step is one gradient
+    (sum over the sample), ``min_rows`` and ``min_z`` screen the features.  What reaches the driver per step is one gradient
     of at most ``BUCKETS`` numbers per task."""
     spark = rated.sparkSession
 
@@ -181,8 +182,13 @@ def fit_ordinal(rated: DataFrame, grades: int, l2: float = 2.0, steps: int = 30,
     counts = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), np.empty(0))
-    active = np.array(sorted(r["b"] for r in sample.select(F.explode("x").alias("b")).groupBy("b")
-                             .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).collect()), dtype=np.int64)
+    rows = sum(counts.values())
+    mean = sum(g * n for g, n in counts.items()) / rows
+    spread = max(sum((g - mean) ** 2 * n for g, n in counts.items()) / rows, 1e-9) ** 0.5
+    off = F.abs(F.sum(F.col("grade") - mean)) / (spread * F.sqrt(F.count(F.lit(1))))
+    active = np.array(sorted(r["b"] for r in sample.select(F.explode("x").alias("b"), "grade").groupBy("b").agg(
+        F.count(F.lit(1)).alias("n"), off.alias("z")).where((F.col("n") >= min_rows) & (F.col("z") >= min_z))
+        .collect()), dtype=np.int64)
     names = spark.sparkContext.broadcast(active)
 
     def gradient(weights: np.ndarray, thresholds: np.ndarray):
@@ -268,9 +274,14 @@ def _feature_lists(texts: pa.Array) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
 
-def rate(labels: DataFrame):
-    """doc_id, grade of the rating table: 0 low quality, 1 good but toxic, 2 good and clean; null ratings are left out."""
-    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1) \
+#: Documents stay from this tail probability on: chosen on held-out rated rows to lose few good ones.
+KEEP_FROM = 0.4
+
+
+def rate(labels: DataFrame) -> DataFrame:
+    """doc_id, grade of the rating table: 0 toxic, 1 low quality, 2 good and clean; rows without an id or with too few
+    marks to tell are left out."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1) \
         .when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     return labels.select("doc_id", grade.alias("grade")).where("doc_id is not null and grade is not null")
 
@@ -285,7 +296,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, **options) -> OrdinalModel
     return fit_ordinal(rated_sample(docs, rate(labels)), 3, **options)
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, cut: int = 2, **options) -> DataFrame:
+def quality_report(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, cut: int = 2, **options) -> DataFrame:
     """doc_id, expected_grade, tail_probability, keep per row of ``docs``: whole texts; keep where
     P(grade >= cut) >= ``keep_from``.  Null texts are empty, ids are passed through; without rated rows all is kept."""
     model = quality_model(docs, labels, **options)
@@ -294,7 +305,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, c
                          (F.col("s.tail_probability") >= keep_from).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, cut: int = 2, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, cut: int = 2, **options) -> DataFrame:
     """The rows of ``docs`` with P(grade >= cut) >= ``keep_from``."""
     model = quality_model(docs, labels, **options)
     marked = docs.withColumn("__llm_score", score_column(text_of(), model, cut))

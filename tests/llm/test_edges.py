@@ -229,7 +229,7 @@ def test_quality(spark, docs, none):
     grades = rng.integers(0, 3, 900)
     rows = [(i, text(g)) for i, g in enumerate(grades.tolist())]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(g > 0), int(g == 1)) for i, g in enumerate(grades.tolist()) if i < 600]
+    labels = spark.createDataFrame([(i, int(g == 2), int(g == 0)) for i, g in enumerate(grades.tolist()) if i < 600]
                                    + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
     out = {r["doc_id"]: r for r in quality.quality_report(frame, labels).collect()}
     held = range(600, 900)
