@@ -19,13 +19,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DEFAULT_MAX_LENGTH, LABEL_MAPPING, WS_RUN
+from ..functions.fixed import DEFAULT_MAX_LENGTH, LABEL_MAPPING, SUBWORD_PREFIX, WS_RUN
 from ..functions.text import words
 from ..functions.vectors import argmax, decode_label, softmax, vector_columns
 from ..session import reliable_checkpoint
 from .metrics import evaluate_counts
 
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 100, 101, 102
+UNK_TOKEN = "[UNK]"
 
 
 # ----------------------------------------------------------------------------- labels
@@ -55,29 +56,69 @@ def vocab_from_texts(texts: DataFrame, text: str = "text", first_id: int = 1000)
     return ranked.select("token", (F.col("__rn") + first_id - 1).cast("int").alias("id"))
 
 
+def word_pieces(words_: DataFrame, vocab: DataFrame, word: str = "token", max_chars: int = 100) -> DataFrame:
+    """Greedy longest-match word pieces of every distinct word: ``word``, pieces (array).
+
+    A piece inside a word carries the ``##`` prefix in the vocabulary (column ``token``).  A
+    word that cannot be covered, or of more than ``max_chars`` characters, is ``[UNK]``.
+    Plan: every substring of a distinct word, no longer than the longest piece, is looked up
+    by one join; the longest hit per start comes back as a map of at most ``max_chars``
+    entries and one pass over it walks the word."""
+    longest = vocab.agg(F.coalesce(F.max(F.length(F.regexp_replace("token", f"^{SUBWORD_PREFIX}", ""))), F.lit(1)))
+    base = words_.select(F.col(word).alias("__w")).distinct().where(F.length("__w") > 0)
+    short = base.where(F.length("__w") <= max_chars)
+    n = F.length("__w")
+    sub = short.select("__w", F.explode(F.sequence(F.lit(0), n - 1)).alias("__s")) \
+        .select("__w", "__s", F.explode(F.sequence(F.lit(1), F.least(n - F.col("__s"), longest.scalar()))).alias("__l"))
+    piece = F.concat(F.when(F.col("__s") > 0, F.lit(SUBWORD_PREFIX)).otherwise(F.lit("")),
+                     F.substring(F.col("__w"), F.col("__s") + 1, F.col("__l")))
+    known = vocab.select(F.col("token").alias("__piece")).distinct()
+    hits = sub.withColumn("__piece", piece).join(known, "__piece").groupBy("__w", "__s").agg(F.max("__l").alias("__l"))
+    maps = hits.groupBy("__w").agg(F.map_from_entries(F.collect_list(F.struct("__s", "__l"))).alias("__m"))
+
+    def step(acc, i):
+        size = F.try_element_at(F.col("__m"), i)
+        part = F.concat(F.when(i > 0, F.lit(SUBWORD_PREFIX)).otherwise(F.lit("")), F.substring(F.col("__w"), i + 1, size))
+        here = F.struct((i + size).alias("pos"), F.concat(acc["out"], F.array(part)).alias("out"))
+        return F.when((acc["pos"] == i) & size.isNotNull(), here).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    walked = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+    found = maps.select("__w", walked.alias("a")).where(F.col("a.pos") == n).select("__w", F.col("a.out").alias("pieces"))
+    out = base.join(found, "__w", "left")
+    return out.select(F.col("__w").alias(word), F.coalesce("pieces", F.array(F.lit(UNK_TOKEN))).alias("pieces"))
+
+
 def encode_texts(df: DataFrame, text: str, vocab: DataFrame, max_length: int = DEFAULT_MAX_LENGTH,
-                 padding: str = "max_length", lowercase: bool = True, id_col: str = "row_id") -> DataFrame:
-    """``input_ids`` / ``attention_mask`` of fixed length: ``[CLS]`` + word ids +
-    ``[SEP]``, truncated so the specials fit inside ``max_length`` (the
-    tokenizer's truncation), padded with 0 to ``max_length`` (or to the longest
-    row when ``padding='longest'``).  The whole text is tokenized; ``n_tokens``
-    counts all of its words.
-
-    Plan: posexplode words -> equi-join with the vocabulary on the token (AQE
-    makes it a broadcast hash join when the vocabulary is measured small, a
-    skew-split sort-merge join otherwise) -> regroup per text (a group is one
-    text's kept tokens, at most ``max_length``).
+                 padding: str = "max_length", lowercase: bool = True, id_col: str = "row_id",
+                 pieces: DataFrame | None = None) -> DataFrame:
+    """``input_ids`` / ``attention_mask`` of fixed length: ``[CLS]`` + ids + ``[SEP]``,
+    truncated so the specials fit inside ``max_length`` (the tokenizer's truncation), padded
+    with 0 to ``max_length`` (or to the longest row when ``padding='longest'``).  Words map
+    to vocabulary ids as they are, or as the ``pieces`` of :func:`word_pieces`.  The whole
+    text is split; ``n_tokens`` counts all of its words.
+
+    Plan: words beyond ``max_length`` are cut off before the explode (a word is at least one
+    piece) -> equi-joins on the word and the piece (AQE makes them broadcast hash joins when
+    the table is measured small, skew-split sort-merge joins otherwise) -> regroup per text
+    (a group is one text's kept tokens).
     """
     t = F.lower(F.col(text)) if lowercase else F.col(text)
+    room = max(max_length - 2, 0)
     base = df.select(id_col, words(t).alias("__w"))
     ex = base.select(id_col, F.size("__w").cast("long").alias("n_tokens"),
-                     F.posexplode_outer("__w").alias("__pos", "token"))
-    ex = ex.where(F.col("__pos").isNull() | (F.col("__pos") < max(max_length - 2, 0)))
+                     F.posexplode_outer(F.slice("__w", 1, room) if room else F.array().cast("array<string>")).alias("__pos", "token"))
+    order = ["__pos"]
+    if pieces is not None:
+        cut = ex.join(pieces.select("token", "pieces"), "token", "left").withColumn(
+            "pieces", F.when(F.col("__pos").isNull(), F.lit(None)).otherwise(F.coalesce("pieces", F.array(F.lit(UNK_TOKEN)))))
+        ex = cut.select(id_col, "n_tokens", "__pos", F.posexplode_outer("pieces").alias("__part", "token"))
+        order = ["__pos", "__part"]
     mapped = ex.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token", "left")
-    piece = F.when(F.col("__pos").isNotNull(), F.struct("__pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    kept = F.when(F.col("__pos").isNotNull(), F.struct(*order, F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     enc = mapped.groupBy(id_col).agg(F.first("n_tokens").alias("n_tokens"),
-                                     F.array_sort(F.collect_list(piece)).alias("__s"))
-    body = F.transform("__s", lambda x: x["id"])
+                                     F.array_sort(F.collect_list(kept)).alias("__s"))
+    body = F.slice(F.transform("__s", lambda x: x["id"]), 1, room) if room else F.array().cast("array<int>")
     core = F.concat(F.array(F.lit(CLS_ID)), body, F.array(F.lit(SEP_ID)))
     enc = enc.select(id_col, "n_tokens", core.alias("__core"))
     if padding == "max_length":

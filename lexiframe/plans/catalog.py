@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.fixed import NA_TOKENS
 from ..functions.text import contains_text, strip_subword_prefix, strip_ws, word_count, html_escape
+from ..functions.text import words as text_words
 from ..functions.vectors import argmax
 from ..operators import attention as att_ops
 from ..operators import metrics, model, outliers, profile, split, stats, trainlog
@@ -1002,6 +1003,27 @@ def encode(spark, sf):
                 F.col("z.attention_mask").alias("attention_mask"))
 
 
+@query("o_m3_wordpiece", f"""
+WITH RECURSIVE {S.TOKENS},
+v AS (SELECT DISTINCT token AS piece FROM tokens WHERE token NOT IN ('[CLS]', '[SEP]')),
+m AS (SELECT max(length(regexp_replace(piece, '^##', ''))) AS most FROM v),
+w AS (SELECT DISTINCT unnest({S.word_list('lower(text)')}) AS word FROM documents),
+s1 AS (SELECT word, unnest(generate_series(0, length(word) - 1)) AS s FROM w WHERE length(word) <= 100),
+s2 AS (SELECT word, s, unnest(generate_series(1, least(length(word) - s, most))) AS l FROM s1, m),
+h AS (SELECT word, s, max(l) AS l FROM s2 JOIN v ON piece = (CASE WHEN s > 0 THEN '##' ELSE '' END) || substring(word, CAST(s + 1 AS INT), CAST(l AS INT))
+      GROUP BY word, s),
+walk AS (SELECT word, CAST(0 AS BIGINT) AS pos, '' AS pieces FROM w UNION ALL
+         SELECT walk.word, pos + h.l, pieces || (CASE WHEN pos = 0 THEN '' ELSE ' ##' END) || substring(walk.word, CAST(pos + 1 AS INT), CAST(h.l AS INT))
+         FROM walk JOIN h ON h.word = walk.word AND h.s = walk.pos)
+SELECT word AS token, coalesce(max(pieces) FILTER (WHERE pos = length(word)), '[UNK]') AS pieces FROM walk GROUP BY word
+""")
+def wordpiece(spark, sf):
+    """Greedy longest-match pieces of every distinct word of ``documents``; the vocabulary is the pieces of ``benchmark``."""
+    vocab = tokens(spark, sf).where(~F.col("token").isin("[CLS]", "[SEP]")).select("token").distinct()
+    ws = _t(spark, sf, "documents").select(F.explode(text_words(F.lower("text"))).alias("token"))
+    return model.word_pieces(ws, vocab).select("token", F.array_join("pieces", " ").alias("pieces"))
+
+
 @query("o_m4_train_classifier")
 def train_classifier(spark, sf):
     """Distributed multinomial text classifier fit on the train part, scored on

@@ -97,3 +97,16 @@ def test_log_keys_of_text_are_no_metrics(spark, tmp_path):
     (tmp_path / "state.json").write_text(json.dumps(log))
     recs = files.read_trainer_log(spark, str(tmp_path / "state.json"))
     assert sorted(trainlog.numeric_fields(recs, id_cols=["source"])) == ["flag", "loss", "mixed"]
+
+
+def test_word_pieces_and_their_encoding(spark):
+    from lexiframe.operators import model
+    vocab = spark.createDataFrame([("un", 7), ("##aff", 8), ("##able", 9), ("##a", 10), ("a", 11)], "token string, id int")
+    ws = spark.createDataFrame([(w,) for w in ("unaffable", "unx", "a", "aa", "y" * 200, "a")], "token string")
+    pieces = model.word_pieces(ws, vocab)
+    got = {r["token"]: r["pieces"] for r in pieces.collect()}
+    assert got == {"unaffable": ["un", "##aff", "##able"], "unx": ["[UNK]"], "a": ["a"], "aa": ["a", "##a"], "y" * 200: ["[UNK]"]}
+    df = spark.createDataFrame([(1, "A unaffable aa"), (2, ""), (3, "aa aa aa aa aa")], "row_id long, text string")
+    enc = {r["row_id"]: r for r in model.encode_texts(df, "text", vocab, max_length=6, pieces=pieces).collect()}
+    assert enc[1]["input_ids"] == [101, 11, 7, 8, 9, 102] and enc[1]["n_tokens"] == 3
+    assert enc[2]["input_ids"] == [101, 102, 0, 0, 0, 0] and enc[3]["input_ids"] == [101, 11, 10, 11, 10, 102]
