@@ -51,6 +51,11 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def once(udf):
+    """``udf`` marked so that the optimizer never copies it into filters it infers (that would run it twice)."""
+    return udf.asNondeterministic()
+
+
 def open_filesystem(uri: str):
     """(filesystem, path) of a Hadoop-style uri, for byte access inside tasks."""
     from pyarrow import fs

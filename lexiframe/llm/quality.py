@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import once, text_of, written
 from .pieces import PieceCache, Words, ragged, slices
 
 #: Hashed feature space.
@@ -178,7 +178,7 @@ def fit_ordinal(rated: DataFrame, grades: int, l2: float = 0.5, steps: int = 60,
         return _feature_lists(texts.fill_null(""))
 
     known = rated.where(F.col("grade").between(0, grades - 1)).select(text_of().alias("text"), F.col("grade").cast("int"))
-    sample = written(known.select(features("text").alias("x"), "grade").coalesce(tasks), "rated-features")
+    sample = written(known.select(once(features)("text").alias("x"), "grade").coalesce(tasks), "rated-features")
     counts = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), np.empty(0))
@@ -245,7 +245,7 @@ def score_column(text, model: OrdinalModel, cut: int):
         found = [model.score(part, cut, featurizer) for part in slices(texts.fill_null(""))]
         expected, tail = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0), np.empty(0))
         return pa.StructArray.from_arrays([pa.array(expected), pa.array(tail)], ["expected_grade", "tail_probability"])
-    return scores(text)
+    return once(scores)(text)
 
 
 @functools.lru_cache(maxsize=1)

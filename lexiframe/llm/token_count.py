@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import once, text_of
 from .pieces import IRREGULAR, PieceCache, Words, slices, space_pieces
 
 NO_RANK = np.int32(np.iinfo(np.int32).max)
@@ -199,7 +199,7 @@ def token_count_column(text, vocabulary: str):
         counter = counter_of(vocabulary)
         found = [counter.count(part) for part in slices(texts.fill_null(""))]
         return pa.array(np.concatenate(found) if found else [], pa.int64())
-    return counts(text)
+    return once(counts)(text)
 
 
 def token_report(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
