@@ -15,7 +15,7 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _bind(value: Column, use) -> Column:
+def bind(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once (a one-element transform)."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -23,9 +23,9 @@ def _bind(value: Column, use) -> Column:
 def softmax(logits) -> Column:
     """Numerically stable softmax over an array<double>; maximum and total are computed once."""
     arr = _c(logits).cast("array<double>")
-    shifted = _bind(F.array_max(arr), lambda top: F.transform(arr, lambda x: F.exp(x - top)))
+    shifted = bind(F.array_max(arr), lambda top: F.transform(arr, lambda x: F.exp(x - top)))
     total = lambda e: F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return _bind(shifted, lambda e: _bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
+    return bind(shifted, lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(values) -> Column:

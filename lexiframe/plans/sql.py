@@ -46,16 +46,14 @@ TOKENS = (
 
 
 def attention(name: str = "att", run: str = "eval") -> str:
-    a, b, c, d, m, off = (7, 13, 3, 5, 11, 0) if run == "eval" else (5, 11, 2, 3, 13, 1)
-    raw = f"(({a}*q + {b}*k + {c}*layer + {d}*head + {off}) % {m} + 1)"
+    a, b, c, d, off, m = (7, 13, 3, 5, 0, 11) if run == "eval" else (5, 11, 2, 3, 1, 13)
+    raw = f"(({a}*q.pos + {b}*k.pos + {c}*layer + {d}*head + {off} + ascii(q.token) + ascii(k.token)) % {m} + 1)"
     return (
-        f"{name}_s AS (SELECT sample_id, count(*) AS S FROM tokens GROUP BY sample_id), "
-        f"{name}_q AS (SELECT sample_id, S, layer, head, unnest(generate_series(0, S - 1)) AS q FROM {name}_s, "
-        f"(SELECT unnest([0, 1, 2]) AS layer), (SELECT unnest([0, 1]) AS head)), "
-        f"{name}_k AS (SELECT sample_id, layer, head, q, unnest(generate_series(0, S - 1)) AS k FROM {name}_q), "
-        f"{name} AS (SELECT sample_id, CAST(layer AS INTEGER) AS layer, CAST(head AS INTEGER) AS head, "
-        f"CAST(q AS INTEGER) AS q, CAST(k AS INTEGER) AS k, CAST({raw} AS DOUBLE) / "
-        f"sum({raw}) OVER (PARTITION BY sample_id, layer, head, q) AS weight FROM {name}_k)")
+        f"{name} AS (SELECT q.sample_id, CAST(layer AS INTEGER) AS layer, CAST(head AS INTEGER) AS head, "
+        f"CAST(q.pos AS INTEGER) AS q, CAST(k.pos AS INTEGER) AS k, CAST({raw} AS DOUBLE) / "
+        f"sum({raw}) OVER (PARTITION BY q.sample_id, layer, head, q.pos) AS weight "
+        f"FROM tokens q JOIN tokens k ON k.sample_id = q.sample_id, (SELECT unnest([0, 1, 2]) AS layer), "
+        f"(SELECT unnest([0, 1]) AS head))")
 
 
 LOG = (

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import letter_count, words
+from ..functions.vectors import bind
 from ..operators.ranking import sequence_number
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -60,41 +61,31 @@ def benchmark_tokens(bench: DataFrame, piece: int = 5) -> DataFrame:
         .select("sample_id", F.col("pos").cast("int").alias("pos"), "token")
 
 
-# --- Fixed values: the integer attention formulas (raw weight, then row-normalised)
-EVAL_RUN = (7, 13, 3, 5, 11)      # raw = (7q + 13k + 3 layer + 5 head) % 11 + 1
-DROPOUT_RUN = (5, 11, 2, 3, 13)   # raw = (5q + 11k + 2 layer + 3 head + 1) % 13 + 1
+# --- Fixed values: the integer attention formulas (raw weight, then row-normalised); code = first code point of a token
+EVAL_RUN = (7, 13, 3, 5, 0, 11)      # raw = (7q + 13k + 3 layer + 5 head + code(q) + code(k)) % 11 + 1
+DROPOUT_RUN = (5, 11, 2, 3, 1, 13)   # raw = (5q + 11k + 2 layer + 3 head + 1 + code(q) + code(k)) % 13 + 1
 
 
 def synthetic_attention(tokens: DataFrame, layers: int = 3, heads: int = 2, run: str = "eval") -> DataFrame:
-    """Dense attention (sample_id, layer, head, q, k, weight) over each sample's
-    tokens; every (sample, layer, head, q) row sums to 1.
+    """Dense attention (sample_id, layer, head, q, k, weight) over each sample's tokens; every
+    (sample, layer, head, q) row sums to 1.  Positions and tokens enter the weight, so a token
+    at a wrong position shows.
 
-    raw(k) = ((c0 + b k) mod m) + 1 with c0 = (a q + c layer + d head + off) mod m.
-    As gcd(b, m) = 1, every block of m consecutive k sums to m (m + 1) / 2, so
-    the row sum needs at most m - 1 extra terms; cells come from a plain explode.
-    Generated inside sample_id partitions (no shuffle of the cell table).
+    A sample's token codes come together once (bounded by the model's sequence length); rows
+    and cells are exploded inside the same partition, without a shuffle of the cell table.
     """
-    a, b, c, d, m = EVAL_RUN if run == "eval" else DROPOUT_RUN
-    off = 0 if run == "eval" else 1
-    s = tokens.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("S"))
-    # partition the small per-sample table by sample_id before generating cells
-    s = s.repartition("sample_id")
-    rows = (s.select("sample_id", "S", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
+    a, b, c, d, off, m = EVAL_RUN if run == "eval" else DROPOUT_RUN
+    s = tokens.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.ascii("token").alias("code")))).alias("__t"))
+    codes = s.select("sample_id", F.transform("__t", lambda x: x["code"]).alias("__codes"))
+    rows = (codes.select("*", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
             .select("*", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.col("S") - 1)).alias("q")))
-    c0 = (F.col("q") * a + F.col("layer") * c + F.col("head") * d + off) % m
-    rem = F.col("S") % m
-    tail = F.aggregate(F.sequence(F.lit(0), rem - 1), F.lit(0),
-                       lambda acc, j: acc + (F.col("__c0") + j * b) % m + 1)
-    tail = F.when(rem > 0, tail).otherwise(F.lit(0))
-    rows = rows.withColumn("__c0", c0)
-    rows = rows.withColumn("__t", ((F.col("S") / m).cast("int") * (m * (m + 1) // 2) + tail).cast("double"))
-    cells = rows.select("sample_id", "layer", "head", "q", "__c0", "__t",
-                        F.explode(F.sequence(F.lit(0), F.col("S") - 1)).alias("k"))
-    raw = ((F.col("__c0") + F.col("k") * b) % m + 1).cast("double")
-    return cells.select("sample_id", F.col("layer").cast("int").alias("layer"), F.col("head").cast("int").alias("head"),
-                        F.col("q").cast("int").alias("q"), F.col("k").cast("int").alias("k"),
-                        (raw / F.col("__t")).alias("weight"))
+            .select("*", F.posexplode("__codes").alias("q", "__code")))
+    base = F.col("q") * a + F.col("layer") * c + F.col("head") * d + off + F.col("__code")
+    raw = F.transform("__codes", lambda code, k: ((base + k * b + code) % m + 1).cast("double"))
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x)
+    weights = bind(raw, lambda w: bind(total(w), lambda t: F.transform(w, lambda x: x / t)))
+    return rows.select("sample_id", "layer", "head", "q", weights.alias("__w")) \
+        .select("sample_id", "layer", "head", "q", F.posexplode("__w").alias("k", "weight"))
 
 
 # ----------------------------------------------------------------------------- training log
