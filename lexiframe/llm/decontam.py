@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import once, text_of
 from .pieces import PieceCache, Words, ragged, slices
 
 #: Text bytes of the items in one index; a larger test set is queried in several blocks.
@@ -220,7 +220,7 @@ def _block_matches(text, block):
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()),
                                    ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
         return pa.array([m for part in slices(texts.fill_null("")) for m in index.match(part)], kind)
-    return matches(text)
+    return once(matches)(text)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
