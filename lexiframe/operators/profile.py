@@ -4,17 +4,17 @@ duplicates, label counts in first-seen order, value counts, co-occurrence.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import split_labels
 from ..session import reliable_checkpoint
 from .ranking import join_on_keys, sequence_number
+from .stats import ranged_quantiles
 
 # Portable type names (the same words DuckDB prints for its types).
 _TYPE_NAMES = {
@@ -103,7 +103,7 @@ def summary(df: DataFrame, digits: int | None = None) -> DataFrame:
     1. numeric columns are unpivoted to (column, value), value-counted in one aggregation
        and range-partitioned by (column, value);
     2. counts per (column, range) give n, mean, min, max and the ranges that hold the
-       quartiles; only those ranges are ordered (:func:`_quartiles_from_counts`);
+       quartiles; only those ranges are ordered (:func:`lexiframe.operators.stats.ranged_quantiles`);
     3. categorical columns are counted by the 64-bit hash of the value, so no text is
        shuffled for the counts (two texts with one hash would count as one); the top value
        is the least text among the rows with a most frequent hash.
@@ -131,7 +131,7 @@ def summary(df: DataFrame, digits: int | None = None) -> DataFrame:
             means = F.create_map(*[y for c, x in first.items() for y in (F.lit(c), F.lit(x["mean"]))])
             var = {x["c"]: x["m2"] for x in vc.groupBy("c").agg(
                 F.sum(F.col("cnt") * F.pow(F.col("v") - means[F.col("c")], 2)).alias("m2")).collect()}
-            quart = _quartiles_from_counts(vc, {c: x["n"] for c, x in first.items()})
+            quart = ranged_quantiles(vc, {c: x["n"] for c, x in first.items()})
         for i, (f, _) in enumerate(numeric):
             if i not in first:
                 rows[f.name] = (f.name, 0, None, None, None, None, None, None, None, None, None, None)
@@ -164,40 +164,6 @@ def summary(df: DataFrame, digits: int | None = None) -> DataFrame:
     return spark.createDataFrame(ordered, _SUMMARY_SCHEMA)
 
 
-def _quartiles_from_counts(vc: DataFrame, n_by_col: dict, probs=(0.25, 0.5, 0.75)) -> dict:
-    """Exact linear quartiles from value counts (c, v, cnt) in ranges p of (c, v).
-
-    Sums per (c, p) come back (at most ranges + columns rows) and name the range of each
-    wanted rank; running counts are taken inside those ranges only."""
-    sums = sorted((x["c"], x["p"], x["n"]) for x in vc.groupBy("c", "p").agg(F.sum("cnt").alias("n")).collect())
-    start, seen = {}, {}
-    for c, p, n in sums:
-        start[c, p] = seen.get(c, 0), seen.get(c, 0) + n
-        seen[c] = seen.get(c, 0) + n
-    ranks = {(c, rank) for c, n in n_by_col.items() for q in probs
-             for rank in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
-    home = {(c, rank): next(k for k, (lo, hi) in start.items() if k[0] == c and lo <= rank < hi) for c, rank in ranks}
-    w = Window.partitionBy("c", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = vc.where(reduce(lambda a, b: a | b, [(F.col("c") == c) & (F.col("p") == p) for c, p in set(home.values())]))
-    cum = inside.withColumn("__end", F.sum("cnt").over(w)).withColumn("__start", F.col("__end") - F.col("cnt"))
-    wanted = [(F.col("c") == c) & (F.col("p") == k[1]) & (F.col("__start") <= rank - start[k][0])
-              & (F.col("__end") > rank - start[k][0]) for (c, rank), k in home.items()]
-    hits = cum.where(reduce(lambda a, b: a | b, wanted)).select("c", "p", "v", "__start", "__end").collect()
-
-    def at(c, rank):
-        k = home[c, rank]
-        return next(h["v"] for h in hits if (h["c"], h["p"]) == k and h["__start"] <= rank - start[k][0] < h["__end"])
-
-    out = {}
-    for c, n in n_by_col.items():
-        out[c] = []
-        for q in probs:
-            pos = q * (n - 1)
-            a, b = at(c, math.floor(pos)), at(c, math.ceil(pos))
-            out[c].append(a + (b - a) * (pos - math.floor(pos)))
-    return out
-
-
 def duplicate_rows(df: DataFrame, subset: Sequence[str], out: str = "dup_count") -> DataFrame:
     """All members of duplicate groups (``duplicated(keep=False)``), nulls equal,
     each row with its group size.

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BOX_WHIS, KDE_CUT, KDE_GRIDSIZE
+from ..session import reliable_checkpoint
 from .ranking import join_on_keys
 
 
@@ -69,80 +70,51 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: S
     return agg.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets: int = 1024) -> dict:
-    """Exact global quantiles of a column of any cardinality, without one big task.
-
-    1. value counts (``groupBy(value)``, partial aggregation);
-    2. ~``buckets`` approximate cut points over the *distinct* values (bounded list);
-    3. rows per bucket (<= buckets + 1 rows) -> which bucket holds each wanted rank;
-    4. running counts by a window inside those few buckets only.
-    Returns ``{p: value}`` (None for an empty column).
-    """
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> dict:
+    """Exact global quantiles of a column of any cardinality, without one big task: value
+    counts are range-partitioned and only the ranges that hold a wanted rank are ordered.
+    Returns ``{p: value}`` (None for an empty column)."""
     v = F.col(value).cast("double")
-    vc = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    # the value-count table is read by three small jobs below; keep it instead of
-    # re-aggregating the source each time (memory and disk; recomputed if lost)
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _exact_from_counts(vc, probs, buckets)
-    finally:
-        vc.unpersist()
-
-
-def _exact_from_counts(vc: DataFrame, probs: Sequence[float], buckets: int) -> dict:
-    cuts_row = vc.agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets)
-                      .alias("cuts"), F.sum("__c").alias("n")).first()
-    n = cuts_row["n"] or 0
-    if n == 0:
+    counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    vc = reliable_checkpoint(counts.select(F.lit(0).alias("c"), "v", "cnt").repartitionByRange("v")
+                             .withColumn("p", F.spark_partition_id()))
+    n = vc.agg(F.sum("cnt")).first()[0]
+    if not n:
         return {p: None for p in probs}
-    cuts = sorted(set(x for x in (cuts_row["cuts"] or []) if x is not None))
-    # bucket b holds splits[b] <= v < splits[b+1]; Bucketizer binary-searches the
-    # bounded split list inside the JVM
-    from pyspark.ml.feature import Bucketizer
-    splits = [-float("inf")] + cuts + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="__v", outputCol="__bd").transform(vc) \
-        .withColumn("__b", F.col("__bd").cast("int")).drop("__bd")
-    per_bucket = {r["__b"]: r["__n"] for r in bucketed.groupBy("__b").agg(F.sum("__c").alias("__n")).collect()}
-    starts, acc = {}, 0
-    for b in sorted(per_bucket):
-        starts[b] = acc
-        acc += per_bucket[b]
-    wanted = {}
-    for p in probs:
-        pos = p * (n - 1)
-        lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-        wanted[p] = (pos, lo, hi)
-    ranks = sorted({r for (_, lo, hi) in wanted.values() for r in (lo, hi)})
-
-    def bucket_for(r):
-        for b in sorted(starts):
-            if starts[b] <= r < starts[b] + per_bucket[b]:
-                return b
-        raise AssertionError("rank outside data")
-
-    need = sorted({bucket_for(r) for r in ranks})
-    w = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (bucketed.where(F.col("__b").isin(need))
-              .withColumn("__end", F.sum("__c").over(w))
-              .withColumn("__start", F.col("__end") - F.col("__c")))
-    conds = None
-    for r in ranks:
-        b = bucket_for(r)
-        local = r - starts[b]
-        c = (F.col("__b") == b) & (F.col("__start") <= local) & (F.col("__end") > local)
-        conds = c if conds is None else (conds | c)
-    hits = inside.where(conds).select("__b", "__v", "__start", "__end").collect()
-    at = {}
-    for r in ranks:
-        b = bucket_for(r)
-        local = r - starts[b]
-        for h in hits:
-            if h["__b"] == b and h["__start"] <= local < h["__end"]:
-                at[r] = h["__v"]
+    return dict(zip(probs, ranged_quantiles(vc, {0: n}, probs)[0]))
+
+
+def ranged_quantiles(vc: DataFrame, n_by_col: dict, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> dict:
+    """Exact linear quantiles from value counts (c, v, cnt) in ranges p of (c, v): c -> list.
+
+    Sums per (c, p) come back (at most ranges + columns rows) and name the range of each
+    wanted rank; running counts are taken inside those ranges only."""
+    sums = sorted((x["c"], x["p"], x["n"]) for x in vc.groupBy("c", "p").agg(F.sum("cnt").alias("n")).collect())
+    start, seen = {}, {}
+    for c, p, n in sums:
+        start[c, p] = seen.get(c, 0), seen.get(c, 0) + n
+        seen[c] = seen.get(c, 0) + n
+    ranks = {(c, rank) for c, n in n_by_col.items() for q in probs
+             for rank in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+    home = {(c, rank): next(k for k, (lo, hi) in start.items() if k[0] == c and lo <= rank < hi) for c, rank in ranks}
+    w = Window.partitionBy("c", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = vc.where(reduce(lambda a, b: a | b, [(F.col("c") == c) & (F.col("p") == p) for c, p in set(home.values())]))
+    cum = inside.withColumn("__end", F.sum("cnt").over(w)).withColumn("__start", F.col("__end") - F.col("cnt"))
+    wanted = [(F.col("c") == c) & (F.col("p") == k[1]) & (F.col("__start") <= rank - start[k][0])
+              & (F.col("__end") > rank - start[k][0]) for (c, rank), k in home.items()]
+    hits = cum.where(reduce(lambda a, b: a | b, wanted)).select("c", "p", "v", "__start", "__end").collect()
+
+    def at(c, rank):
+        k = home[c, rank]
+        return next(h["v"] for h in hits if (h["c"], h["p"]) == k and h["__start"] <= rank - start[k][0] < h["__end"])
+
     out = {}
-    for p, (pos, lo, hi) in wanted.items():
-        a, b_ = at[lo], at[hi]
-        out[p] = a + (b_ - a) * (pos - lo)
+    for c, n in n_by_col.items():
+        out[c] = []
+        for q in probs:
+            pos = q * (n - 1)
+            a, b = at(c, math.floor(pos)), at(c, math.ceil(pos))
+            out[c].append(a + (b - a) * (pos - math.floor(pos)))
     return out
 
 
