@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,7 +23,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        now = written(_small_star(_large_star(now)), "cc-edges")
+        for star in (_large_star, _small_star):
+            least = _least(now)
+            moved = written(star(now, least), "cc-edges")
+            forget(least)
+            forget(now)
+            now = moved
         last, mark = mark, _mark(now)
         if mark == last:
             break
@@ -39,16 +44,19 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """u and m, the least smaller neighbour of u: a table of its own, so that the join with it can split the edges of a hub."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))  # v < u: the least neighbour, where one is smaller
     linked = both.where(F.col("v") > F.col("u")).join(least, "u", "left")
     return linked.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_of, text_of, written
+from .common import id_back, id_of, once, text_of, written
 from .components import connected_components
 
 BITS = 64
@@ -51,7 +51,7 @@ def fingerprint_column(text, shingle: int = 3, seed: int = 42):
     @F.arrow_udf("long")
     def fingerprints(texts: pa.Array) -> pa.Array:
         return pa.array([simhash(t or b"", shingle, seed) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
-    return fingerprints(text)
+    return once(fingerprints)(text)
 
 
 def _signed(x: int) -> int:
@@ -179,7 +179,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 3, distance: int = 2,
     roots = connected_components(near_links(distinct.select("fp"), distance, pair_bucket))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
-    classes = linked.groupBy("root").agg(F.min(F.struct("first_did", "fp")).alias("rep"))
+    classes = written(linked.groupBy("root").agg(F.min(F.struct("first_did", "fp")).alias("rep")), "simhash-roots")
     by_fp = written(linked.join(classes, "root").select(
         "fp", F.col("rep.first_did").alias("component"), F.col("rep.fp").alias("rep_fp")), "simhash-classes")
     return fps.join(by_fp, "fp").select("did", "fp", "component", "rep_fp")
