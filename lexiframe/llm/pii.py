@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import forget, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  Possessive runs and look-behinds spare the matcher retries inside a run; they match the same.
@@ -130,12 +130,16 @@ def score_graph(spans: DataFrame, rounds: int = 3, min_support: int = 3) -> Data
     edges = written(seeds.unionByName(unseen).where("pattern != ''").groupBy("pattern", "kind", "found")
                     .agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")), "pii-edges")
     for _ in range(rounds):
-        patterns = _confidence(edges, min_support)
+        # small tables of their own, so that the joins can split the edges of a frequent pattern or instance
+        patterns = written(_confidence(edges, min_support), "pii-patterns")
         scores = edges.where("seed = 0").join(patterns, ["pattern", "kind"]).groupBy("kind", "found") \
             .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("new"))
-        edges = written(edges.join(scores, ["kind", "found"], "left").select(
+        scores = written(scores, "pii-scores")
+        before, edges = edges, written(edges.join(scores, ["kind", "found"], "left").select(
             "pattern", "kind", "found", "seed",
             F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("new", F.lit(0.0))).alias("score")), "pii-edges")
+        for table in (before, patterns, scores):
+            forget(table)
     return edges
 
 
@@ -147,9 +151,10 @@ def _confidence(edges: DataFrame, min_support: int) -> DataFrame:
 
 def discovered(edges: DataFrame, min_confidence: float = 0.7, min_support: int = 3) -> DataFrame:
     """found, kind: unseen instances that a pattern of at least ``min_confidence`` extracts; the best kind of each."""
-    good = _confidence(edges, min_support).where(F.col("confidence") >= min_confidence)
-    return edges.where("seed = 0").join(good, ["pattern", "kind"]).groupBy("found").agg(
+    good = written(_confidence(edges, min_support).where(F.col("confidence") >= min_confidence), "pii-patterns")
+    found = edges.where("seed = 0").join(good, ["pattern", "kind"]).groupBy("found").agg(
         F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    return written(found, "pii-discovered")
 
 
 def _joined(spans: Column) -> Column:

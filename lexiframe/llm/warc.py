@@ -98,7 +98,8 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     sha = F.sha1(F.encode("html", "utf-8"))
     counted = rows.where(F.octet_length("html") >= min_bytes).groupBy(sha.alias("sha")).agg(
         F.count(F.lit(1)).alias("n"), F.max("page_id").alias("target"))
-    repeated = counted.where("n > 1").select("sha", "target")
+    # a table of its own, so that the join can split the pages of a payload that is everywhere
+    repeated = written(counted.where("n > 1").select("sha", "target"), "repeated-payloads")
     joined = rows.withColumn("sha", sha).join(repeated, "sha", "left")
     revisit = F.col("target").isNotNull() & ~F.col("target").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("target")).alias("refers_to"))
