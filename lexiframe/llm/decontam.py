@@ -8,7 +8,6 @@ item's question and answer part.  Items are few next to the corpus; they go to t
 
 from __future__ import annotations
 
-import functools
 import re
 import uuid
 from array import array
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import once, text_of
-from .pieces import PieceCache, Words, ragged, slices
+from .pieces import PieceCache, Words, held, ragged, slices
 
 #: Text bytes of the items in one index; a larger test set is queried in several blocks.
 INDEX_BYTES = 16 << 20
@@ -205,10 +204,9 @@ def contamination_column(text, items: DataFrame, share: float = 0.5, shingle: in
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
-@functools.lru_cache(maxsize=1)
 def _index_of(name: str, block) -> ItemIndex:
     """The index of this worker; ``name`` tells broadcasts apart."""
-    return ItemIndex(*block.value)
+    return held(("items", name), lambda: ItemIndex(*block.value))
 
 
 def _block_matches(text, block):

@@ -6,6 +6,7 @@ emptied when it is full, which bounds memory and changes no result.
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -76,6 +77,20 @@ def ragged(parts: list[bytes], index: np.ndarray, kind: str) -> tuple[np.ndarray
     return flat[where], n
 
 
+#: What this Python worker keeps between tasks: the state of the operator that it ran last, and no other's.
+_held: dict = {}
+
+
+def held(name, build):
+    """The state called ``name``, built when the worker does not hold it; what it held before is let go."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[name] = build()
+    return _held[name]
+
+
 class PieceCache:
     """piece -> value in two generations: what the last ``CACHE_PIECES`` distinct pieces did not use is forgotten.
     ``fill(pieces)`` computes the values of unknown pieces in one call."""

@@ -7,7 +7,6 @@ partitions of a bounded sample of rated texts; scoring is one pass that looks up
 
 from __future__ import annotations
 
-import functools
 import re
 import uuid
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import once, text_of, written
-from .pieces import PieceCache, Words, ragged, slices
+from .pieces import PieceCache, Words, held, ragged, slices
 
 #: Hashed feature space.
 BUCKETS = 1 << 22
@@ -248,27 +247,16 @@ def score_column(text, model: OrdinalModel, cut: int):
     return once(scores)(text)
 
 
-@functools.lru_cache(maxsize=1)
-def _all_features() -> Featurizer:
-    return Featurizer()
-
-
-_scorers: dict[str, Featurizer] = {}
-
-
 def _featurizer_of(name: str, model: OrdinalModel) -> Featurizer:
     """This worker's featurizer for a fitted model, with its cache."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Featurizer(model.buckets)
-    return _scorers[name]
+    return held(("quality", name), lambda: Featurizer(model.buckets))
 
 
 def _feature_lists(texts: pa.Array) -> pa.Array:
     """The sorted features of each text as an array of lists."""
     out = []
     for part in slices(texts):
-        text, feature = _all_features().pairs(part)
+        text, feature = held("features", Featurizer).pairs(part)
         offsets = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(part)))))
         out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(feature, pa.int32())))
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))

@@ -7,7 +7,6 @@ survives is counted.  The vocabulary file only gives the merge list, the pre-tok
 
 from __future__ import annotations
 
-import functools
 import json
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import once, text_of
-from .pieces import IRREGULAR, PieceCache, Words, slices, space_pieces
+from .pieces import IRREGULAR, PieceCache, Words, held, slices, space_pieces
 
 NO_RANK = np.int32(np.iinfo(np.int32).max)
 
@@ -186,10 +185,9 @@ class RankCounter:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def counter_of(path: str) -> RankCounter:
     """The counter of this worker, with its caches."""
-    return RankCounter(path)
+    return held(("token counts", path), lambda: RankCounter(path))
 
 
 def token_count_column(text, vocabulary: str):

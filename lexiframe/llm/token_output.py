@@ -12,7 +12,6 @@ number of tokens), footer offset, magic.  Block: count u16, width u8, exceptions
 
 from __future__ import annotations
 
-import functools
 import struct
 import uuid
 import zlib
@@ -25,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_of, new_folder, open_filesystem, text_of, written
-from .pieces import PieceCache, Words, ragged, slices
+from .pieces import PieceCache, Words, held, ragged, slices
 from .token_count import byte_symbols
 
 MAGIC = b"PFOR0001"
 BLOCK = 256
 HEAD = struct.Struct("<HBHI")
 #: Text bytes that are encoded at a time.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 #: Blocks that are packed or read at a time.
 GROUP = 1024
 
@@ -274,10 +273,9 @@ class PieceEncoder:
 _PRINTABLE = {byte: char for char, byte in byte_symbols().items()}
 
 
-@functools.lru_cache(maxsize=1)
 def encoder_of(path: str) -> PieceEncoder:
     """The encoder of this worker, with its cache."""
-    return PieceEncoder(path)
+    return held(("encoder", path), lambda: PieceEncoder(path))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) -> DataFrame:
