@@ -42,8 +42,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     keys = written(line_hashes(docs, min_chars, id_col, text_col), "line-hashes")
     ranged = keys.repartitionByRange("h1", "h2", "did").sortWithinPartitions("h1", "h2", F.col("did").desc(), "pos")
     holders = ranged.groupBy("h1", "h2", "did").agg(F.min("pos").alias("first_pos"))
-    repeated = (holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("did").alias("last_did"))
-                .where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_did"))
+    stats = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("did").alias("last_did"))
+    # a table of its own, so that the join below can split the lines of a key that is everywhere
+    repeated = written(stats.where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_did"), "repeated-lines")
     drops = keys.join(repeated, ["h1", "h2"]).where(F.col("did") < F.col("last_did"))
     per_doc = drops.groupBy("did", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     m = F.size("dropped")
