@@ -3,7 +3,7 @@
 The index holds, per word, its items with their BM25 weights, and the largest weight in every block of items.  A
 passage is scored only where bounds allow a hit: first against the sum of its words' largest weights (as in WAND), then
 block by block with the block maxima; what remains gets exact scores.  Hits are verified by five-word shingles of the
-item's question and answer part.  Items are few next to the corpus; they go to the tasks in blocks of bounded size.
+whole item or of both its halves (question, answer).  Items are few next to the corpus; they go to the tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ class ItemIndex:
         self.stride = max(32, int(length.max()) if n else 0)
         half = [max(1, len(t) // 2) for t in tokens]
         self.parts = [tuple((min(shingle, len(p)), np.unique(_shingles(p, min(shingle, len(p)))))
-                            for p in ((t[:h], t[h:]) if len(t) >= 2 * shingle else (t, t)))
+                            for p in ((t, t[:h], t[h:]) if len(t) >= 2 * shingle else (t, t, t)))
                       for t, h in zip(tokens, half)]
         self.cache = PieceCache(self._tokens)
 
@@ -160,14 +160,21 @@ class ItemIndex:
         hit, inverse = np.unique(owner[entry] * len(self.ids) + item, return_inverse=True)
         score = np.bincount(inverse, self.weight[pos], len(hit))
         good = score >= self.threshold[hit % len(self.ids)]
+        codes_of: dict[tuple, np.ndarray] = {}  # (passage, size): its shingles
         for h, s in zip(hit[good].tolist(), score[good].tolist()):
             passage, i = int(passages[h // len(self.ids)]), h % len(self.ids)
             doc = int(doc_of[passage])
             start = (passage - int(seg_first[doc])) * self.stride
             window = tokens[doc][start:start + 2 * self.stride]
-            shares = [float(np.isin(codes, _shingles(window, size)).mean()) for size, codes in self.parts[i]]
-            if min(shares) >= self.overlap:
-                self._note(out[doc], self.ids[i], s, *shares)
+            shares = []
+            for size, codes in self.parts[i]:
+                if (passage, size) not in codes_of:
+                    codes_of[passage, size] = _shingles(window, size)
+                shares.append(float(np.isin(codes, codes_of[passage, size]).mean()))
+            whole, *halves = shares
+            # a changed word weighs twice as much in its half as in the item
+            if whole >= self.overlap or min(halves) >= self.overlap:
+                self._note(out[doc], self.ids[i], s, *halves)
 
     @staticmethod
     def _note(found, item_id, score, question, answer):
@@ -194,8 +201,8 @@ def contamination_column(text, items: DataFrame, share: float = 0.5, shingle: in
     """The test items that each text holds: an array of (item_id, score, question_overlap, answer_overlap), best first.
 
     An item is retrieved for a passage when its BM25 score reaches ``share`` of the item's score against itself, and
-    counts when at least ``overlap`` of the shingles of both its halves (question, answer) stand in the passage; items
-    of under two shingles are compared whole.  Null and empty texts and items match nothing; equal items are indexed
+    counts when at least ``overlap`` of the shingles of the whole item, or of each of its halves (reported as question
+    and answer), stand in the passage; halves of items of under two shingles are the whole item.  Null and empty texts and items match nothing; equal items are indexed
     once; an empty test set gives empty arrays."""
     found = [_block_matches(text, items.sparkSession.sparkContext.broadcast((block, share, shingle, overlap)))
              for block in _item_blocks(items)]

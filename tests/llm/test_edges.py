@@ -199,6 +199,18 @@ def test_decontamination(spark, docs, none):
     assert decontam.drop_contaminated(docs, items).columns == docs.columns
 
 
+def test_decontamination_finds_items_with_a_changed_word(spark):
+    words = [f"w{i}" for i in range(38)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = {at: [*words[:at], "new", *words[at + 1:]] for at in range(38)} | {
+        99: [*words[:10], "new", *words[11:28], "new", *words[29:]]}  # 24 of 34 shingles
+    frame = spark.createDataFrame([(i, " ".join(["pad"] * 20 + t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["question_overlap"], r["answer_overlap"])
+           for r in decontam.contamination_report(frame, items).collect()}
+    assert set(got) == set(range(38))
+    assert got[9] == (10 / 15, 1.0) and got[28] == (1.0, 10 / 15)
+
+
 def test_block_max_retrieval_equals_plain_scores():
     rng = np.random.default_rng(3)
     vocab = [f"v{i}" for i in range(300)]
