@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
 Exact patterns find the base spans, which seed the bootstrap: the words before a span are its lexical pattern, and
-identifier-like tokens that no exact pattern takes are candidate instances.  The pattern-instance graph is scored in
+identifier-like tokens and runs of digit groups that no exact pattern takes are candidate instances.  The pattern-instance graph is scored in
 rounds: a pattern is as good as the instances it stands before, an unseen instance as good as its patterns.
 Instances that high-confidence patterns agree on are added with all their occurrences.
 """
@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import forget, text_of, written
 
@@ -27,6 +28,12 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: An identifier-like token: between white space, with a digit or @.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_GROUP = r"(?:[0-9]++|\([0-9]++\))(?![\p{L}_@])"
+_GROUPS = rf"(?:[\x20.-]?+{_GROUP})++"
+#: Digit groups with single spaces, dots, hyphens and brackets; ends at four dotted numbers.
+RUN = rf"{PATTERNS['ip']}|(?<![0-9\p{{L}}_@%+])\+?+{_GROUP}{_GROUPS}"
+#: Such a run from its bracket on, which another number may stand before.
+BRACKETED = rf"(?<![0-9\p{{L}}_@%+])(?=\(){_GROUP}{_GROUPS}"
 _SPANS = "array<struct<start:int,end:int,found:string,before:string>>"
 
 CONTEXT_WORDS = 2
@@ -54,8 +61,8 @@ def _shape(kind: str, token: Column) -> Column:
     digits = F.length(_digits(token))
     return {"email": F.contains(token, F.lit("@")) & ~F.startswith(token, F.lit("@")),
             "ip": token.rlike(r"^[0-9]+(?:[.:][0-9]+){3,}$"),
-            "card": token.rlike(r"^[0-9-]+$") & digits.between(12, 19),
-            "phone": token.rlike(r"^[+0-9().-]+$") & digits.between(7, 15)}[kind]
+            "card": token.rlike(r"^[\x20.0-9-]+$") & digits.between(12, 19),
+            "phone": token.rlike(r"^[\x20+0-9().-]+$") & digits.between(7, 15)}[kind]
 
 
 def _matches(text: Column, pattern: str, needs: str | None) -> Column:
@@ -63,50 +70,64 @@ def _matches(text: Column, pattern: str, needs: str | None) -> Column:
     return F.when(F.contains(text, F.lit(needs)), found).otherwise(F.array().cast("array<string>")) if needs else found
 
 
-def _context(piece: Column) -> Column:
+def _end(text: Column) -> Column:
+    """The last characters of a text."""
+    return F.substring(text, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+
+def _context(before: Column) -> Column:
     """The last words of the text before a span, lower-cased, digits as #."""
-    words = F.split(F.btrim(F.regexp_replace(F.lower(F.right(piece, F.lit(CONTEXT_CHARS))), "[0-9]", "#")), r"\s+")
+    words = F.split(F.btrim(F.regexp_replace(F.lower(_end(before)), "[0-9]", "#")), r"\s+")
     return F.array_join(F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS), " ")
 
 
-def _located(text: Column, pattern: str, found: Column) -> Column:
-    """Spans of the matches: positions follow from the lengths of the pieces between them."""
-    pieces = F.split(text, pattern, -1)
+def _located(name: str) -> Column:
+    """Spans of the matches: positions follow from the lengths of the pieces between them.
+
+    before: the last characters of the whole text before the span, earlier matches among them."""
+    found, pieces = F.col(f"m_{name}"), F.col(f"p_{name}")
 
     def step(acc, i):
         start = acc["at"] + F.length(F.element_at(pieces, i))
         end = start + F.length(F.element_at(found, i))
         span = F.struct(start.alias("start"), end.alias("end"), F.element_at(found, i).alias("found"),
-                        _context(F.element_at(pieces, i)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+                        _end(F.concat(acc["tail"], F.element_at(pieces, i))).alias("before"))
+        tail = _end(F.concat(acc["tail"], F.element_at(pieces, i), F.element_at(found, i)))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     empty = F.array().cast(_SPANS)
-    walk = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step,
-                       lambda acc: acc["out"])
+    walk = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(
+        F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
     return F.when(F.size(found) > 0, walk).otherwise(empty)
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, base, candidates per row of ``docs``, written once: base spans (start, end, kind, found, before)
-    and the identifier-like tokens outside them (start, end, found, before).  Code points, end exclusive."""
+    and the identifier-like tokens and runs outside them (start, end, found, before).  Code points, end exclusive."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                        text_of(text_col).alias("text"))
     rows = rows.select("*", *[_matches(F.col("text"), PATTERNS[k], NEEDS.get(k)).alias(f"m_{k}") for k in KINDS],
-                       _matches(F.col("text"), TOKEN, None).alias("m_token"))
+                       _matches(F.col("text"), TOKEN, None).alias("m_token"), _matches(F.col("text"), RUN, None).alias("m_run"),
+                       _matches(F.col("text"), BRACKETED, "(").alias("m_bracketed"))
+    # columns of their own: inside a lambda a text would be split again for every match
+    rows = rows.select("*", *[F.when(F.size(f"m_{n}") > 0, F.split(F.col("text"), p, -1)).alias(f"p_{n}") for n, p in
+                              {**PATTERNS, "token": TOKEN, "run": RUN, "bracketed": BRACKETED}.items()])
     base = F.concat(*[_base(n, k) for n, k in enumerate(KINDS)])
-    tokens = F.transform(_located(F.col("text"), TOKEN, F.col("m_token")), _trimmed)
-    located = rows.select("row", "doc_id", F.array_sort(base).alias("base"), tokens.alias("tokens"))
+    tokens = F.transform(_located("token"), _trimmed)
+    runs = [_located("run"), _located("bracketed")]
+    located = rows.select("row", "doc_id", F.array_sort(base).alias("base"), F.concat(tokens, *runs).alias("tokens"))
     outside = F.filter("tokens", lambda t: (F.length(t["found"]) > 0) & ~F.exists(
         "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     likely = F.filter(outside, lambda t: reduce(Column.__or__, [_shape(k, t["found"]) for k in KINDS]))
-    return written(located.select("row", "doc_id", "base", likely.alias("candidates")), "pii-spans")
+    candidates = F.array_distinct(F.transform(likely, lambda t: t.withField("before", _context(t["before"]))))
+    return written(located.select("row", "doc_id", "base", candidates.alias("candidates")), "pii-spans")
 
 
 def _base(number: int, kind: str) -> Column:
-    located = _located(F.col("text"), PATTERNS[kind], F.col(f"m_{kind}"))
+    located = _located(kind)
     return F.transform(F.filter(located, lambda s: _valid(kind, s["found"])), lambda s: F.struct(
         s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), s["found"].alias("found"),
-        s["before"].alias("before")))
+        _context(s["before"]).alias("before")))
 
 
 def _trimmed(span: Column) -> Column:
@@ -115,7 +136,7 @@ def _trimmed(span: Column) -> Column:
     bare = F.regexp_replace(left, r"""[.,;:!?)"'>\]}]++$""", "")
     start = span["start"] + F.length(span["found"]) - F.length(left)
     return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("found"),
-                    span["before"].alias("before"))
+                    F.concat(span["before"], F.left(span["found"], F.length(span["found"]) - F.length(left))).alias("before"))
 
 
 def score_graph(spans: DataFrame, rounds: int = 3, min_support: int = 3) -> DataFrame:
@@ -171,8 +192,11 @@ def pii_report(docs: DataFrame, rounds: int = 3, min_support: int = 3, min_confi
     table gives no rows."""
     spans = find_spans(docs)
     found = discovered(score_graph(spans, rounds, min_support), min_confidence, min_support)
-    added = spans.select("row", F.inline("candidates")).join(found, "found").groupBy("row").agg(
-        F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    # what lies inside a longer discovered span of its row is a part of it
+    earlier = Window.partitionBy("row").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    added = spans.select("row", F.inline("candidates")).join(found, "found") \
+        .withColumn("reach", F.max("end").over(earlier)).where("reach is null or reach < end").groupBy("row").agg(
+            F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     plus = F.coalesce(F.col("added"), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")

@@ -51,6 +51,20 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert got[9] == ("", 0)
 
 
+def test_pii_contexts_and_runs_of_unseen_identifiers(spark):
+    lead = "please call me at "
+    seen = [f"{lead}+1 (555) 010-{1000 + i} now" for i in range(8)] + \
+        [f"on desk 7 +1 (555) 020-{1000 + i} now" for i in range(8)]
+    hidden = [(lead, "(017) 555-7713"), (lead, "017 555 7713"), ("on desk 7 ", "555-0134-77"),
+              ("mail a@b.cd or 10.1.2.3 " + lead, "017.555 7713"), (lead, "555-0199-88")]
+    texts = seen + [f"{before}{found} now" for before, found in hidden] + ["we sold 555 0199 88 pieces there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"].split(","), r["n_added"]) for r in pii.pii_report(docs).collect()}
+    for i, (before, found) in enumerate(hidden, len(seen)):
+        assert f"phone:{len(before)}:{len(before) + len(found)}" in got[i][0] and got[i][1] == 1, (i, got[i])
+    assert got[len(texts) - 1] == ([""], 0)
+
+
 def test_line_dedup(docs, none):
     got = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in ld.line_dedup_report(docs).collect()}
     plain = line_dedup([(-1 if r[0] is None else r[0], r[1]) for r in ROWS[:-1]])
