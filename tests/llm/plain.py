@@ -120,3 +120,66 @@ def edited_texts(docs):
         cut = len(t) // 3
         out[i] = (len(t), t[:len(t) - cut] + following[:cut], following)
     return out
+
+
+def ranked(docs, items, k=10):
+    """docs: (id or None, text); items: (id, text); (item, rank, doc, score) of the best k."""
+    import math
+    from collections import Counter
+
+    def terms(text):
+        return re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", (text or "").translate(LOWER))
+    bags = [(i, Counter(terms(t))) for i, t in docs]
+    bags = [(i, b, b.total()) for i, b in bags if b]
+    n, total = len(bags), sum(b[2] for b in bags)
+    df = Counter(t for _, b, _ in bags for t in b)
+    wanted = defaultdict(set)
+    for i, t in items:
+        wanted[i] |= set(terms(t))
+    out = []
+    for item, words in wanted.items():
+        scores = []
+        for i, b, size in bags:
+            m = 100 - 90 + 90 * size * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * b[t] // (1000 * b[t] + 8 * m))
+                    for t in words if t in b)
+            if s > 0:
+                scores.append((-s, i is not None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:p] + b[p + 1:] == a for p in range(len(b)))
+
+
+def spelling(docs, min_chars=5, min_count=3, ratio=2, noise=97):
+    """(word, form, root, n, n_near, form_n) by comparing all words with all words."""
+    from collections import Counter
+    counts = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            word = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if noise and h % noise == 0:
+                word = word[:h % len(word)] + word[h % len(word) + 1:]
+            counts[word] += len(word) >= min_chars
+    n = {w: c for w, c in counts.items() if c >= min_count}
+    by_size = defaultdict(list)
+    for w in n:
+        by_size[len(w)].append(w)
+    form, near = {}, {}
+    for w in n:
+        near[w] = [v for size in (len(w) - 1, len(w), len(w) + 1) for v in by_size[size] if one_edit(w, v)]
+        top = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = top if top is not None and n[top] >= ratio * n[w] else None
+    out = set()
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.add((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
