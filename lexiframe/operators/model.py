@@ -24,6 +24,7 @@ from ..functions.text import words
 from ..functions.vectors import argmax, decode_label, softmax, vector_columns
 from ..session import reliable_checkpoint
 from .metrics import evaluate_counts
+from .ranking import join_small
 
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 100, 101, 102
 UNK_TOKEN = "[UNK]"
@@ -40,7 +41,7 @@ def label_index(train: DataFrame, label: str = "label", out: str = "label_code")
 
 def encode_labels(index: DataFrame, df: DataFrame, label: str = "label", out: str = "label_code") -> DataFrame:
     """Adds the code of each row's label; a label that the index lacks raises."""
-    coded = df.join(index, label, "left")
+    coded = join_small(df, index, [label], "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.coalesce(F.col(label), F.lit("null")))).cast("int")
     return coded.withColumn(out, F.coalesce(F.col(out), unseen))
 

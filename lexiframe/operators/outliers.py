@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import Z_LIMIT
 from ..functions.text import contains_text
+from .ranking import join_small
 from .stats import group_moments, with_group_stats, zscore
 
 
@@ -31,13 +32,12 @@ def trim_by_label(exploded: DataFrame, label: str, value: str, trim: Sequence[st
     and are joined back (no window partitioned by label, so a hot label does not
     end up in a single task).
     """
-    from .ranking import join_on_keys
     cand = exploded if trim is None else exploded.where(F.col(label).isin(list(trim)))
     stats = group_moments(cand, value, [label]).select(label, "mean", "std_pop")
     z = F.try_divide(F.col(value).cast("double") - F.col("mean"), F.col("std_pop"))
     if trim is None:
         return with_group_stats(exploded, stats, [label]).where(F.abs(z) <= limit).drop("mean", "std_pop")
-    joined = join_on_keys(exploded, stats, [label], "left")
+    joined = join_small(exploded, stats, [label], "left")
     keep_cond = F.col(label).isin(list(keep)) if keep else F.lit(False)
     trim_cond = F.col(label).isin(list(trim)) & (F.abs(z) <= limit)
     return joined.where(keep_cond | trim_cond).drop("mean", "std_pop")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.text import split_labels
 from ..session import reliable_checkpoint
 from .ranking import join_on_keys, sequence_number
-from .stats import ranged_quantiles
+from .quantiles import quantiles
 
 # Portable type names (the same words DuckDB prints for its types).
 _TYPE_NAMES = {
@@ -100,13 +100,14 @@ def summary(df: DataFrame, digits: int | None = None) -> DataFrame:
     not apply are NULL.
 
     Plan (a fixed number of passes, whatever the columns hold):
-    1. numeric columns are unpivoted to (column, value), value-counted in one aggregation
-       and range-partitioned by (column, value);
-    2. counts per (column, range) give n, mean, min, max and the ranges that hold the
-       quartiles; only those ranges are ordered (:func:`lexiframe.operators.stats.ranged_quantiles`);
-    3. categorical columns are counted by the 64-bit hash of the value, so no text is
-       shuffled for the counts (two texts with one hash would count as one); the top value
-       is the least text among the rows with a most frequent hash.
+    1. numeric columns are unpivoted to (column, value) while they are scanned; one aggregation
+       gives n, mean, std, min and max, another a sketch per column;
+    2. one scan counts the values around the brackets that the sketches give for the quartiles,
+       and only the values inside are written and ordered (``operators.quantiles``): no value
+       of the table is shuffled;
+    3. categorical columns are counted by two 64-bit hashes of the value, so no text is
+       shuffled for the counts; the top value is the least text among the rows with a most
+       frequent pair of hashes.
     """
     spark = df.sparkSession
     fields = df.schema.fields
@@ -122,30 +123,24 @@ def summary(df: DataFrame, digits: int | None = None) -> DataFrame:
     if numeric:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.alias("v"))
                                                for i, (_, c) in enumerate(numeric)])).alias("e")).select("e.c", "e.v")
-        vc = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-        vc = reliable_checkpoint(vc.repartitionByRange("c", "v").withColumn("p", F.spark_partition_id()))
-        first = {x["c"]: x for x in vc.groupBy("c").agg(
-            F.sum("cnt").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-            (F.sum(F.col("v") * F.col("cnt")) / F.sum("cnt")).alias("mean")).collect()}
-        if first:
-            means = F.create_map(*[y for c, x in first.items() for y in (F.lit(c), F.lit(x["mean"]))])
-            var = {x["c"]: x["m2"] for x in vc.groupBy("c").agg(
-                F.sum(F.col("cnt") * F.pow(F.col("v") - means[F.col("c")], 2)).alias("m2")).collect()}
-            quart = ranged_quantiles(vc, {c: x["n"] for c, x in first.items()})
+        long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+        first = {x["c"]: x for x in long.groupBy("c").agg(
+            F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"),
+            F.stddev_samp("v").alias("std")).collect()}
+        quart = {x["c"]: list(x)[1:] for x in quantiles(long, "v", (0.25, 0.5, 0.75), ["c"]).collect()} if first else {}
         for i, (f, _) in enumerate(numeric):
             if i not in first:
                 rows[f.name] = (f.name, 0, None, None, None, None, None, None, None, None, None, None)
                 continue
             x = first[i]
-            std = (var[i] / (x["n"] - 1)) ** 0.5 if x["n"] > 1 else None
-            rows[f.name] = (f.name, x["n"], None, None, None, r(x["mean"]), r(std), r(x["lo"]),
+            rows[f.name] = (f.name, x["n"], None, None, None, r(x["mean"]), r(x["std"]), r(x["lo"]),
                             *[r(q) for q in quart[i]], r(x["hi"]))
     if categorical:
         cells = F.explode(F.array(*[F.struct(F.lit(j).alias("c"), F.col(f"`{f.name}`").cast("string").alias("v"))
                                     for j, f in enumerate(categorical)]))
         long = df.select(cells.alias("e")).select("e.c", "e.v").where(F.col("v").isNotNull()) \
-            .withColumn("h", F.xxhash64("v"))
-        counts = reliable_checkpoint(long.groupBy("c", "h").agg(F.count(F.lit(1)).alias("cnt")))
+            .withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+        counts = reliable_checkpoint(long.groupBy("c", "h", "h2").agg(F.count(F.lit(1)).alias("cnt")))
         got = {row["c"]: row for row in counts.groupBy("c").agg(
             F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"), F.max("cnt").alias("freq")).collect()}
         # where every value is unique any text may be the top one; elsewhere only the most frequent hashes' texts
@@ -153,8 +148,8 @@ def summary(df: DataFrame, digits: int | None = None) -> DataFrame:
         often = [(F.col("c") == c) & (F.col("cnt") == g["freq"]) for c, g in got.items() if g["freq"] > 1]
         texts = long.where(F.col("c").isin(unique)).select("c", "v")
         if often:
-            best = counts.where(reduce(lambda a, b: a | b, often)).select("c", "h")
-            texts = texts.unionByName(long.where(~F.col("c").isin(unique)).join(best, ["c", "h"], "left_semi").select("c", "v"))
+            best = counts.where(reduce(lambda a, b: a | b, often)).select("c", "h", "h2")
+            texts = texts.unionByName(long.where(~F.col("c").isin(unique)).join(best, ["c", "h", "h2"], "left_semi").select("c", "v"))
         top = {row["c"]: row["v"] for row in texts.groupBy("c").agg(F.min("v").alias("v")).collect()}
         for j, f in enumerate(categorical):
             g = got.get(j)

@@ -41,6 +41,21 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+#: Rows and bytes of a frame that is broadcast.
+SMALL_ROWS, SMALL_BYTES = 10_000, 4 << 20
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
+    """:func:`join_on_keys` with a frame that usually has a row per class: it is stored and measured, and broadcast while
+    it has at most ``rows`` rows and ``SMALL_BYTES`` bytes, so that the rows of ``left`` are not shuffled by a few
+    skewed keys.  A larger frame is joined by a shuffle, whose skewed partitions AQE splits."""
+    right = reliable_checkpoint(right)
+    size = right.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*right.columns)))).alias("b")) \
+        .first()
+    small = size["n"] <= rows and (size["b"] or 0) <= SMALL_BYTES
+    return join_on_keys(left, F.broadcast(right) if small else right, keys, how)
+
+
 def sequence_number(df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "rn",
                     partitions: int | None = None) -> DataFrame:
     """1-based ordinal of each row inside its key, by ``order`` (must be a total order);

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_SEED, DEFAULT_TEST_SIZE
-from .ranking import join_on_keys, sequence_number
+from .ranking import join_on_keys, join_small, sequence_number
 
 
 def split_order_key(id_col: str, seed: int = DEFAULT_SEED):
@@ -31,7 +31,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     row per class; see :func:`split_cutoffs`."""
     cut = split_cutoffs(df.select(label, id_col), label, id_col, test_size, seed)
     key = F.struct(split_order_key(id_col, seed).alias("h"), F.col(id_col).alias("i"))
-    joined = join_on_keys(df, cut, [label], "left")
+    joined = join_small(df, cut, [label], "left")
     return joined.withColumn(out, F.when(key <= F.col("__cut"), F.lit("train")).otherwise(F.lit("val"))).drop("__cut")
 
 
@@ -75,6 +75,6 @@ def split_cutoffs(rows: DataFrame, label: str, id_col: str, test_size: float = D
     ends = join_on_keys(counts.withColumn("__end", F.sum("__n").over(run)), quotas, [label])
     bucket = ends.where((F.col("__end") >= F.col("quota")) & (F.col("__end") - F.col("__n") < F.col("quota"))) \
         .select(label, "__b", (F.col("quota") - F.col("__end") + F.col("__n")).cast("int").alias("__k"))
-    inside = join_on_keys(keyed, bucket, [label, "__b"])
+    inside = join_small(keyed, bucket, [label, "__b"])
     return inside.groupBy(label).agg(F.sort_array(F.collect_list("__key")).alias("__keys"), F.first("__k").alias("__k")) \
         .select(label, F.element_at("__keys", F.col("__k")).alias("__cut"))

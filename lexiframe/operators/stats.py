@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed import BOX_WHIS, KDE_CUT, KDE_GRIDSIZE
 from ..session import reliable_checkpoint
-from .ranking import join_on_keys
+from .quantiles import quantiles
+from .ranking import join_on_keys, join_small
 
 
 def _c(x) -> Column:
@@ -37,12 +38,12 @@ def group_moments(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFr
 def with_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Attach per-key statistics to every row.
 
-    With keys: a null-safe equi-join; AQE turns it into a broadcast join once the
-    aggregated side has been measured small at run time, and splits a skewed key
-    otherwise.  Without keys: the one-row statistics become scalar subqueries.
+    With keys: a null-safe equi-join with the stored statistics, which are broadcast while they
+    are few (``join_small``), so the rows are not shuffled.  Without keys: the one-row
+    statistics become scalar subqueries.
     """
     if keys:
-        return join_on_keys(df, stats, list(keys))
+        return join_small(df, stats, list(keys))
     return df.select("*", *[stats.select(F.col(c)).scalar().alias(c) for c in stats.columns])
 
 
@@ -60,62 +61,21 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: S
                       names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy default) per key.
 
-    ``percentile`` keeps a value -> count map per group, so its buffer grows with
-    the number of *distinct* values, not rows; it is the right tool for lengths
-    and counts.  For high-cardinality doubles use :func:`exact_quantiles`.
-    """
+    Whole numbers (lengths, counts) are counted by ``percentile``, whose buffer holds the distinct values of a group;
+    every other column goes through :func:`lexiframe.operators.quantiles.quantiles`, which holds no group's values."""
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    if not isinstance(df.schema[value].dataType, T.IntegralType):
+        return quantiles(df, value, probs, keys, names)
     arr = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
     agg = df.groupBy(*keys).agg(arr.alias("__q")) if keys else df.agg(arr.alias("__q"))
     return agg.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> dict:
-    """Exact global quantiles of a column of any cardinality, without one big task: value
-    counts are range-partitioned and only the ranges that hold a wanted rank are ordered.
-    Returns ``{p: value}`` (None for an empty column)."""
-    v = F.col(value).cast("double")
-    counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    vc = reliable_checkpoint(counts.select(F.lit(0).alias("c"), "v", "cnt").repartitionByRange("v")
-                             .withColumn("p", F.spark_partition_id()))
-    n = vc.agg(F.sum("cnt")).first()[0]
-    if not n:
-        return {p: None for p in probs}
-    return dict(zip(probs, ranged_quantiles(vc, {0: n}, probs)[0]))
-
-
-def ranged_quantiles(vc: DataFrame, n_by_col: dict, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> dict:
-    """Exact linear quantiles from value counts (c, v, cnt) in ranges p of (c, v): c -> list.
-
-    Sums per (c, p) come back (at most ranges + columns rows) and name the range of each
-    wanted rank; running counts are taken inside those ranges only."""
-    sums = sorted((x["c"], x["p"], x["n"]) for x in vc.groupBy("c", "p").agg(F.sum("cnt").alias("n")).collect())
-    start, seen = {}, {}
-    for c, p, n in sums:
-        start[c, p] = seen.get(c, 0), seen.get(c, 0) + n
-        seen[c] = seen.get(c, 0) + n
-    ranks = {(c, rank) for c, n in n_by_col.items() for q in probs
-             for rank in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
-    home = {(c, rank): next(k for k, (lo, hi) in start.items() if k[0] == c and lo <= rank < hi) for c, rank in ranks}
-    w = Window.partitionBy("c", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = vc.where(reduce(lambda a, b: a | b, [(F.col("c") == c) & (F.col("p") == p) for c, p in set(home.values())]))
-    cum = inside.withColumn("__end", F.sum("cnt").over(w)).withColumn("__start", F.col("__end") - F.col("cnt"))
-    wanted = [(F.col("c") == c) & (F.col("p") == k[1]) & (F.col("__start") <= rank - start[k][0])
-              & (F.col("__end") > rank - start[k][0]) for (c, rank), k in home.items()]
-    hits = cum.where(reduce(lambda a, b: a | b, wanted)).select("c", "p", "v", "__start", "__end").collect()
-
-    def at(c, rank):
-        k = home[c, rank]
-        return next(h["v"] for h in hits if (h["c"], h["p"]) == k and h["__start"] <= rank - start[k][0] < h["__end"])
-
-    out = {}
-    for c, n in n_by_col.items():
-        out[c] = []
-        for q in probs:
-            pos = q * (n - 1)
-            a, b = at(c, math.floor(pos)), at(c, math.ceil(pos))
-            out[c].append(a + (b - a) * (pos - math.floor(pos)))
-    return out
+    """Exact global quantiles of a column of any cardinality: ``{p: value}`` (None for an empty column)."""
+    names = [f"q{i}" for i in range(len(probs))]
+    row = quantiles(df, value, probs, names=names).first()
+    return {p: row[n] if row else None for p, n in zip(probs, names)}
 
 
 # ----------------------------------------------------------------------------- histogram
@@ -137,7 +97,8 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
         return F.when(i >= bins, F.col("__hi")).otherwise(i.cast("double") * step + F.col("__lo"))
 
     if keys:
-        rows = join_on_keys(df.where(v.isNotNull()).select(*keys, v.alias("__x")), rng, list(keys))
+        rng = reliable_checkpoint(rng)  # read for the rows and for the bins
+        rows = join_small(df.where(v.isNotNull()).select(*keys, v.alias("__x")), rng, list(keys))
     else:
         rows = df.where(v.isNotNull()).select(v.alias("__x"),
                                               rng.select("__lo").scalar().alias("__lo"),
@@ -183,7 +144,7 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), gridsize: int = KDE
     gx = F.when(F.col("grid_idx") == gridsize - 1, F.col("__g1")).otherwise(
         F.col("grid_idx").cast("double") * step + F.col("__g0"))
     if keys:
-        w = join_on_keys(weights, stats, list(keys))
+        w = join_small(weights, stats, list(keys))
     else:
         w = weights.select("*", *[stats.select(c).scalar().alias(c) for c in
                                   ("__n", "__bw", "__g0", "__g1", "__width")]).where(F.col("__bw").isNotNull())
@@ -215,7 +176,7 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str] = (), whis: float =
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("__loval", F.col("q1") - whis * F.col("iqr")).withColumn("__hival", F.col("q3") + whis * F.col("iqr"))
     if keys:
-        rows = join_on_keys(base.select(*keys, v.alias("__x")), q, list(keys))
+        rows = join_small(base.select(*keys, v.alias("__x")), q, list(keys))
     else:
         rows = base.select(v.alias("__x"), *[q.select(c).scalar().alias(c) for c in q.columns])
     # A point lies outside the whiskers exactly when it lies outside [loval, hival]

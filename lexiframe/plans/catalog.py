@@ -19,9 +19,9 @@ from ..functions.text import contains_text, strip_subword_prefix, strip_ws, word
 from ..functions.text import words as text_words
 from ..functions.vectors import argmax
 from ..operators import attention as att_ops
-from ..operators import metrics, model, outliers, profile, split, stats, trainlog
+from ..operators import metrics, model, outliers, profile, split, stats, training, trainlog
 from ..session import reliable_checkpoint, scratch_path
-from ..sources import files, tables
+from ..sources import files, order, tables
 from . import sql as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,6 +578,23 @@ def box_trimmed(spark, sf):
     return _box_rows(_trimmed_union(spark, sf))
 
 
+@query("o_a8_price_box", """
+WITH q AS (SELECT l_returnflag AS flag, count(*) AS n, avg(l_extendedprice) AS mean, quantile_cont(l_extendedprice, 0.25) AS q1,
+                  quantile_cont(l_extendedprice, 0.5) AS med, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT flag, any_value(n) AS n, round(any_value(mean), 4) AS mean, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS med,
+       round(any_value(q3), 6) AS q3, round(any_value(q3 - q1), 6) AS iqr,
+       round(least(min(l_extendedprice) FILTER (WHERE l_extendedprice >= lo), any_value(q1)), 6) AS whislo,
+       round(greatest(max(l_extendedprice) FILTER (WHERE l_extendedprice <= hi), any_value(q3)), 6) AS whishi,
+       count(*) FILTER (WHERE l_extendedprice < lo OR l_extendedprice > hi) AS n_fliers
+FROM lineitem JOIN f ON flag = l_returnflag GROUP BY flag
+""")
+def price_box(spark, sf):
+    """Box statistics of a continuous column by a few classes: quartiles by selection, no class gathered."""
+    li = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("x"))
+    return rnd(stats.box_stats(li, "x", ["flag"]).withColumn("mean", _round(F.col("mean"), 4)))
+
+
 def _box_rows(e: DataFrame) -> DataFrame:
     b = stats.box_stats(e, "n_words", ["label_item"])
     return rnd(b.select("label_item", F.col("n").cast("long"), "mean", "q1", "med", "q3", "iqr", "whislo", "whishi",
@@ -862,6 +879,29 @@ def log_ordinals(spark, sf):
     return trainer_log(spark, sf).select("run", "log_pos", "step")
 
 
+NUMBERED = "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_id FROM documents"
+
+
+@query("o_w5_file_lines", NUMBERED)
+def file_lines(spark, sf):
+    """``documents`` written in id order to several text files of JSON lines, numbered in file order when read."""
+    path = scratch_path(spark, "numbered-lines")
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").select(F.to_json(F.struct("doc_id", "text")).alias("value")) \
+        .write.text(path)
+    lines = order.numbered_scan(spark.read.text(path))
+    return lines.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "row_id")
+
+
+@query("o_w5_row_index", NUMBERED)
+def row_index(spark, sf):
+    """``documents`` written in id order to several Parquet files, numbered by their row index when read."""
+    path = scratch_path(spark, "numbered-rows")
+    _t(spark, sf, "documents").select("doc_id", "lang").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id") \
+        .write.parquet(path)
+    return order.read_numbered_parquet(spark, path).select("doc_id", "row_id")
+
+
 @query("o_l1_flatten_log", f"""
 WITH {S.LOG} SELECT run, log_pos, step, round(eval_accuracy, 6) AS eval_accuracy, round(eval_f1, 6) AS eval_f1,
        round(eval_loss, 6) AS eval_loss, round(loss, 6) AS loss FROM log WHERE step IS NOT NULL
@@ -870,6 +910,43 @@ def flatten_log(spark, sf):
     return rnd(trainlog.flatten_log(trainer_log(spark, sf), id_cols=["run", "log_pos"]))
 
 
+def _log_json(log: DataFrame) -> DataFrame:
+    """The records of :func:`trainer_log` as JSON texts in which a missing value is a missing key; every third one has a
+    boolean ``best``, and ``note`` is a number in even and a text in odd steps."""
+    fields = ["run", "step", "epoch", "loss", "eval_loss", "eval_f1", "eval_accuracy"]
+    best = F.when(F.col("log_pos") % 3 == 0, F.col("log_pos") % 2 == 0).alias("best")
+    even, odd = (F.to_json(F.struct(*fields, best, note.alias("note"))) for note in (
+        F.col("step"), F.concat(F.lit("step "), F.col("step").cast("string"))))
+    return log.select("run", "log_pos", F.when(F.col("step") % 2 == 0, even).otherwise(odd).alias("json"))
+
+
+@query("o_s5_trainer_log", f"""
+WITH {S.LOG} SELECT run, step, CASE WHEN log_pos % 3 = 0 THEN log_pos % 2 = 0 END AS best, round(eval_accuracy, 6) AS eval_accuracy,
+       round(eval_f1, 6) AS eval_f1, round(eval_loss, 6) AS eval_loss, round(loss, 6) AS loss,
+       CASE WHEN step % 2 = 0 THEN '' ELSE 'step ' END || step AS note FROM log
+""")
+def read_trainer_log(spark, sf):
+    """Nested logs of all runs written, read back as VARIANT, flattened: keys and types found by one aggregation."""
+    path = scratch_path(spark, "trainer-log")
+    files.write_trainer_log(_log_json(trainer_log(spark, sf)), path)
+    return rnd(trainlog.flatten_log(files.read_trainer_log(spark, path, lines=True), id_cols=["run"]))
+
+
+@query("o_s5_log_keys", f"""
+WITH {S.LOG}, k AS (
+  SELECT unnest(['run', 'step', 'epoch', 'loss', 'eval_loss', 'eval_f1', 'eval_accuracy', 'best', 'note']) AS key,
+         unnest([run IS NOT NULL, step IS NOT NULL, epoch IS NOT NULL, loss IS NOT NULL, eval_loss IS NOT NULL, eval_f1 IS NOT NULL,
+                 eval_accuracy IS NOT NULL, log_pos % 3 = 0, TRUE]) AS has FROM log)
+SELECT key, CASE WHEN key IN ('run', 'step') THEN 'BIGINT' WHEN key = 'best' THEN 'BOOLEAN' WHEN key = 'note' THEN 'VARIANT'
+                 ELSE 'NUMBER' END AS kind, TRUE AS numeric, count(*) AS n FROM k WHERE has GROUP BY key
+""")
+def log_keys(spark, sf):
+    """Keys, types and counts of the nested log records; decimal and double are one kind here."""
+    records = _log_json(trainer_log(spark, sf)).select(F.parse_json("json").alias("record"))
+    kind = F.when(F.col("kind").rlike("^(DECIMAL|DOUBLE)"), "NUMBER").otherwise(F.col("kind"))
+    return files.log_keys(records).withColumn("kind", kind)
+
+
 @query("o_f6_log_filters", f"""
 WITH {S.LOG} SELECT run, count_if(loss IS NOT NULL AND eval_loss IS NULL) AS n_train,
        count_if(eval_loss IS NOT NULL) AS n_eval FROM log GROUP BY run
@@ -1059,6 +1136,105 @@ def best_model(spark, sf):
                         F.col("label").isin([c for c, _ in tables.SCORE_LETTERS]).alias("known_label")))
 
 
+# --- one training run in epochs: settings, and the same run in SQL (a step is a CTE)
+EPOCHS, EPOCH_BATCHES, EPOCH_LR, EPOCH_FEATURES = 3, 4, 0.05, 1 << 14
+
+
+def _epoch_run_sql(final: str) -> str:
+    """The AdamW run over ``documents``: parameters (feature, class) after every step; the bias is feature -1."""
+    steps = EPOCHS * EPOCH_BATCHES
+    ctes = [SPLIT_SQL.strip(), f"""
+words AS (SELECT doc_id AS row_id, unnest({S.word_list('lower(text)')}) AS w FROM documents),
+tf AS (SELECT row_id, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {EPOCH_FEATURES} AS INTEGER) AS i, count(*) AS tf
+       FROM words GROUP BY row_id, i),
+unit AS MATERIALIZED (
+  SELECT row_id, i, ln(1 + tf) / sqrt(sum(ln(1 + tf) * ln(1 + tf)) OVER (PARTITION BY row_id)) AS x FROM tf
+  UNION ALL SELECT row_id, -1, 1.0 FROM sp),
+ranked AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', row_id)), row_id) AS rn, count(*) OVER () AS n
+           FROM sp WHERE split = 'train'),
+rows AS MATERIALIZED (SELECT sp.row_id, label, split, CAST(floor((rn - 1) * {EPOCH_BATCHES} / n) AS INTEGER) AS batch
+                      FROM sp LEFT JOIN ranked USING (row_id)),
+classes AS (SELECT DISTINCT label AS c FROM sp WHERE split = 'train'),
+param0 AS MATERIALIZED (SELECT i, c, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+                        FROM (SELECT DISTINCT i FROM unit), classes)"""]
+
+    def probabilities(name: str, params: str, where: str) -> str:
+        return f"""
+{name}_z AS (SELECT row_id, label, c, sum(x * w) AS z FROM rows JOIN unit USING (row_id) JOIN {params} USING (i)
+             WHERE {where} GROUP BY row_id, label, c),
+{name}_e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY row_id)) AS e FROM {name}_z),
+{name} AS MATERIALIZED (SELECT row_id, label, c, e / sum(e) OVER (PARTITION BY row_id) AS p FROM {name}_e)"""
+
+    for s in range(steps):
+        epoch = s // EPOCH_BATCHES + 1
+        b = training.batch_order(EPOCH_BATCHES, epoch, 42)[s % EPOCH_BATCHES]
+        ctes.append(probabilities(f"p{s}", f"param{s}", f"split = 'train' AND batch = {b}"))
+        ctes.append(f"""
+g{s} AS MATERIALIZED (
+  SELECT i, c, sum(x * (p - CASE WHEN c = label THEN 1 ELSE 0 END)) / (SELECT count(DISTINCT row_id) FROM p{s}) AS g
+  FROM p{s} JOIN unit USING (row_id) GROUP BY i, c),
+clip{s} AS (SELECT least(1.0, 1.0 / (sqrt(sum(g * g)) + 1e-6)) AS k FROM g{s}),
+mom{s} AS (SELECT i, c, w, m + (1 - 0.9) * (coalesce(g, 0) * k - m) AS m,
+                  v + (1 - 0.999) * (coalesce(g, 0) * k * coalesce(g, 0) * k - v) AS v
+           FROM param{s} LEFT JOIN g{s} USING (i, c), clip{s}),
+param{s + 1} AS MATERIALIZED (
+  SELECT i, c, w - {EPOCH_LR * (1 - s / steps)!r} * (m / (1 - pow(0.9, {s + 1}))) / (sqrt(v / (1 - pow(0.999, {s + 1}))) + 1e-8) AS w,
+         m, v FROM mom{s})""")
+    evals = []
+    for epoch in range(1, EPOCHS + 1):
+        ctes.append(probabilities(f"v{epoch}", f"param{epoch * EPOCH_BATCHES}", "split = 'val'"))
+        evals.append(f"""SELECT {epoch} AS epoch, row_id, label AS y_true, arg_max(c, p) AS y_pred, max(p) AS prob,
+                         -ln(max(p) FILTER (WHERE c = label)) AS nll FROM v{epoch} GROUP BY row_id, label""")
+    losses = " UNION ALL ".join(f"SELECT {s // EPOCH_BATCHES + 1} AS epoch, -ln(p) AS nll FROM p{s} WHERE c = label"
+                                for s in range(steps))
+    ctes.append(f"""
+val AS MATERIALIZED ({" UNION ALL ".join(evals)}),
+conf AS (SELECT epoch, y_true, y_pred, count(*) AS n FROM val GROUP BY ALL),
+per AS (SELECT epoch, c, coalesce(sum(n) FILTER (WHERE y_true = c AND y_pred = c), 0) AS tp,
+               coalesce(sum(n) FILTER (WHERE y_true = c), 0) AS support, coalesce(sum(n) FILTER (WHERE y_pred = c), 0) AS predicted
+        FROM conf, classes GROUP BY epoch, c),
+f1 AS (SELECT epoch, sum(support * CASE WHEN support + predicted = 0 THEN 0 ELSE 2.0 * tp / (support + predicted) END)
+                     / sum(support) AS f1 FROM per GROUP BY epoch),
+best AS (SELECT epoch FROM f1 ORDER BY round(f1, 12) DESC, epoch LIMIT 1),
+loss AS (SELECT epoch, avg(nll) AS train_loss FROM ({losses}) GROUP BY epoch),
+ev AS (SELECT epoch, avg(nll) AS eval_loss FROM val GROUP BY epoch)""")
+    return "WITH " + ",".join(ctes) + " " + final
+
+
+def _epoch_run(spark, sf):
+    sp = reliable_checkpoint(_split(spark, sf))
+    val = sp.where(F.col("split") == "val")
+    return training.train_epochs(sp.where(F.col("split") == "train"), val, epochs=EPOCHS, batches=EPOCH_BATCHES, lr=EPOCH_LR,
+                                 features=EPOCH_FEATURES), val
+
+
+@query("o_m4_train_epochs", _epoch_run_sql("""
+SELECT epoch, round(train_loss, 6) AS train_loss, round(eval_loss, 6) AS eval_loss, round(f1, 6) AS eval_f1,
+       epoch = (SELECT epoch FROM best) AS is_best FROM loss JOIN ev USING (epoch) JOIN f1 USING (epoch)"""))
+def train_epochs(spark, sf):
+    """One AdamW run in mini-batches: the train and eval records of its log beside each other, by epoch."""
+    run, _ = _epoch_run(spark, sf)
+    evals = run.log.where(F.col("eval_loss").isNotNull()).select(F.col("epoch").cast("int"), "eval_f1")
+    curves = trainlog.training_curves(run.log).select(F.col("epoch").cast("int"), "train_loss", "eval_loss")
+    return rnd(curves.join(evals, "epoch").withColumn("is_best", F.col("epoch") == run.best_epoch))
+
+
+@query("o_m5_epoch_confusion", _epoch_run_sql("SELECT epoch, y_true, y_pred, n FROM conf"))
+def epoch_confusion(spark, sf):
+    """The confusion counts of the validation part after every epoch of the run."""
+    return _epoch_run(spark, sf)[0].confusion.drop("nll")
+
+
+@query("o_m6_best_epoch_model", _epoch_run_sql("""
+SELECT row_id, y_true, y_pred, round(prob, 6) AS prob FROM val WHERE epoch = (SELECT epoch FROM best)"""))
+def best_epoch_model(spark, sf):
+    """The best epoch's weights, read back from the run's folder, score the validation part."""
+    run, val = _epoch_run(spark, sf)
+    best = training.load_epoch(spark, run.path, run.best_epoch)
+    p = training.predict_classes(best, val.withColumnRenamed("label", "y_true"), keep=("row_id", "y_true"))
+    return rnd(p.select("row_id", "y_true", F.col("label").alias("y_pred"), F.array_max("probabilities").alias("prob")))
+
+
 def _score_sql() -> str:
     m = "greatest(s_de, s_en, s_es, s_fr)"
     z = f"(exp(s_de - {m}) + exp(s_en - {m}) + exp(s_es - {m}) + exp(s_fr - {m}))"
