@@ -117,8 +117,11 @@ def joint_rows(att: DataFrame, add_residual: bool = True) -> DataFrame:
     One aggregation per (sample, layer, q) — a group is that row's H x S cells —
     then higher-order functions: per-head row sums (+1 for the identity), the
     identity on the diagonal, the mean over heads.  No window sort and no
-    per-cell aggregation.
+    per-cell aggregation.  Attention given as rows (column ``weights``: the array over k
+    instead of k and weight) is normalised row by row and only its heads are grouped.
     """
+    if "weights" in att.columns:
+        return _joint_of_rows(att, add_residual)
     g = att.groupBy("sample_id", "layer", "q").agg(
         F.array_sort(F.collect_list(F.struct("head", "k", "weight"))).alias("__c"),
         (F.max("head") + 1).alias("__H"), (F.max("k") + 1).alias("__S"), F.count(F.lit(1)).alias("__n"))
@@ -146,6 +149,23 @@ def joint_rows(att: DataFrame, add_residual: bool = True) -> DataFrame:
     return g.select("sample_id", "layer", "q", checked.alias("row"))
 
 
+def _joint_of_rows(att: DataFrame, add_residual: bool) -> DataFrame:
+    def normal(w, total):
+        return F.transform(w, lambda x, k: (x + F.when(k == F.col("q"), 1.0).otherwise(0.0)) / total)
+
+    row = F.col("weights")
+    if add_residual:
+        row = _let(F.aggregate(row, F.lit(1.0), lambda acc, x: acc + x), lambda total: normal(F.col("weights"), total))
+    heads = att.select("sample_id", "layer", "q", "head", row.alias("row")).groupBy("sample_id", "layer", "q").agg(
+        F.array_sort(F.collect_list(F.struct("head", "row"))).alias("__h"))
+    n, first = F.size("__h"), F.element_at("__h", 1)["row"]
+    total = F.aggregate(F.slice("__h", 2, n), first, lambda acc, h: F.zip_with(acc, h["row"], lambda a, b: a + b))
+    mean = F.transform(total, lambda x: x / n)
+    ragged = F.exists("__h", lambda h: F.size(h["row"]) != F.size(first))
+    checked = F.when(ragged, F.raise_error(F.lit("attention is not dense over heads x keys"))).otherwise(mean)
+    return heads.select("sample_id", "layer", "q", checked.alias("row"))
+
+
 def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True, method: str = "arrays",
             n_layers: int | None = None) -> DataFrame:
     """Attention rollout, importance of every position for position 0.
@@ -158,11 +178,15 @@ def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True
     aggregation per sample (L x S row arrays, bounded by the model shape), then the
     vector-matrix products as higher-order functions.  Every grouping starts with
     ``sample_id``: no exchange when the table is already partitioned by it.
+    ``method='blocks'``: for long sequences, see ``attention_blocks.rollout_blocks``.
     ``method='join'``: one join + sum step per layer on the long table; ``n_layers`` (with
     ``layers='all'``) makes each step filter a literal layer.
     Output: sample_id, k, score.
     """
     a = att if layers == "all" else att.where(F.col("layer") < int(layers))
+    if layers != "all" and int(layers) == 1 and "weights" in att.columns:
+        row0 = joint_rows(a.where(F.col("q") == 0), add_residual).select("sample_id", F.posexplode("row").alias("k", "score"))
+        return row0.select("sample_id", F.col("k").cast("int").alias("k"), "score")
     if layers != "all" and int(layers) == 1:
         row0 = joint_attention(a.where(F.col("q") == 0), add_residual)
         return row0.select("sample_id", F.col("k").cast("int").alias("k"), F.col("weight").alias("score"))
@@ -171,6 +195,9 @@ def rollout(att: DataFrame, layers: str | int = "all", add_residual: bool = True
         if not top:
             raise ValueError("the join method needs n_layers")
         return _rollout_join(att, top, add_residual)
+    if method == "blocks":
+        from .attention_blocks import rollout_blocks
+        return rollout_blocks(joint_rows(a, add_residual))
     rows = joint_rows(a, add_residual)
     per = rows.groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct("layer", "q", "row"))).alias("__r"),

@@ -115,6 +115,11 @@ def attention(spark, sf, run="eval") -> DataFrame:
     return tables.synthetic_attention(tokens(spark, sf), run=run)
 
 
+def attention_rows(spark, sf, t: DataFrame) -> DataFrame:
+    """The same attention, a row per query position (nothing is exploded into cells)."""
+    return tables.synthetic_attention_rows(t)
+
+
 def trainer_log(spark, sf) -> DataFrame:
     return tables.events_trainer_log(_t(spark, sf, "events"))
 
@@ -798,7 +803,7 @@ v0 AS (SELECT j.sample_id, j.k, sum(v1.v * j.w) AS v FROM v1 JOIN j ON j.sample_
 
 @query("o_t4_rollout", f"WITH {ROLLOUT_SQL} SELECT sample_id, k, round(v, 6) AS score FROM v0")
 def rollout_all(spark, sf):
-    return rnd(att_ops.rollout(attention(spark, sf), layers="all"))
+    return rnd(att_ops.rollout(attention_rows(spark, sf, tokens(spark, sf)), layers="all"))
 
 
 @query("o_t4_rollout_first_layer", f"""
@@ -808,6 +813,12 @@ def rollout_first_layer(spark, sf):
     return rnd(att_ops.rollout(attention(spark, sf), layers=1))
 
 
+@query("o_t4_rollout_blocks", f"WITH {ROLLOUT_SQL} SELECT sample_id, k, round(v, 6) AS score FROM v0")
+def rollout_blocks(spark, sf):
+    """The rollout for long sequences: maps as blocks, products of vector blocks summed by key."""
+    return rnd(att_ops.rollout(attention_rows(spark, sf, tokens(spark, sf)), method="blocks"))
+
+
 @query("o_j4_rollout_join", f"WITH {ROLLOUT_SQL} SELECT sample_id, k, round(v, 6) AS score FROM v0")
 def rollout_join(spark, sf):
     return rnd(att_ops.rollout(attention(spark, sf), layers="all", method="join", n_layers=3))
@@ -818,8 +829,9 @@ WITH {ROLLOUT_SQL} SELECT t.sample_id, t.pos, t.token, round(v0.v, 6) AS score
 FROM tokens t JOIN v0 ON v0.sample_id = t.sample_id AND v0.k = t.pos
 """)
 def positional_zip(spark, sf):
-    r = att_ops.rollout(attention(spark, sf))
-    return rnd(tokens(spark, sf).join(r.select("sample_id", F.col("k").alias("pos"), "score"), ["sample_id", "pos"]))
+    t = reliable_checkpoint(tokens(spark, sf))
+    r = att_ops.rollout(attention_rows(spark, sf, t))
+    return rnd(t.join(r.select("sample_id", F.col("k").alias("pos"), "score"), ["sample_id", "pos"]))
 
 
 RWORDS_SQL = f"""{ROLLOUT_SQL},
@@ -829,7 +841,8 @@ rw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER
 
 
 def _rollout_words(spark, sf):
-    return att_ops.rollout_words(att_ops.rollout(attention(spark, sf)), tokens(spark, sf))
+    t = reliable_checkpoint(tokens(spark, sf))
+    return att_ops.rollout_words(att_ops.rollout(attention_rows(spark, sf, t)), t)
 
 
 @query("o_t5_rollout_words", f"WITH {RWORDS_SQL} SELECT sample_id, word_id, word, round(score, 6) AS score FROM rw")

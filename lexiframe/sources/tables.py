@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import letter_count, words
 from ..functions.vectors import bind
 from ..operators.ranking import sequence_number
+from ..session import reliable_checkpoint
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -66,17 +67,24 @@ EVAL_RUN = (7, 13, 3, 5, 0, 11)      # raw = (7q + 13k + 3 layer + 5 head + code
 DROPOUT_RUN = (5, 11, 2, 3, 1, 13)   # raw = (5q + 11k + 2 layer + 3 head + 1 + code(q) + code(k)) % 13 + 1
 
 
-def synthetic_attention(tokens: DataFrame, layers: int = 3, heads: int = 2, run: str = "eval") -> DataFrame:
-    """Dense attention (sample_id, layer, head, q, k, weight) over each sample's tokens; every
-    (sample, layer, head, q) row sums to 1.  Positions and tokens enter the weight, so a token
-    at a wrong position shows.
+#: Attention cells that a partition is dealt.
+PARTITION_CELLS = 1 << 18
+
+
+def synthetic_attention_rows(tokens: DataFrame, layers: int = 3, heads: int = 2, run: str = "eval") -> DataFrame:
+    """Dense attention over each sample's tokens, a row per query position: sample_id, layer, head, q, weights (array over
+    k, which sums to 1).  Positions and tokens enter the weight, so a token at a wrong position shows.
 
-    A sample's token codes come together once (bounded by the model's sequence length); rows
-    and cells are exploded inside the same partition, without a shuffle of the cell table.
+    A sample's token codes come together once (bounded by the model's sequence length).  The samples are dealt to as
+    many partitions as their cells need: by their bytes, which AQE goes by, they would all land in one, where the rows
+    are a hundred times larger.
     """
     a, b, c, d, off, m = EVAL_RUN if run == "eval" else DROPOUT_RUN
     s = tokens.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.ascii("token").alias("code")))).alias("__t"))
-    codes = s.select("sample_id", F.transform("__t", lambda x: x["code"]).alias("__codes"))
+    codes = reliable_checkpoint(s.select("sample_id", F.transform("__t", lambda x: x["code"]).alias("__codes")))
+    size = F.size("__codes").cast("long")
+    cells = codes.agg(F.sum(size * size)).first()[0] or 0
+    codes = codes.repartition(max(1, -(-cells * layers * heads // PARTITION_CELLS)), "sample_id")
     rows = (codes.select("*", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
             .select("*", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"))
             .select("*", F.posexplode("__codes").alias("q", "__code")))
@@ -84,8 +92,14 @@ def synthetic_attention(tokens: DataFrame, layers: int = 3, heads: int = 2, run:
     raw = F.transform("__codes", lambda code, k: ((base + k * b + code) % m + 1).cast("double"))
     total = lambda w: F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x)
     weights = bind(raw, lambda w: bind(total(w), lambda t: F.transform(w, lambda x: x / t)))
-    return rows.select("sample_id", "layer", "head", "q", weights.alias("__w")) \
-        .select("sample_id", "layer", "head", "q", F.posexplode("__w").alias("k", "weight"))
+    return rows.select("sample_id", "layer", "head", "q", weights.alias("weights"))
+
+
+def synthetic_attention(tokens: DataFrame, layers: int = 3, heads: int = 2, run: str = "eval") -> DataFrame:
+    """The cells of :func:`synthetic_attention_rows`: sample_id, layer, head, q, k, weight; exploded where the rows are,
+    without a shuffle of the cell table."""
+    return synthetic_attention_rows(tokens, layers, heads, run) \
+        .select("sample_id", "layer", "head", "q", F.posexplode("weights").alias("k", "weight"))
 
 
 # ----------------------------------------------------------------------------- training log
