@@ -162,6 +162,49 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), gridsize: int = KDE
     return summed.select(*keys, F.col("grid_idx").cast("int").alias("grid_idx"), "x", dens.alias("density"))
 
 
+def kde_binned(df: DataFrame, value: str, keys: Sequence[str] = (), gridsize: int = KDE_GRIDSIZE, cut: float = KDE_CUT,
+               per_bandwidth: int = 64, reach: float = 6.0) -> DataFrame:
+    """:func:`kde` of continuous values: linear binning on a fine grid, then convolution with a truncated kernel.
+
+    A value's weight is shared by the two fine nodes around it (at least ``per_bandwidth`` nodes per bandwidth, and every
+    grid point is one); the nodes, not the values, meet the grid points within ``reach`` bandwidths.  Work is one
+    pre-aggregated pass over the rows, then nodes x grid points in reach, however many values differ.  The density is
+    within ``(0.4 / (8 per_bandwidth^2) + exp(-reach^2 / 2) * 0.4) / bandwidth`` of the plain sum.
+    Output: keys..., grid_idx, x, density."""
+    v = F.col(value).cast("double")
+    base = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__x"))
+    last = gridsize - 1
+    stats = base.groupBy(*keys).agg(F.count("__x").alias("__n"), F.stddev_samp("__x").alias("__sd"),
+                                    F.min("__x").alias("__min"), F.max("__x").alias("__max"))
+    stats = (stats.where((F.col("__n") >= 2) & (F.col("__sd") > 0))
+             .withColumn("__bw", F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
+             .withColumn("__g0", F.col("__min") - F.col("__bw") * cut)
+             .withColumn("__g1", F.col("__max") + F.col("__bw") * cut)
+             .withColumn("__per", F.ceil((F.col("__g1") - F.col("__g0")) / F.col("__bw") * per_bandwidth / last))
+             .withColumn("__step", (F.col("__g1") - F.col("__g0")) / (F.col("__per") * last))
+             .select(*keys, "__n", "__bw", "__g0", "__g1", "__per", "__step"))
+    rows = with_group_stats(base, stats, keys).where(F.col("__bw").isNotNull())
+    place = (F.col("__x") - F.col("__g0")) / F.col("__step")
+    node = F.floor(place)
+    shares = F.array(F.struct(node.alias("node"), (node + 1 - place).alias("w")), F.struct((node + 1).alias("node"), (place - node).alias("w")))
+    nodes = rows.select(*keys, F.explode(shares).alias("__s")).groupBy(*keys, F.col("__s.node").alias("__node")) \
+        .agg(F.sum("__s.w").alias("__w"))
+    nodes = with_group_stats(nodes, stats, keys)
+    at = F.col("__node") * F.col("__step")  # offsets from the first grid point
+    coarse = F.col("__step") * F.col("__per")
+    low = F.greatest(F.ceil((at - reach * F.col("__bw")) / coarse), F.lit(0))
+    high = F.least(F.floor((at + reach * F.col("__bw")) / coarse), F.lit(last))
+    met = nodes.where(low <= high).withColumn("grid_idx", F.explode(F.sequence(low, high)))
+    u = (F.col("grid_idx") * coarse - at) / F.col("__bw")
+    summed = met.groupBy(*keys, "grid_idx").agg(F.sum(F.col("__w") * F.exp(F.lit(-0.5) * u * u)).alias("__s"))
+    grid = stats.select(*keys, "__n", "__bw", "__g0", "__g1", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("grid_idx"))
+    out = join_on_keys(grid, summed, [*keys, "grid_idx"], "left")
+    x = F.when(F.col("grid_idx") == last, F.col("__g1")).otherwise(
+        F.col("grid_idx").cast("double") * ((F.col("__g1") - F.col("__g0")) / F.lit(float(last))) + F.col("__g0"))
+    density = F.coalesce("__s", F.lit(0.0)) / (F.col("__n") * F.col("__bw") * F.lit(math.sqrt(2 * math.pi)))
+    return out.select(*keys, F.col("grid_idx").cast("int").alias("grid_idx"), x.alias("x"), density.alias("density"))
+
+
 # ----------------------------------------------------------------------------- box plot
 
 def box_stats(df: DataFrame, value: str, keys: Sequence[str] = (), whis: float = BOX_WHIS) -> DataFrame:

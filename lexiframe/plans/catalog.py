@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +20,9 @@ from ..functions.text import contains_text, strip_subword_prefix, strip_ws, word
 from ..functions.text import words as text_words
 from ..functions.vectors import argmax
 from ..operators import attention as att_ops
-from ..operators import metrics, model, outliers, profile, split, stats, training, trainlog
+from ..operators import metrics, model, outliers, profile, scoring, split, stats, training, trainlog
 from ..session import reliable_checkpoint, scratch_path
-from ..sources import files, order, tables
+from ..sources import files, html_files, observed, order, tables
 from . import sql as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,6 +551,30 @@ def kde_trimmed(spark, sf):
     return _kde_rows(stats.kde(kept, "x", ["label"]))
 
 
+@query("o_a7_price_density", """
+WITH s AS (SELECT l_returnflag AS flag, count(*) AS n, stddev_samp(l_extendedprice) * pow(count(*), -0.2) AS bw,
+                  min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem GROUP BY 1),
+g AS (SELECT flag, n, bw, a - 3 * bw AS g0, b + 3 * bw AS g1, ceil((b - a + 6 * bw) / bw * 64 / 199) AS per FROM s),
+st AS (SELECT *, (g1 - g0) / (per * 199) AS step FROM g),
+p AS (SELECT flag, (l_extendedprice - g0) / step AS pl FROM lineitem JOIN st ON flag = l_returnflag),
+node AS (SELECT flag, node, sum(w) AS w FROM (
+  SELECT flag, floor(pl) AS node, floor(pl) + 1 - pl AS w FROM p UNION ALL SELECT flag, floor(pl) + 1, pl - floor(pl) FROM p)
+  GROUP BY flag, node),
+grid AS (SELECT st.*, unnest(generate_series(0, 199)) AS grid_idx FROM st),
+hit AS (SELECT flag, grid_idx, w, (grid_idx * per * step - node * step) / bw AS u FROM node JOIN grid USING (flag)),
+dens AS (SELECT flag, grid_idx, sum(w * exp(-0.5 * u * u)) AS s FROM hit WHERE abs(u) <= 6 GROUP BY flag, grid_idx)
+SELECT flag, CAST(grid_idx AS INTEGER) AS grid_idx,
+       round(CASE WHEN grid_idx = 199 THEN g1 ELSE grid_idx * ((g1 - g0) / 199.0) + g0 END, 6) AS x,
+       round(coalesce(s, 0) / (n * bw * sqrt(2 * pi())), 12) AS density
+FROM grid LEFT JOIN dens USING (flag, grid_idx)
+""")
+def price_density(spark, sf):
+    """Density of a continuous column by a few classes, from bins (the bins in SQL; the plain sum in pytest)."""
+    li = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"))
+    return stats.kde_binned(li, "v", ["flag"]).select(
+        "flag", "grid_idx", _round(F.col("x"), 6).alias("x"), _round(F.col("density"), 12).alias("density"))
+
+
 @query("o_a6_hist_trimmed", f"WITH {TRIMMED_SQL}, {_hist_sql('kept', 'n_words', 20)}")
 def hist_trimmed(spark, sf):
     return rnd(stats.histogram(_trimmed_union(spark, sf), "n_words", 20))
@@ -886,6 +911,20 @@ def html_file(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "html")
 
 
+@query("o_s9_html_samples", f"""
+WITH {COLOR_SQL}
+SELECT sample_id, '<p>' || string_agg('<span style="background:rgb(0,0,' || blue || ');color:white"> ' ||
+       replace(replace(replace(replace(replace(word, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&#x27;')
+       || ' </span>', '' ORDER BY word_id) || '</p>' AS html
+FROM cw GROUP BY sample_id
+""")
+def html_samples(spark, sf):
+    """One HTML file per sample, named by it; read back with the sample from the name."""
+    path = scratch_path(spark, "html-files")
+    html_files.write_html_files(att_ops.highlight_html(_rollout_words(spark, sf), score_digits=12), path)
+    return html_files.read_html_files(spark, path).select(F.col("sample").cast("long").alias("sample_id"), "html")
+
+
 # ============================================================================ training log
 @query("o_w5_log_ordinals", f"WITH {S.LOG} SELECT run, log_pos, step FROM log")
 def log_ordinals(spark, sf):
@@ -976,6 +1015,20 @@ def export_row_count(spark, sf):
     return trainlog.export_row_count(trainlog.flatten_log(trainer_log(spark, sf), id_cols=["run", "log_pos"]))
 
 
+@query("o_a17_observed_export", f"""
+WITH {S.LOG}, f AS (SELECT * FROM log WHERE step IS NOT NULL),
+c AS (SELECT count(*) AS n, count_if(loss IS NULL) AS loss, count_if(eval_loss IS NULL) AS eval_loss,
+             count_if(eval_f1 IS NULL) AS eval_f1, count_if(eval_accuracy IS NULL) AS eval_accuracy FROM f)
+SELECT unnest(['run', 'step', 'eval_accuracy', 'eval_f1', 'eval_loss', 'loss']) AS column, n AS n_rows,
+       unnest([0, 0, eval_accuracy, eval_f1, eval_loss, loss]) AS n_null FROM c
+""")
+def observed_export(spark, sf):
+    """The history is written as CSV; rows and nulls per column are observed on the way."""
+    flat = trainlog.flatten_log(trainer_log(spark, sf), id_cols=["run"])
+    path = scratch_path(spark, "history-observed")
+    return observed.write_observed(flat, lambda df: files.write_csv(df, path), required=("run", "step"))
+
+
 @query("o_l3_history_bridge", f"""
 WITH {S.LOG} SELECT run, step, round(max(eval_accuracy), 6) AS eval_accuracy, round(max(eval_loss), 6) AS eval_loss,
        round(max(loss), 6) AS train_loss, round(max(eval_f1), 6) AS val_f1 FROM log GROUP BY run, step
@@ -1267,6 +1320,25 @@ def batch_score(spark, sf):
     return rnd(model.score_logits(lg, "logits", mapping, keep=("row_id", "sentence")))
 
 
+@query("o_m8_user_model", _score_sql())
+def user_model(spark, sf):
+    """A user's model, loaded once per worker and fed padded batches; here it counts the class letters."""
+    letters = np.array([ord(ch) for _, ch in tables.SCORE_LETTERS])
+
+    def load():
+        def tokenize(sentence):
+            return np.frombuffer(sentence.encode("utf-32-le"), "<u4").tolist()
+
+        def forward(ids, mask):
+            return np.stack([((ids == c) & (mask == 1)).sum(axis=1) for c in letters], axis=1)
+        return tokenize, forward
+
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("sentence"))
+    lg = scoring.with_logits(docs, load, batch_size=16, max_length=None)
+    mapping = {f"LABEL_{i}": c for i, (c, _) in enumerate(tables.SCORE_LETTERS)}
+    return rnd(model.score_logits(lg, "logits", mapping, keep=("row_id", "sentence")))
+
+
 @query("o_m9_map_batches", "SELECT doc_id AS row_id, CAST(length(nfc_normalize(text)) AS BIGINT) AS n_chars_nfc FROM documents")
 def map_batches(spark, sf):
     """A pandas function applied to Arrow batches: code points after Unicode NFC, which Spark has no function for."""
