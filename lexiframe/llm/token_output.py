@@ -214,7 +214,8 @@ class PieceEncoder:
     """Texts -> ids with the tokenizers library, each distinct word between spaces encoded once per cache life.
 
     For vocabularies whose pre-tokenizer drops white space: tokens never span it, so words are independent.  A full
-    stop or comma after a letter is a pre-token of its own and is looked up apart.  A word of Latin letters is one
+    stop or comma after what the library's normalizer leaves as a letter is a pre-token of its own and is looked up
+    apart (a letter whose normal form ends in a combining mark is none).  A word of Latin letters is one
     pre-token: where the library's normalizer could only lower-case it, it goes straight to the library's model."""
 
     def __init__(self, path: str):
@@ -247,11 +248,16 @@ class PieceEncoder:
             out[i] = array("I", e.ids).tobytes()
         return out
 
+    def _stays_letter(self, stem: str) -> bool:
+        """Does the stem still end in a letter when it is normalized?"""
+        normal = self.library.normalizer.normalize_str(stem) if self.library.normalizer is not None else stem
+        return normal[-1:].isalpha()
+
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, as bytes of native unsigned 32-bit integers."""
         stems, place, cut = {}, [], []
         for i, w in enumerate(words):
-            if w and w[-1] in ".," and len(w) > 1 and w[-2].isalpha():
+            if w and w[-1] in ".," and len(w) > 1 and w[-2].isalpha() and (w[-2].isascii() or self._stays_letter(w[:-1])):
                 cut.append(i)
                 w = w[:-1]
             place.append(stems.setdefault(w, len(stems)))
