@@ -1,14 +1,15 @@
 """Line de-duplication with keep bitmaps (DataFrame functions only).
 
-Every line key is hashed to 128 bits; (hash, document, position) is range-partitioned by hash and document with a
-secondary sort by position, so that a line found everywhere spreads over many tasks.  Each range reduces a key to its
-document count and largest document before the one small exchange by key.  What comes back is no text: per document
-the runs of lines that stay.
+Every line key is hashed to 128 bits; lines are range-partitioned by (hash, lot), where the lot is a hash of the document
+that splits a line found everywhere over many tasks, and sorted by document, last first, and position.  One streaming
+pass over each sorted run marks the first occurrence of the key and of each document in it, with the positions of
+the lines.  First occurrences of lots are compared by key; what comes back is no text: per document the runs of lines
+that stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, id_back, id_of, lower_ascii, text_of, written
@@ -31,6 +32,21 @@ def line_hashes(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", te
     return long_lines.select("did", "th", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
+def first_occurrences(keys: DataFrame, lots: int | None = None) -> DataFrame:
+    """``keys`` (h1, h2, did, pos, ...) with two marks of their place in the order of document, last first, and position:
+    first_of_lot, the first row of a key and lot, and first_of_doc, a document's first row with the key.
+
+    The window needs what the range partitioning and its sort give (no further exchange): a task streams through
+    its ranges and holds one row back."""
+    lots = lots or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keys.withColumn("lot", F.pmod(F.xxhash64("did"), F.lit(lots)).cast("int")) \
+        .repartitionByRange("h1", "h2", "lot").sortWithinPartitions("h1", "h2", "lot", F.col("did").desc(), "pos")
+    stream = Window.partitionBy("h1", "h2", "lot").orderBy(F.col("did").desc(), "pos")
+    before = F.lag("did").over(stream)
+    return ranged.withColumn("first_of_lot", before.isNull()) \
+        .withColumn("first_of_doc", before.isNull() | (before != F.col("did"))).drop("lot")
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """did, th, n_dropped, keep: the run-length keep bitmap of every document that loses a line.
@@ -39,13 +55,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     array of (start, length) runs of lines that stay, in order; a document without a row keeps every line.  Rows with
     a null id count as one document that comes before all others; a null text is one empty line; equal rows get the
     same bitmap (one row).  Hash of the key: 128 bits."""
-    keys = written(line_hashes(docs, min_chars, id_col, text_col), "line-hashes")
-    ranged = keys.repartitionByRange("h1", "h2", "did").sortWithinPartitions("h1", "h2", F.col("did").desc(), "pos")
-    holders = ranged.groupBy("h1", "h2", "did").agg(F.min("pos").alias("first_pos"))
-    stats = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("did").alias("last_did"))
+    marked = written(first_occurrences(written(line_hashes(docs, min_chars, id_col, text_col), "line-hashes")), "line-marks")
+    # a lot tells how many documents it holds and the first one, which is the last by id
+    firsts = marked.where("first_of_doc").groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.max(F.when(F.col("first_of_lot"), F.col("did"))).alias("last_did"))
     # a table of its own, so that the join below can split the lines of a key that is everywhere
-    repeated = written(stats.where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_did"), "repeated-lines")
-    drops = keys.join(repeated, ["h1", "h2"]).where(F.col("did") < F.col("last_did"))
+    repeated = written(firsts.where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_did"), "repeated-lines")
+    drops = marked.join(repeated, ["h1", "h2"]).where(F.col("did") < F.col("last_did"))
     per_doc = drops.groupBy("did", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     m = F.size("dropped")
     # run i lies between the dropped lines i - 1 and i; the last one is open-ended (length -1)
