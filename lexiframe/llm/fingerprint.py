@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_of, text_of
+from .pieces import slices
 
 WINDOW = 8
 BINS = 64
 PER_BIN = 2
+#: Text bytes of a range of documents, and of what a task holds as Python objects.
+RANGE_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,14 +103,19 @@ def fingerprint_hex(signature: np.ndarray) -> str:
 
 # ------------------------------------------------------------------------------------------------ with neighbours
 
-def _with_successors(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, native, did, text: documents dealt into ranges of descending id, each range followed by the first
-    document of the next one (native false), the last by the first of all.  One shuffle of the texts."""
+def _with_successors(docs: DataFrame, buckets: int | None) -> DataFrame:
+    """bucket, native, did, th, text: documents dealt into ranges of descending id, each range followed by the first
+    document of the next one (native false), the last by the first of all.  One shuffle of the texts; there are
+    as many ranges as ``RANGE_BYTES`` of text need, unless told otherwise."""
     rows = docs.select(id_of().alias("did"), text_of().alias("text"))
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     cuts = rows.agg(F.percentile_approx("did", [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"]
     cuts = F.from_json(F.lit(str(sorted(set(cuts or [])))), "array<long>")
     # a row's range: how many cut points lie above its id
     rows = rows.withColumn("bucket", F.size(F.filter(cuts, lambda c: c > F.col("did"))))
+    rows = rows.withColumn("th", F.xxhash64("text"))
     heads = sorted((r["bucket"], r["did"]) for r in rows.groupBy("bucket").agg(F.max("did").alias("did")).collect())
     # one row per range: its first document is the guest of the range before
     guests = docs.sparkSession.createDataFrame([(did, heads[i - 1][0]) for i, (_, did) in enumerate(heads)],
@@ -116,11 +124,12 @@ def _with_successors(docs: DataFrame, buckets: int) -> DataFrame:
     own = F.struct(F.col("bucket"), F.lit(True).alias("native"))
     guest = F.struct(F.col("guest").alias("bucket"), F.lit(False).alias("native"))
     places = F.when(F.col("guest").isNull(), F.array(own)).otherwise(F.array(own, guest))
-    return both.withColumn("place", F.explode(places)).select("place.*", "did", "text")
+    return both.withColumn("place", F.explode(places)).select("place.*", "did", "th", "text")
 
 
 def _report(batches):
-    """Streams rows sorted by (bucket, native first, descending id, text); each document waits for its successor."""
+    """Streams rows sorted by (bucket, native first, descending id, hash of the text); each document waits for its
+    successor.  A few megabytes of text are Python objects at a time."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     waiting = None  # (bucket, did, text, signature) of the last native document
@@ -135,9 +144,16 @@ def _report(batches):
                 fingerprint_hex(signature), fingerprint_hex(own), likeness(signature, own),
                 likeness(signature, next_signature))
 
-    for batch in batches:
+    def parts():
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(3), SLICE_BYTES):
+                yield [batch.column(i).slice(at, len(texts)).to_pylist() for i in range(3)] + [texts.to_pylist()]
+                at += len(texts)
+
+    for part in parts():
         out = []
-        for bucket, native, did, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for bucket, native, did, text in zip(*part):
             if not native and (waiting is None or waiting[0] != bucket):
                 continue  # a further guest of the range
             signature = order_minhash(text.encode())
@@ -153,11 +169,9 @@ def fingerprint_report(docs: DataFrame, buckets: int | None = None) -> DataFrame
 
     The edited text has its last third of code points (rounded down) replaced by the first as many of the next
     document in descending id order, all of it if it is shorter; after the last comes the first.  Null ids come last,
-    rows with equal ids in text order; null texts are empty; a single document is its own successor; an empty table
+    rows with equal ids in an order of their texts (that of a hash); null texts are empty; a single document is its own successor; an empty table
     gives no rows.  Equal texts have equal fingerprints.  A task streams its ranges and holds one document back."""
-    spark = docs.sparkSession
-    buckets = buckets or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _with_successors(docs, max(2, buckets))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", F.col("native").desc(), F.col("did").desc(), "text") \
-        .mapInArrow(_report, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+    rows = _with_successors(docs, buckets)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", F.col("native").desc(), F.col("did").desc(), "th") \
+        .select("bucket", "native", "did", "text").mapInArrow(_report, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
                              "edited_fingerprint string, near_edited double, near_next double")
