@@ -225,6 +225,7 @@ class PieceEncoder:
         self.model = self.library.model
         self.direct = self._plain_letters_go_direct()
         self.stems = PieceCache(self._encode)
+        self.letters: dict[str, bool] = {}
 
     def _tokens(self, word: str) -> list[int]:
         printable = word if word.isascii() else word.encode().decode("latin-1").translate(_PRINTABLE)
@@ -248,16 +249,18 @@ class PieceEncoder:
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _stays_letter(self, stem: str) -> bool:
-        """Does the stem still end in a letter when it is normalized?"""
-        normal = self.library.normalizer.normalize_str(stem) if self.library.normalizer is not None else stem
-        return normal[-1:].isalpha()
+    def _stays_letter(self, letter: str) -> bool:
+        """Does the letter's normal form still end in a letter?"""
+        if letter not in self.letters:
+            normal = self.library.normalizer.normalize_str(letter) if self.library.normalizer is not None else letter
+            self.letters[letter] = normal[-1:].isalpha()
+        return self.letters[letter]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, as bytes of native unsigned 32-bit integers."""
         stems, place, cut = {}, [], []
         for i, w in enumerate(words):
-            if w and w[-1] in ".," and len(w) > 1 and w[-2].isalpha() and (w[-2].isascii() or self._stays_letter(w[:-1])):
+            if w and w[-1] in ".," and len(w) > 1 and w[-2].isalpha() and (w[-2].isascii() or self._stays_letter(w[-2])):
                 cut.append(i)
                 w = w[:-1]
             place.append(stems.setdefault(w, len(stems)))
