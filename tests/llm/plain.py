@@ -183,3 +183,67 @@ def spelling(docs, min_chars=5, min_count=3, ratio=2, noise=97):
             root = form[root]
         out.add((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
     return out
+
+
+def plain_words(text):
+    out = []
+    for piece in text.lower().split():
+        piece = re.sub(r"^[\W_]+|[\W_]+$", "", piece)
+        if piece:
+            out.append(piece)
+    return out
+
+
+def contaminations(text, items, share=0.8, size=5):
+    """Items of which ``share`` of the shingles, or of those of each half, stand in one window of the text that the
+    longest item fits in."""
+    words = plain_words(text or "")
+    stride = max([32, *(len(plain_words(t or "")) for _, t in items)])
+    windows = []
+    for start in range(0, max(1, len(words)), stride):
+        part = words[start:start + 2 * stride]
+        windows.append({n: {tuple(part[j:j + n]) for j in range(len(part) - n + 1)} for n in range(1, size + 1)})
+    found = set()
+    for item, t in items:
+        ws = plain_words(t or "")
+        if not ws:
+            continue
+        half = max(1, len(ws) // 2)
+        parts = (ws, ws[:half], ws[half:]) if len(ws) >= 2 * size else (ws, ws, ws)
+
+        def overlap(part, window):
+            n = min(size, len(part))
+            own = {tuple(part[j:j + n]) for j in range(len(part) - n + 1)}
+            return len(own & window[n]) / len(own)
+        for window in windows:
+            whole, *halves = (overlap(p, window) for p in parts)
+            if whole >= share or min(halves) >= share:
+                found.add(item)
+                break
+    return found
+
+
+def order_minhash(data, window=8, bins=64, per_bin=2):
+    """One integer of 16 bits per bin: the least hashes of the bin's occurrence-numbered windows, in text order."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+    starts = range(len(data) - window + 1) if len(data) > window else range(1 if data else 0)
+    seen, chosen = defaultdict(int), defaultdict(list)
+    for at in starts:
+        kmer = int.from_bytes(data[at:at + window].ljust(window, b"\0"), "little")
+        numbered = mix(kmer ^ (seen[kmer] * 0x9E3779B97F4A7C15 & mask))
+        seen[kmer] += 1
+        z = mix(numbered)
+        chosen[z >> 58].append((z, at, numbered))
+    out = []
+    for b in range(bins):
+        least = sorted(sorted(chosen[b])[:per_bin], key=lambda x: x[1])
+        full = 0
+        for _, _, numbered in least:
+            full = mix(full * 31 + numbered + 1 & mask)
+        out.append(full % 0xFFFF + 1 if least else 0)
+    return out

@@ -213,6 +213,21 @@ def test_decontamination(spark, docs, none):
     assert decontam.drop_contaminated(docs, items).columns == docs.columns
 
 
+@pytest.mark.parametrize("size", [2000, 7000])
+def test_decontamination_does_not_depend_on_portions(spark, monkeypatch, size):
+    rng = np.random.default_rng(7)
+    vocab = [f"v{i}" for i in range(120)]
+    items = [(i, " ".join(rng.choice(vocab, rng.integers(1, 50)))) for i in range(60)] + [(3, "v1 v2 v3 v4 v5 v6"), (None, "v9 v8")]
+    texts = [" ".join([*rng.choice(vocab, rng.integers(0, 200)), *items[i % 62][1].split(), *rng.choice(vocab, 9)]) for i in range(80)]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, word string")
+    whole = by_id(decontam.contamination_report(frame, tests))
+    left = by_id(decontam.drop_contaminated(frame, tests))
+    monkeypatch.setattr(decontam, "INDEX_BYTES", size)
+    assert len(whole) > 60 and by_id(decontam.contamination_report(frame, tests)) == whole
+    assert by_id(decontam.drop_contaminated(frame, tests)) == left
+
+
 def test_decontamination_finds_items_with_a_changed_word(spark):
     words = [f"w{i}" for i in range(38)]
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
