@@ -164,8 +164,12 @@ def text_classifier(text: str = "sentence", label: str = "label", max_iter: int
     return Pipeline(stages=[*text_features(text, label, num_features), _regression(max_iter, reg)])
 
 
-def fit_classifier(train: DataFrame, **kw) -> PipelineModel:
-    return text_classifier(**kw).fit(train)
+def fit_classifier(train: DataFrame, text: str = "sentence", label: str = "label", max_iter: int = 50, reg: float = 0.0,
+                   num_features: int = 1 << 16) -> PipelineModel:
+    """The fitted :func:`text_classifier`; the features are stored once and not made again for the regression."""
+    stages = Pipeline(stages=text_features(text, label, num_features)).fit(train)
+    stored = reliable_checkpoint(stages.transform(train).select("label_idx", "features"))
+    return PipelineModel(stages=[*stages.stages, _regression(max_iter, reg).fit(stored)])
 
 
 def class_names(model: PipelineModel) -> list[str]:
