@@ -177,7 +177,8 @@ def fit_ordinal(rated: DataFrame, grades: int, l2: float = 0.5, steps: int = 60,
         return _feature_lists(texts.fill_null(""))
 
     known = rated.where(F.col("grade").between(0, grades - 1)).select(text_of().alias("text"), F.col("grade").cast("int"))
-    sample = written(known.select(once(features)("text").alias("x"), "grade").coalesce(tasks), "rated-features")
+    # an exchange of the sample, so that the scan behind it keeps its own partitions
+    sample = written(known.repartition(tasks).select(once(features)("text").alias("x"), "grade"), "rated-features")
     counts = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), np.empty(0))
@@ -275,12 +276,18 @@ def rate(labels: DataFrame) -> DataFrame:
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text, grade of at most ``rows`` rated documents, picked by the hash of their id: the same ones on every run."""
+    """text, grade of at most ``rows`` rated documents, picked by the hash of their id: the same ones on every run.
+
+    A document that is rated more than once counts once, with its lowest grade; rows of ``docs`` that share an id
+    count once, with the text of least hash."""
     # a share that holds a little more than ``rows`` goes into the ordering, not the whole rating table
     share = min(1.0, 1.5 * rows / max(1, ratings.count()))
     likely = ratings.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = likely.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id", "grade").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``rows`` narrow rows
+    each = likely.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    picked = each.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").limit(rows)
+    rated = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")  # at most ``rows`` narrow rows
+    return rated.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("grade").alias("grade")) \
+        .select("text", "grade")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, **options) -> OrdinalModel:
@@ -289,7 +296,8 @@ def quality_model(docs: DataFrame, labels: DataFrame, **options) -> OrdinalModel
 
 def quality_report(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, cut: int = 2, **options) -> DataFrame:
     """doc_id, expected_grade, tail_probability, keep per row of ``docs``: whole texts; keep where
-    P(grade >= cut) >= ``keep_from``.  Null texts are empty, ids are passed through; without rated rows all is kept."""
+    P(grade >= cut) >= ``keep_from`` (a tie stays).  Null texts are empty, ids are passed through and equal texts get equal
+    scores; a very long text is cut nowhere; without rated rows all is kept; an empty table gives no rows."""
     model = quality_model(docs, labels, **options)
     scored = docs.select("doc_id", score_column(text_of(), model, cut).alias("s"))
     return scored.select("doc_id", "s.expected_grade", "s.tail_probability",
