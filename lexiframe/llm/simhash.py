@@ -21,6 +21,8 @@ from .components import connected_components
 BITS = 64
 #: A variant shared by more distinct fingerprints than this is resolved by stars over wildcard sets instead of pairs.
 PAIR_BUCKET = 256
+#: Variants that a task generates.
+PARTITION_VARIANTS = 1 << 20
 
 
 def simhash(text: bytes, shingle: int, seed: int = 42) -> int:
@@ -74,6 +76,12 @@ def _variants(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", F.posexplode(F.transform(literal, lambda m: F.col("fp").bitwiseAND(m))).alias("v", "part"))
 
 
+def _dealt(fps: DataFrame, variants: int) -> DataFrame:
+    """The (stored) fingerprints in as many partitions as their variants need, one shuffle partition's worth at least."""
+    least = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.repartition(max(least, -(-fps.count() * variants // PARTITION_VARIANTS)))
+
+
 def _scan(distance: int, first_bits: list[int], limit: int | None):
     """Task function over rows sorted by (v, part, fp): links within each run of equal (v, part).
 
@@ -156,13 +164,14 @@ def near_links(fps: DataFrame, distance: int = 2, pair_bucket: int = PAIR_BUCKET
         return frame.select("v", "part", "fp").repartition("v", "part").sortWithinPartitions("v", "part", "fp") \
             .mapInArrow(_scan(distance, first_bits, limit), "a long, b long")
 
-    found = written(scan(_variants(fps, masks), firsts, pair_bucket), "simhash-links")
+    fps = written(fps.select("fp"), "simhash-distinct")
+    found = written(scan(_variants(_dealt(fps, len(masks)), masks), firsts, pair_bucket), "simhash-links")
     links = found.where(F.col("b").isNotNull())
-    crowded = found.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
+    crowded = written(found.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct(), "simhash-crowded")
     wild = [_signed(~sum(1 << i for i in bits) & ((1 << BITS) - 1))
             for bits in itertools.combinations(range(BITS), distance)]
     if crowded.limit(1).count():
-        links = links.unionByName(scan(_variants(crowded, wild), [], None))
+        links = links.unionByName(scan(_variants(_dealt(crowded, len(wild)), wild), [], None))
     return links
 
 
@@ -194,10 +203,13 @@ def simhash_report(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Data
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class one row with the least document id stays."""
+    """The rows of ``docs`` without near-duplicates: of each class one row with the least document id stays; of rows with
+    equal id and fingerprint the one whose text has the least hash."""
     classes = near_duplicate_classes(docs, shingle, distance)
     stays = classes.where((F.col("did") == F.col("component")) & (F.col("fp") == F.col("rep_fp"))) \
         .select(F.col("did").alias("__llm_did"), F.col("fp").alias("__llm_fp")).distinct()
     marked = docs.withColumn("__llm_did", id_of()).withColumn("__llm_fp", fingerprint_column(text_of(), shingle))
-    return marked.join(stays, ["__llm_did", "__llm_fp"], "left_semi") \
-        .dropDuplicates(["__llm_did", "__llm_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = marked.join(stays, ["__llm_did", "__llm_fp"], "left_semi")
+    first = kept.groupBy("__llm_did", "__llm_fp").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
+                                                              F.xxhash64(text_of())).alias("__llm_row"))
+    return first.select("__llm_row.*")
