@@ -17,6 +17,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: The category of values that no target names, nulls among them.
 OTHER = "(other)"
 SWEEPS = 40
+#: Share of the tokens that the expected sample holds at least, whatever the rarest named value has.
+LEAST_SHARE = 0.05
 #: The mixture of the registered query: every source alike, less English, medium texts preferred.
 TARGETS = {"source": {f"src{i}": 0.05 for i in range(20)},
            "lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2},
@@ -58,11 +60,29 @@ def marginal(named: dict, observed: dict) -> dict:
     return out
 
 
-def calibrate(docs: DataFrame, targets: dict = TARGETS, sweeps: int = SWEEPS) -> dict:
+def probabilities(cells: dict, weight: dict, least_share: float) -> dict:
+    """cell -> probability: weight over token mass, scaled so that the largest is 1 and the sample has the marginals.
+
+    Where that would keep under ``least_share`` of the tokens, the scale is the one that keeps this share with
+    probabilities clipped at 1: cells that are too rare for their weight are kept whole and miss their target."""
+    ratio = {c: weight[c] / m for c, m in cells.items()}
+    top, floor = max(ratio.values()), least_share * sum(cells.values())
+    if 1 / top >= floor:
+        return {c: r / top for c, r in ratio.items()}
+    order = sorted(ratio, key=lambda c: (-ratio[c], c))
+    whole, rest = 0.0, sum(weight[c] for c in order)
+    for c in order:
+        scale = (floor - whole) / rest if rest > 0 else float("inf")
+        if scale * ratio[c] <= 1:
+            return {x: min(1.0, r * scale) for x, r in ratio.items()}
+        whole, rest = whole + cells[c], rest - weight[c]
+    return dict.fromkeys(ratio, 1.0)
+
+
+def calibrate(docs: DataFrame, targets: dict = TARGETS, sweeps: int = SWEEPS, least_share: float = LEAST_SHARE) -> dict:
     """cell -> (weight, probability) from the token masses of ``docs`` (columns of DIMENSIONS and n_tokens).
 
-    weight: the raked share of tokens; probability: weight over token mass, scaled so that the largest is 1, so that
-    the expected sample has the raked marginals and no document is needed twice."""
+    weight: the raked share of tokens; probability: see :func:`probabilities`; no document is needed twice."""
     cells = {tuple(r[d] for d in DIMENSIONS): float(r["m"]) for r in docs.groupBy(*DIMENSIONS).agg(
         F.sum("n_tokens").alias("m")).collect()}  # at most the product of the target sizes plus one
     cells = {c: m for c, m in cells.items() if m > 0}
@@ -80,9 +100,33 @@ def calibrate(docs: DataFrame, targets: dict = TARGETS, sweeps: int = SWEEPS) ->
     for c, m in cells.items():
         mass[tuple(v.index(x) for v, x in zip(values, c))] = m
     weight = rake(mass, shares, sweeps)
-    ratio = {c: weight[tuple(v.index(x) for v, x in zip(values, c))] / m for c, m in cells.items()}
-    top = max(ratio.values())
-    return {c: (r * cells[c], r / top) for c, r in ratio.items()}
+    raked = {c: float(weight[tuple(v.index(x) for v, x in zip(values, c))]) for c in cells}
+    likely = probabilities(cells, raked, least_share)
+    return {c: (raked[c], likely[c]) for c in cells}
+
+
+def mixture_summary(docs: DataFrame, targets: dict = TARGETS, topic=form_topic, sweeps: int = SWEEPS,
+                    least_share: float = LEAST_SHARE) -> DataFrame:
+    """dimension, value, n_tokens, target, expected, kept: the tokens of each value, the share that the targets ask for
+    (null for OTHER), its share of the expected sample, and how much of it the sample keeps; and a row of all.
+
+    A target that is missed (a value too rare for it) shows as the difference of the two shares."""
+    marked = _celled(docs, targets, topic).select(*[F.col(f"__llm_{d}").alias(d) for d in DIMENSIONS],
+                                                  F.col("__llm_n_tokens").alias("n_tokens"))
+    cells = calibrate(marked, targets, sweeps, least_share)
+    masses = {tuple(r[d] for d in DIMENSIONS): float(r["m"]) for r in marked.groupBy(*DIMENSIONS).agg(
+        F.sum("n_tokens").alias("m")).collect()}
+    kept = {c: masses[c] * p for c, (_, p) in cells.items()}
+    total = sum(kept.values())
+    rows = [("all", "", float(sum(masses[c] for c in cells)), None, 1.0 if total else None,
+             total / sum(masses[c] for c in cells) if cells else None)]
+    for axis, d in enumerate(DIMENSIONS):
+        for value in sorted({c[axis] for c in cells}):
+            own = [c for c in cells if c[axis] == value]
+            mass, take = sum(masses[c] for c in own), sum(kept[c] for c in own)
+            rows.append((d, value, mass, targets[d].get(value), take / total if total else None, take / mass))
+    return docs.sparkSession.createDataFrame(
+        rows, "dimension string, value string, n_tokens double, target double, expected double, kept double")
 
 
 def _celled(docs: DataFrame, targets: dict, topic) -> DataFrame:
@@ -103,12 +147,12 @@ def uniform_number(seed: int, id_col: str = "doc_id"):
 
 
 def with_probability(docs: DataFrame, targets: dict = TARGETS, topic=form_topic, sweeps: int = SWEEPS,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, least_share: float = LEAST_SHARE) -> DataFrame:
     """``docs`` with __llm_source, __llm_lang, __llm_topic, __llm_n_tokens, __llm_weight (of the cell),
     __llm_probability, __llm_sampled.  A text without words has probability 1 where its cell has no tokens at all."""
     marked = _celled(docs, targets, topic)
     cells = calibrate(marked.select(*[F.col(f"__llm_{d}").alias(d) for d in DIMENSIONS],
-                                    F.col("__llm_n_tokens").alias("n_tokens")), targets, sweeps)
+                                    F.col("__llm_n_tokens").alias("n_tokens")), targets, sweeps, least_share)
     table = docs.sparkSession.createDataFrame(
         [(*c, float(w), float(p)) for c, (w, p) in cells.items()],
         ", ".join(f"__llm_{d} string" for d in DIMENSIONS) + ", __llm_weight double, __llm_probability double")
@@ -119,12 +163,12 @@ def with_probability(docs: DataFrame, targets: dict = TARGETS, topic=form_topic,
 
 
 def mixing_report(docs: DataFrame, targets: dict = TARGETS, topic=form_topic, sweeps: int = SWEEPS,
-                  seed: int = 42) -> DataFrame:
+                  seed: int = 42, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, source, lang, topic (categories of the mixture), n_tokens, weight, probability, sampled per row.
 
     Null or unnamed sources and languages are the category OTHER, null texts have no tokens; rows that repeat an id
     are sampled together; an empty table gives no rows."""
-    out = with_probability(docs, targets, topic, sweeps, seed)
+    out = with_probability(docs, targets, topic, sweeps, seed, least_share)
     return out.select("doc_id", *[F.col(f"__llm_{d}").alias(d) for d in DIMENSIONS],
                       *[F.col(f"__llm_{c}").alias(c) for c in ("n_tokens", "weight", "probability", "sampled")])
 
@@ -135,8 +179,9 @@ def sample_mixture(docs: DataFrame, **options) -> DataFrame:
     return out.where("__llm_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def oracle_sql(targets: dict = TARGETS, sweeps: int = SWEEPS, seed: int = 42) -> str:
-    """DuckDB SQL of :func:`mixing_report`: the raking rounds as nested window sums over the cell table."""
+def oracle_sql(targets: dict = TARGETS, sweeps: int = SWEEPS, seed: int = 42, least_share: float = LEAST_SHARE) -> str:
+    """DuckDB SQL of :func:`mixing_report`: the raking rounds as nested window sums over the cell table, the scale from
+    running sums over the cells by descending ratio."""
     category = {d: f"CASE WHEN {c} IN ({', '.join(repr(v) for v in targets[d])}) THEN {c} ELSE '{OTHER}' END"
                 for d, c in (("source", "source"), ("lang", "lang"))}
     trimmed = "trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -160,7 +205,14 @@ t_{d} AS (SELECT {d}, CASE WHEN {d} = '{OTHER}' THEN (SELECT rest FROM r_{d}) EL
         for d in DIMENSIONS:
             inner = f"SELECT {keep}, w * share_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM ({inner})"
     return sql + f""",
-p AS (SELECT source, lang, topic, w, (w / mass) / max(w / mass) OVER () AS probability FROM ({inner}))
+k AS (SELECT source, lang, topic, w, mass, w / mass AS r, max(w / mass) OVER () AS top, {least_share!r} * sum(mass) OVER () AS at_least,
+  row_number() OVER (ORDER BY w / mass DESC, source, lang, topic) AS i,
+  coalesce(sum(mass) OVER (ORDER BY w / mass DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
+  sum(w) OVER (ORDER BY w / mass DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM ({inner})),
+s AS (SELECT min(i) FILTER (WHERE (at_least - whole) / rest * r <= 1) AS first_i FROM k),
+sc AS (SELECT (at_least - whole) / rest AS scale FROM k, s WHERE i = first_i),
+p AS (SELECT source, lang, topic, w, CASE WHEN 1 / top >= at_least THEN r / top ELSE least(1, r * coalesce(scale, 1e300)) END AS probability
+      FROM k LEFT JOIN sc ON TRUE)
 SELECT doc_id, source, lang, topic, n_tokens, coalesce(w, 0) AS weight, coalesce(probability, 1) AS probability,
   CAST('0x' || substr(md5(doc_id || ':{seed}'), 1, 12) AS BIGINT) / 281474976710656.0 < coalesce(probability, 1) AS sampled
 FROM d LEFT JOIN p USING (source, lang, topic)"""

@@ -321,3 +321,58 @@ def test_mixing_reaches_the_targets_in_expectation(spark):
         assert abs(sum(r["n_tokens"] * r["probability"] for r in out if r[d] == value) / expected - share) < 1e-6
         took = [r for r in out if r["sampled"]]
         assert abs(sum(r["n_tokens"] for r in took if r[d] == value) / sum(r["n_tokens"] for r in took) - share) < 0.08
+
+
+@pytest.mark.parametrize("least", [0.0, 0.1, 0.6, 1.0])
+def test_a_rare_source_does_not_shrink_the_sample(spark, least):
+    import duckdb
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(20, 300))), str(rng.choice(["en", "de"], p=[0.8, 0.2])),
+             str(rng.choice(["src0", "src1", "src2"], p=[0.6, 0.398, 0.002]))) for i in range(3000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"src0": 0.4, "src1": 0.3, "src2": 0.3}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"note": 1.0, "article": 1.0}}
+    got = {r["doc_id"]: r for r in mixing.mixing_report(documents, targets, least_share=least).collect()}
+    tokens = sum(r["n_tokens"] for r in got.values())
+    kept = sum(r["n_tokens"] * r["probability"] for r in got.values()) / tokens
+    assert kept >= least - 1e-9 and all(0 <= r["probability"] <= 1 for r in got.values())
+    if 0 < least < 1:
+        assert abs(kept - least) < 1e-9 and all(r["probability"] == 1 for r in got.values() if r["source"] == "src2")
+    table = documents.toPandas()  # noqa: F841 (duckdb reads it by name)
+    con = duckdb.connect()
+    con.register("documents", table)
+    for r in con.execute(mixing.oracle_sql(targets, least_share=least)).fetchall():
+        own = got[r[0]]
+        assert own["sampled"] == r[7] and abs(own["probability"] - r[6]) < 1e-9
+    summary = {(r["dimension"], r["value"]): r for r in mixing.mixture_summary(documents, targets, least_share=least).collect()}
+    assert abs(summary["all", ""]["kept"] - kept) < 1e-9
+    assert abs(sum(r["expected"] for k, r in summary.items() if k[0] == "source") - 1) < 1e-9
+    if least == 0.0:
+        assert abs(summary["source", "src2"]["expected"] - 0.3) < 1e-6
+    assert mixing.mixture_summary(documents.limit(0), targets).count() == 1
+
+
+def test_quality_scores_equal_a_plain_scorer(spark):
+    """A fitted model over features that are told apart by hand: weights summed per text, then the two probabilities."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["fine", "awful", "rude", "calm", "word"], int(rng.integers(0, 30)))) for _ in range(400)] + ["", None]
+    grades = [0 if t and "awful" in t else 1 if t and "rude" in t else 2 for t in texts]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g == 2), int(g == 0)) for i, g in enumerate(grades)], "doc_id long, quality int, toxic int")
+    model = quality.quality_model(frame, labels)
+    got = {r["doc_id"]: r for r in frame.select("doc_id", quality.score_column("text", model, 2).alias("s")).select("doc_id", "s.*").collect()}
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    for i, t in enumerate(texts):
+        owners, features = quality.Featurizer().pairs(pa.array([t or ""]))
+        f = sum(weight.get(b, 0.0) for b in features.tolist())
+        above = [1 / (1 + np.exp(c - f)) for c in model.thresholds]
+        assert abs(got[i]["expected_grade"] - sum(above)) < 1e-9 and abs(got[i]["tail_probability"] - above[1]) < 1e-9
+    assert np.mean([round(got[i]["expected_grade"]) == g for i, g in enumerate(grades)]) > 0.95
+
+
+def test_repeated_ids_and_ratings_count_once(spark):
+    frame = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "c"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 1, 0), (2, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    sample = quality.rated_sample(frame, quality.rate(labels))
+    rows = sorted((r["grade"], r["text"]) for r in sample.collect())
+    assert [g for g, _ in rows] == [1, 2] and rows[0][1] in "ab" and rows[1][1] in ("c", "")
+    assert quality.rated_sample(frame, quality.rate(labels), rows=1).count() <= 1
