@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.paths import filesystem
 
 #: Order of the null id: before every other id.
 NULL_ID = -(1 << 63)
@@ -66,11 +67,5 @@ def once(udf):
 
 
 def open_filesystem(uri: str):
-    """(filesystem, path) of a Hadoop-style uri, for byte access inside tasks."""
-    from pyarrow import fs
-
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    """(filesystem, path) of a Hadoop-style uri (s3a and wasb(s) by Arrow's names), for byte access inside tasks."""
+    return filesystem(uri)

@@ -288,35 +288,38 @@ def encoder_of(path: str) -> PieceEncoder:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) -> DataFrame:
-    """Writes the files in ascending id order (null ids first, ties by text) and returns their index: path, first_id,
-    n_docs, n_tokens; one row per file.  Every document ends with ``end_id``; null texts are empty; an empty table
-    writes no file."""
+    """Writes the files in ascending id order (null ids first, rows with equal ids by a hash of their texts, so that
+    they may fill many files) and returns their index: path, first_id, first_hash, n_docs, n_tokens; one row per file.
+    Every document ends with ``end_id``; null texts are empty; an empty table writes no file."""
     def write(batches):
         encoder, out = encoder_of(vocabulary), None
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1), ENCODE_BYTES):
+            for texts in slices(batch.column(2), ENCODE_BYTES):
                 tokens, size = encoder.encode(texts)
                 ids = batch.column(0).slice(at, len(texts)).to_pylist()
-                at += len(texts)
                 if out is None and ids:
+                    first_hash = batch.column(1)[at].as_py()
                     fs, root = open_filesystem(folder)
                     fs.create_dir(root, recursive=True)
                     name, first = f"tokens-{uuid.uuid4().hex}.pfor", ids[0]
                     stream = fs.open_output_stream(f"{root}/{name}", compression=None)
                     out = Writer(stream)
+                at += len(texts)
                 ends = np.cumsum(size)
                 out.add_all([None if i == NULL_ID else i for i in ids], np.insert(tokens, ends, end_id), size + 1)
         if out is not None:
             out.close()
             stream.close()
-            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_id": first, "n_docs": len(out.ids),
-                                               "n_tokens": out.tokens}], pa.schema([
-                ("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_id": first, "first_hash": first_hash,
+                                               "n_docs": len(out.ids), "n_tokens": out.tokens}], pa.schema([
+                ("path", pa.string()), ("first_id", pa.int64()), ("first_hash", pa.int64()), ("n_docs", pa.int64()),
+                ("n_tokens", pa.int64())]))
 
-    rows = docs.select(id_of().alias("did"), text_of().alias("text"))
-    return rows.repartitionByRange("did").sortWithinPartitions("did", "text") \
-        .mapInArrow(write, "path string, first_id long, n_docs long, n_tokens long")
+    text = text_of()
+    rows = docs.select(id_of().alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.repartitionByRange("did", "th").sortWithinPartitions("did", "th") \
+        .mapInArrow(write, "path string, first_id long, first_hash long, n_docs long, n_tokens long")
 
 
 def read_token_files(index: DataFrame) -> DataFrame:
@@ -324,7 +327,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before: a running sum over one row per file."""
     based = index.withColumn("base", F.sum("n_tokens").over(
-        Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)))
+        Window.orderBy("first_id", "first_hash").rowsBetween(Window.unboundedPreceding, -1)))
 
     def read(batches):
         for batch in batches:
