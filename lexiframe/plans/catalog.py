@@ -161,6 +161,22 @@ def read_text_lines(spark, sf):
     return files.lines_to_sentences(_t(spark, sf, "conversations"), "text", keep=["conv_id", "turn"])
 
 
+@query("o_s3_text_files", f"""
+WITH raw AS (SELECT conv_id, turn, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS ls FROM conversations),
+l AS (SELECT conv_id, turn, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS n FROM raw),
+numbered AS (SELECT line, CAST(row_number() OVER (ORDER BY conv_id, turn, n) - 1 AS BIGINT) AS line_id FROM l),
+p AS (SELECT line_id, regexp_split_to_array(line, '{S.LINES}') AS ps FROM numbered)
+SELECT * FROM (SELECT line_id, CAST(unnest(generate_series(0, len(ps) - 1)) AS INTEGER) AS piece,
+                      {S.strip('unnest(ps)')} AS sentence FROM p) WHERE sentence <> ''
+""")
+def read_text_files(spark, sf):
+    """Texts in conversation order written to several files, read as lines that are numbered over all files."""
+    path = scratch_path(spark, "text-lines")
+    conv = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    conv.repartitionByRange(5, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("text").write.text(path)
+    return files.read_text_lines(spark, path).select("line_id", F.col("piece").cast("int").alias("piece"), "sentence")
+
+
 # ============================================================================ profiling
 NA_SQL = S.sql_list(NA_TOKENS)
 
