@@ -9,6 +9,8 @@ the same order, which makes the share of equal bins sensitive to edits that move
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ WINDOW = 8
 BINS = 64
 PER_BIN = 2
 #: Text bytes of a range of documents, and of what a task holds as Python objects.
-RANGE_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+RANGE_BYTES, SLICE_BYTES = 64 << 20, 2 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,18 +105,29 @@ def fingerprint_hex(signature: np.ndarray) -> str:
 
 # ------------------------------------------------------------------------------------------------ with neighbours
 
+def _above(cuts: list[int], did):
+    """How many of the ascending ``cuts`` lie above an id: whole groups of about their square root, then one group."""
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)] or [[]]
+    fixed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    after = F.size(F.filter(fixed([g[0] for g in groups if g], "array<long>"), lambda c: c > did))  # groups that begin above
+    sizes = fixed([sum(len(g) for g in groups[len(groups) - k:]) for k in range(len(groups) + 1)], "array<int>")
+    split = F.element_at(fixed(groups, "array<array<long>>"), F.greatest(F.lit(len(groups)) - after, F.lit(1)))
+    inside = F.when(after < len(groups), F.size(F.filter(split, lambda c: c > did))).otherwise(0)
+    return F.element_at(sizes, after + 1) + inside
+
+
 def _with_successors(docs: DataFrame, buckets: int | None) -> DataFrame:
     """bucket, native, did, th, text: documents dealt into ranges of descending id, each range followed by the first
     document of the next one (native false), the last by the first of all.  One shuffle of the texts; there are
-    as many ranges as ``RANGE_BYTES`` of text need, unless told otherwise."""
+    three ranges to a shuffle partition, or as many as ``RANGE_BYTES`` of text need, unless told otherwise."""
     rows = docs.select(id_of().alias("did"), text_of().alias("text"))
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        buckets = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    cuts = rows.agg(F.percentile_approx("did", [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"]
-    cuts = F.from_json(F.lit(str(sorted(set(cuts or [])))), "array<long>")
-    # a row's range: how many cut points lie above its id
-    rows = rows.withColumn("bucket", F.size(F.filter(cuts, lambda c: c > F.col("did"))))
+        buckets = max(2, 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = rows.agg(F.percentile_approx("did", shares, max(10_000, 10 * buckets)).alias("c")).first()["c"]
+    rows = rows.withColumn("bucket", _above(sorted(set(cuts or [])), F.col("did")))
     rows = rows.withColumn("th", F.xxhash64("text"))
     heads = sorted((r["bucket"], r["did"]) for r in rows.groupBy("bucket").agg(F.max("did").alias("did")).collect())
     # one row per range: its first document is the guest of the range before

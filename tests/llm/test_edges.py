@@ -376,3 +376,13 @@ def test_repeated_ids_and_ratings_count_once(spark):
     rows = sorted((r["grade"], r["text"]) for r in sample.collect())
     assert [g for g, _ in rows] == [1, 2] and rows[0][1] in "ab" and rows[1][1] in ("c", "")
     assert quality.rated_sample(frame, quality.rate(labels), rows=1).count() <= 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_ranges_of_ids(spark, n):
+    rng = np.random.default_rng(n)
+    cuts = sorted({int(x) for x in rng.integers(-50, 50, n)})
+    ids = list(range(-60, 60)) + [-(1 << 63)]
+    frame = spark.createDataFrame([(i,) for i in ids], "did long")
+    got = {r["did"]: r["b"] for r in frame.select("did", fingerprint._above(cuts, frame["did"]).alias("b")).collect()}
+    assert got == {i: sum(c > i for c in cuts) for i in ids}
