@@ -206,8 +206,9 @@ def train_epochs(train: DataFrame, val: DataFrame, epochs: int = 5, lr: float =
     classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
     if None in classes:
         raise ValueError("null label")
-    vectors = text_vectors(_coded(train, classes, label), text, features, keep=[row, "y"])
-    n = train.count()
+    # stored before they are dealt to batches: the ranges of the order sample their input
+    vectors = reliable_checkpoint(text_vectors(_coded(train, classes, label), text, features, keep=[row, "y"]))
+    n = vectors.count()
     if not n:
         raise ValueError("no rows to train on")
     batches = min(n, batches or (-(-n // batch_size) if batch_size else 1))
