@@ -3,13 +3,14 @@
 Features are computed once and stored by batch.  A step is one Spark job over one batch: its tasks add up the gradient
 of their rows, the cells are summed by key, and the driver, which holds nothing but the parameters and their moments
 (classes x features numbers), makes the update.  Every epoch reads every batch once, is evaluated, and its weights are
-kept; a lost executor repeats tasks of one step.
+kept; a lost executor repeats tasks of one step.  A task works on slices of its Arrow batches, of about ``SLICE``
+entries, so that its Python needs no more memory for more or longer rows than one of Spark's batches takes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,9 @@ from .ranking import sequence_number
 
 FEATURES = 1 << 16
 
+#: Rows and list entries that a task works on at a time; a longer row is a slice of its own.
+SLICE = 1 << 18
+
 
 # ----------------------------------------------------------------------------- features
 
@@ -43,6 +47,16 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
+def _slices(column: pa.Array) -> Iterator[slice]:
+    """Ranges of a list column's rows, each of at most ``SLICE`` rows and entries or one row."""
+    before = column.offsets.to_numpy().astype(np.int64) + np.arange(len(column) + 1)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + SLICE, "right")) - 1)
+        yield slice(start, stop)
+        start = stop
+
+
 def _unit_vector(hashed: pa.Array) -> pa.Array:
     index, first = _lists(hashed)
     owner = np.repeat(np.arange(len(hashed), dtype=np.int64), np.diff(first))
@@ -55,9 +69,15 @@ def _unit_vector(hashed: pa.Array) -> pa.Array:
          pa.ListArray.from_arrays(first, pa.array(weight / norm[owner], pa.float64()))], ["indices", "weights"])
 
 
+def _unit_vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for hashed in batches:
+        for rows in _slices(hashed):
+            yield _unit_vector(hashed[rows])
+
+
 def text_vectors(df: DataFrame, text: str = "sentence", features: int = FEATURES, keep: Sequence[str] = ()) -> DataFrame:
     """keep..., indices, weights: ``log(1 + tf)`` of the hashed words, scaled to length one (an empty text: no entries)."""
-    return df.select(*keep, F.arrow_udf(_unit_vector, VECTOR)(hashed_words(text, features)).alias("__v")).select(*keep, "__v.*")
+    return df.select(*keep, F.arrow_udf(_unit_vectors, VECTOR)(hashed_words(text, features)).alias("__v")).select(*keep, "__v.*")
 
 
 # ----------------------------------------------------------------------------- the model
@@ -101,6 +121,14 @@ class AdamW:
             p -= lr * (m / (1 - self.beta1 ** self.steps)) / (np.sqrt(v / (1 - self.beta2 ** self.steps)) + self.eps)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """y, indices, offsets of the rows and weights, by slices of batches (y, indices, weights)."""
+    for batch in batches:
+        y, indices, weights = batch.columns
+        for rows in _slices(indices):
+            yield (y[rows].to_numpy(zero_copy_only=False).astype(np.int64), *_lists(indices[rows]), _lists(weights[rows])[0])
+
+
 def _gradient_task(model):
     """mapInArrow over (y, indices, weights): cell, value sums of the task; cell -1 holds the loss, -2 the rows.
     Cells number (feature, class); the features after the last one are the bias."""
@@ -109,10 +137,7 @@ def _gradient_task(model):
         k, size = len(own.classes), len(own.weights)
         total = np.zeros((size + 1, k))
         loss, rows = 0.0, 0
-        for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            indices, first = _lists(batch.column(1))
-            weights, _ = _lists(batch.column(2))
+        for y, indices, first, weights in _rows(batches):
             p = own.probabilities(indices, first, weights)
             loss -= np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum()
             rows += len(y)
@@ -133,10 +158,8 @@ def _score_task(model):
         own = model.value
         k = len(own.classes)
         n, nll = np.zeros(k * k, np.int64), np.zeros(k * k)
-        for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            indices, first = _lists(batch.column(1))
-            p = own.probabilities(indices, first, _lists(batch.column(2))[0])
+        for y, indices, first, weights in _rows(batches):
+            p = own.probabilities(indices, first, weights)
             cell = y * k + p.argmax(axis=1)
             n += np.bincount(cell, minlength=k * k)
             nll += np.bincount(cell, -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)), k * k)
@@ -287,10 +310,12 @@ def predict_classes(model: SoftmaxModel, df: DataFrame, text: str = "sentence",
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")
-    def probabilities(indices: pa.Array, weights: pa.Array) -> pa.Array:
-        index, first = _lists(indices)
-        p = sent.value.probabilities(index, first, _lists(weights)[0])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+    def probabilities(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for indices, weights in batches:
+            for rows in _slices(indices):
+                index, first = _lists(indices[rows])
+                p = sent.value.probabilities(index, first, _lists(weights[rows])[0])
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
 
     features = len(model.weights)
     out = text_vectors(df, text, features, keep).withColumn("probabilities", probabilities("indices", "weights"))

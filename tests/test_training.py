@@ -1,7 +1,10 @@
 """One training run in epochs: against plain numpy, its log, its stored weights."""
 import hashlib
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexiframe.operators import trainlog, training as T
@@ -114,3 +117,68 @@ def test_bad_labels_and_no_rows(spark, rows):
         T.train_epochs(rows.selectExpr("row_id", "sentence", "nullif(label, 'xx') AS label"), rows, epochs=1, features=FEATURES)
     with pytest.raises(Exception, match="unseen label"):
         T.train_epochs(rows.where("label <> 'xx'"), rows, epochs=1, features=FEATURES)
+
+
+def hashed_lists(rows, words):
+    index = np.random.default_rng(rows).integers(0, FEATURES, rows * words)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * words, pa.int32()), pa.array(index, pa.int32()))
+
+
+def labelled_batch(hashed):
+    vectors = T._unit_vector(hashed)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(hashed)) % 3), *vectors.flatten()], ["y", "indices", "weights"])
+
+
+def tasks():
+    weights = np.random.default_rng(7).normal(size=(FEATURES, 3))
+    sent = SimpleNamespace(value=T.SoftmaxModel(["en", "fr", "xx"], weights, np.zeros(3)))
+    return T._gradient_task(sent), T._score_task(sent)
+
+
+def test_memory_of_a_task_does_not_grow_with_its_batches(monkeypatch):
+    monkeypatch.setattr(T, "SLICE", 1 << 14, raising=False)
+
+    def peak(task, batch):
+        tracemalloc.start()
+        for _ in task(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    small, large = hashed_lists(400, 100), hashed_lists(8000, 100)
+    for task in tasks():
+        assert peak(task, labelled_batch(large)) < 2 * peak(task, labelled_batch(small))
+    assert peak(T._unit_vectors, large) < 2 * peak(T._unit_vectors, small)
+
+
+def test_slices_give_what_whole_batches_give(monkeypatch):
+    hashed = pa.array([[3, 3, 5], [], list(range(40)), [7], [], [1, 2] * 9, [8, 8]], pa.list_(pa.int32()))
+    batch = labelled_batch(hashed)
+    want = [T._unit_vector(hashed).to_pylist(), *[list(task(iter([batch])))[0].to_pydict() for task in tasks()]]
+    monkeypatch.setattr(T, "SLICE", 6)
+    sizes = [r.stop - r.start for r in T._slices(hashed)]
+    assert sum(sizes) == len(hashed) and len(sizes) > 3
+    assert list(T._slices(hashed[:0])) == [] and [r.start for r in T._slices(hashed[2:])][0] == 0
+    got = [r for part in T._unit_vectors(iter([hashed[:2], hashed[2:]])) for r in part.to_pylist()]
+    assert got == want[0]
+    for task, whole in zip(tasks(), want[1:]):
+        parts = list(task(iter([batch])))[0].to_pydict()
+        assert parts.keys() == whole.keys()
+        assert all(np.allclose(parts[k], whole[k], atol=1e-12) for k in whole)
+
+
+def test_rows_of_many_slices_through_spark(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    texts = [long, "rain", long, "", None, long, long, "rain rain", long]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, sentence string").coalesce(1)
+    size = 1 << 20
+    found = {r["row_id"]: r for r in T.text_vectors(df, features=size, keep=["row_id"]).collect()}
+    assert [len(found[i]["indices"]) > 90_000 for i in range(len(texts))] == [t == long for t in texts]
+    assert sum(len(r["indices"]) for r in found.values()) > T.SLICE
+    weights = np.random.default_rng(1).normal(size=(size, 2))
+    model = T.SoftmaxModel(["a", "b"], weights, np.zeros(2))
+    for r in T.predict_classes(model, df).collect():
+        z = np.array(found[r["row_id"]]["weights"]) @ weights[found[r["row_id"]]["indices"]]
+        p = np.exp(z - z.max())
+        assert np.allclose(r["probabilities"], p / p.sum(), atol=1e-9) and r["label"] == "ab"[int(p.argmax())]
